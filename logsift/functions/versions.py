@@ -112,20 +112,22 @@ def compare(left: Column, right: Column) -> Column:
 
 
 def refname_key(tag: Column) -> Column:
-    """Sortable key of the version order of tag names.
+    """Text that sorts like tag names in version order; null for null.
 
     Runs of digits compare as numbers, everything else as text, and a name
-    that goes on is greater: v1.0.0-rc.1 comes after v1.0.0.
+    that goes on is greater: v1.0.0-rc.1 comes after v1.0.0. Names must be free
+    of control characters, as tag names are.
     """
-    # A text run before digits gets a "0": it then compares as those digits would.
     runs = F.regexp_extract_all(tag, F.lit(r"[^0-9]*[0-9]+|[^0-9]+"), F.lit(0))
 
     def key(run: Column) -> Column:
-        digits = F.regexp_extract(run, r"([0-9]*)\z", 1)
+        digits = F.regexp_replace(F.regexp_extract(run, r"([0-9]*)\z", 1), r"\A0+", "")
+        # A text before digits gets a "0": it then compares as those digits would.
         words = F.regexp_replace(run, r"[0-9]+\z", "0")
-        return F.struct(words.alias("words"), _digits_key(digits).alias("number"))
+        size = F.lpad(F.length(digits).cast("string"), 5, "0")
+        return F.concat(words, F.lit("\x01"), size, digits)
 
-    return F.transform(runs, key)
+    return F.array_join(F.transform(runs, key), "")
 
 
 def matches_release_prefix(tag: Column, prefix: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions import text as tx
-from logsift.operators.ordered import BEFORE, RUN, chunk_of, range_buckets
+from logsift.operators.ordered import BEFORE, RUN, chunk_of, range_buckets, running
 from logsift.options import MAX_BLOCK_BYTES, MAX_LINE_BYTES, CleanOptions
 from logsift.sources.storage import saved
 
@@ -86,7 +86,7 @@ def _place_all_logs(totals: DataFrame, options: CleanOptions) -> DataFrame:
     # Used four times below; one small row per chunk, computed once.
     totals = saved(totals)
     per_log = totals.groupBy("log_id").agg(F.sum("n_starts").alias("log_starts"))
-    bucketed = range_buckets(per_log, [F.col("log_id")])
+    bucketed = range_buckets(per_log, "log_id")
     sums = bucketed.groupBy("_bucket").agg(F.sum("log_starts").alias("_total"))
     # One row per bucket, a fixed number of rows.
     over_buckets = W.orderBy("_bucket").rowsBetween(*BEFORE)
@@ -278,6 +278,33 @@ def _joined_parts(parts: Column, options: CleanOptions) -> dict[str, Column]:
     }
 
 
+def after_last_marker(lines: DataFrame, options: CleanOptions) -> DataFrame:
+    """Lines of every log that follow its last marker; none if it has no marker.
+
+    The marks are one row per log: Spark broadcasts them if they are small and
+    splits the lines of a hot log if it has to sort.
+    """
+    marked = lines.filter(tx.is_marker(F.col("value"), options.marker))
+    marks = marked.groupBy("log_id").agg(F.max("line_no").alias("_mark"))
+    return lines.join(marks, "log_id").filter(F.col("line_no") > F.col("_mark")).select(*lines.columns)
+
+
+def with_epochs(lines: DataFrame, options: CleanOptions) -> DataFrame:
+    """Add epoch: the number of markers of the log up to and including the line."""
+    marker = tx.is_marker(F.col("value"), options.marker)
+    return running(lines, ["log_id"], "line_no", sums={"epoch": marker}, bits=options.chunk_bits)
+
+
+def unique_lines(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
+    """First line of every log per canonical text, blank lines left out."""
+    options = options or CleanOptions()
+    keyed = lines.withColumn("sig_key", tx.canonical(F.col("value"), options.canonical_rules))
+    first = keyed.filter(~tx.is_blank(F.col("value"))).groupBy("log_id", "sig_key").agg(
+        F.min(F.struct("line_no", "value")).alias("first"), F.count("*").alias("repeats")
+    )
+    return first.select("log_id", "first.line_no", "first.value", "sig_key", "repeats")
+
+
 _PART = ("log_id", "first_line", "block_no", "n_lines", "n_bytes", "block_text", "sigs")
 
 

@@ -77,22 +77,24 @@ def running(
     )
 
 
-def range_buckets(rows: DataFrame, order: Sequence[Column], buckets: int = 128) -> DataFrame:
-    """Add `_key` (struct of `order`) and `_bucket`, its place among sampled bounds.
+def range_buckets(rows: DataFrame, key: str, buckets: int = 128) -> DataFrame:
+    """Add `_bucket`, the place of the sortable column `key` among sampled bounds.
 
     All rows of a bucket come before all rows of the next. The bounds are at
     most `buckets` keys with the smallest hashes, so they are the same on every
     run and fit one row, whatever the size of the table. No group, however
     large, is tied to one bucket, unless its keys repeat.
     """
-    keyed = rows.withColumn("_key", F.struct(*order))
     bounds = (
-        keyed.select("_key")
+        rows.select(key)
         .distinct()
-        .orderBy(F.xxhash64("_key"), "_key")
+        .orderBy(F.xxhash64(key), key)
         .limit(buckets)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_bounds"))
+        .agg(F.sort_array(F.collect_list(key)))
     )
-    below = F.filter("_bounds", lambda bound: bound <= F.col("_key"))
-    placed = keyed.withColumn("_bounds", bounds.scalar())
-    return placed.withColumn("_bucket", F.size(below)).drop("_bounds")
+    below = F.filter("_bounds", lambda bound: bound <= F.col(key))
+    placed = rows.withColumn("_bounds", bounds.scalar())
+    # Never null, so that a join on the bucket infers no null test: Spark would
+    # push the test, and with it the whole search, below the making of `key`.
+    bucket = F.coalesce(F.size(below), F.lit(0))
+    return placed.withColumn("_bucket", bucket).drop("_bounds")

@@ -28,9 +28,11 @@ def tag_counts(tags: DataFrame, glob: str = "*") -> DataFrame:
 
 
 def _ordered(tags: DataFrame) -> DataFrame:
-    """Tags in buckets of (repo, version order); see `ordered.range_buckets`."""
-    named = tags.select("repo", "tag").distinct()
-    return range_buckets(named, [F.col("repo"), refname_key(F.col("tag")), F.col("tag")])
+    """Tags with `_key`, their place by repo and version, and its bucket."""
+    key = F.concat_ws("\x01", "repo", refname_key(F.col("tag")), "tag")
+    # The key takes part in the distinct, so it is made once per tag.
+    named = tags.select("repo", "tag", key.alias("_key")).distinct()
+    return range_buckets(named, "_key")
 
 
 def version_order(tags: DataFrame) -> DataFrame:
@@ -48,7 +50,8 @@ def version_order(tags: DataFrame) -> DataFrame:
 def previous_tags(tags: DataFrame) -> DataFrame:
     """Every tag with the next older one of its repo, null for the oldest."""
     bucketed = _ordered(tags)
-    newest = bucketed.groupBy("repo", "_bucket").agg(F.max("_key").alias("_newest"))
+    last = F.max(F.struct("_key", "tag")).alias("_newest")
+    newest = bucketed.groupBy("repo", "_bucket").agg(last)
     # At most one row per repo and bucket.
     older = W.partitionBy("repo").orderBy("_bucket")
     edge = newest.select("repo", "_bucket", F.lag("_newest").over(older).alias("_edge"))
