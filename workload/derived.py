@@ -15,10 +15,10 @@ from logsift.sources.lines import text_lines
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; a file too small to keep all cores busy is spread out."""
+    """A given table; if it has fewer files than there are cores, it is spread out."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def run_sql(spark: SparkSession, sql: str, rows: DataFrame) -> DataFrame:
