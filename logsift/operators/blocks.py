@@ -329,14 +329,15 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     """Repeats of whole blocks folded together before their text is shuffled.
 
     Rows are either the first whole block of a signature with its number of
-    repeats, or (best is null) the parts of one block that crosses chunks.
+    repeats (group is "s" and the signature), or the parts of one block that
+    crosses chunks (group is "b" and the block number, best is null).
     """
     sig_key = tx.leading_lines(F.col("sigs"), options.depth)
     whole = F.col("whole")
     group = F.when(whole, F.concat(F.lit("s"), sig_key)).otherwise(
         F.concat(F.lit("b"), F.col("block_no").cast("string"))
     )
-    best = F.struct("block_no", "log_id", "block_text", sig_key.alias("sig_key"))
+    best = F.struct("block_no", "log_id", "block_text")
     return pieces.groupBy(*_scope(options), "epoch", group.alias("group")).agg(
         F.min(F.when(whole, best)).alias("best"),
         F.count(F.when(whole, 1)).alias("repeats"),
@@ -347,16 +348,18 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
 def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
     """First block of every signature and how often the signature occurs."""
     joined = _joined_parts(F.col("parts"), options)
-    crossing = F.struct(*[joined[n].alias(n) for n in ("block_no", "log_id", "block_text", "sig_key")])
+    crossing = F.struct(*[joined[n].alias(n) for n in ("block_no", "log_id", "block_text")])
+    is_whole = F.col("best").isNotNull()
     blocks = compacted.select(
         "scope",
         "epoch",
-        F.coalesce("best", crossing).alias("block"),
-        F.greatest("repeats", F.lit(1)).alias("repeats"),
+        F.when(is_whole, F.substring("group", 2, 2**30)).otherwise(joined["sig_key"]).alias("sig_key"),
+        F.when(is_whole, F.col("best")).otherwise(crossing).alias("block"),
+        F.when(is_whole, F.col("repeats")).otherwise(1).alias("repeats"),
     )
-    first = blocks.groupBy("scope", "epoch", F.col("block.sig_key").alias("key")).agg(
+    first = blocks.groupBy("scope", "epoch", "sig_key").agg(
         F.min("block").alias("block"), F.sum("repeats").alias("repeats")
     )
     return first.select(
-        "block.log_id", "epoch", "block.block_no", "block.block_text", "block.sig_key", "repeats"
+        "block.log_id", "epoch", "block.block_no", "block.block_text", "sig_key", "repeats"
     )

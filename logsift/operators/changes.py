@@ -130,39 +130,52 @@ def message_lines(commits: DataFrame, separator: str) -> DataFrame:
 # --- keywords by line ----------------------------------------------------------
 
 # Some word of each list; lines without one are not looked at any further.
-_COMMENT_GATE = "BREAKING|FEATURE|SECURITY|OPTION"
-_MESSAGE_GATE = "BREAKING|FEATURE|SECURITY|VULNERABILIT|CVE"
+_COMMENT_GATE = "(?i)BREAKING|FEATURE|SECURITY|OPTION"
+_MESSAGE_GATE = "(?i)BREAKING|FEATURE|SECURITY|VULNERABILIT|CVE"
 
 
-def _line_counts(lines: DataFrame, gate: str, words: dict[str, str], test) -> DataFrame:
-    folded = lines.select("range_id", ascii_only(F.col("line")).alias("line"))
-    gated = folded.select("range_id", F.when(kw.line_has(F.col("line"), f"({gate})"), F.col("line")).alias("line"))
-    return gated.groupBy("range_id").agg(
-        *[F.count_if(test(F.col("line"), pattern)).alias(name) for name, pattern in words.items()]
-    )
+def signed_lines(diff_lines: DataFrame, *more: str) -> DataFrame:
+    """range_id and `line`: sign and text with only ASCII characters."""
+    signed = F.concat(F.coalesce("sign", F.lit("")), F.col("text"))
+    return diff_lines.select("range_id", ascii_only(signed).alias("line"), *more)
+
+
+def comment_counts(line: Column) -> dict[str, Column]:
+    """Aggregates over ASCII lines of code: lines per announced word."""
+    gated = line.rlike(_COMMENT_GATE)
+    return {n: F.count_if(gated & kw.comment_has(line, p)) for n, p in kw.COMMENT_WORDS.items()}
+
+
+def message_counts(line: Column) -> dict[str, Column]:
+    """Aggregates over ASCII lines of messages: lines per word."""
+    gated = line.rlike(_MESSAGE_GATE)
+    return {n: F.count_if(gated & kw.line_has(line, p)) for n, p in kw.MESSAGE_WORDS.items()}
+
+
+def _per_range(lines: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    return lines.groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
+
+
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """Tables of counts with one row per range each, as one; missing counts are 0."""
+    names = [c for part in parts for c in part.columns if c != "range_id"]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    zero = F.lit(0).cast("long")
+    return rows.groupBy("range_id").agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in names])
 
 
 def keyword_counts(diff_lines: DataFrame, commits: DataFrame) -> DataFrame:
     """Lines with announced words in code comments and in commit messages."""
-    signed = F.concat(F.coalesce("sign", F.lit("")), F.col("text"))
-    code = _line_counts(
-        diff_lines.select("range_id", signed.alias("line")),
-        _COMMENT_GATE,
-        kw.COMMENT_WORDS,
-        kw.comment_has,
-    )
-    messages = _line_counts(
-        message_lines(commits, " ").withColumnRenamed("text", "line"),
-        _MESSAGE_GATE,
-        kw.MESSAGE_WORDS,
-        kw.line_has,
-    )
-    names = [*kw.COMMENT_WORDS, *kw.MESSAGE_WORDS]
-    both = code.unionByName(messages, allowMissingColumns=True)
-    counts = both.groupBy("range_id").agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
-    )
-    return keyword_flags(counts)
+    code = _per_range(signed_lines(diff_lines), comment_counts(F.col("line")))
+    return keyword_flags(stacked([code, message_keywords(commits)]))
+
+
+def message_keywords(commits: DataFrame) -> DataFrame:
+    """Lines with announced words in commit messages, per range."""
+    folded = message_lines(commits, " ").select("range_id", ascii_only(F.col("text")).alias("line"))
+    return _per_range(folded, message_counts(F.col("line")))
 
 
 def keyword_flags(counts: DataFrame) -> DataFrame:
@@ -193,6 +206,25 @@ def keyword_flags(counts: DataFrame) -> DataFrame:
 # --- keywords by occurrence ----------------------------------------------------
 
 
+_CODE_WORDS = {
+    "security_patterns": kw.SECURITY_WORDS,
+    "cve_patterns": kw.CVE_WORDS,
+    "memory_safety_issues": kw.MEMORY_WORDS,
+    "crash_fixes": kw.CRASH_WORDS,
+}
+
+
+def code_word_counts(line: Column) -> dict[str, Column]:
+    """Aggregates over ASCII lines of code: occurrences per word list."""
+    return {n: F.sum(kw.occurrences(line, p)) for n, p in _CODE_WORDS.items()}
+
+
+def message_security(commits: DataFrame) -> DataFrame:
+    """Security words in commit messages, per range."""
+    folded = message_lines(commits, "\n").select("range_id", ascii_only(F.col("text")).alias("line"))
+    return _per_range(folded, {"security_keywords": F.sum(kw.occurrences(F.col("line"), kw.SECURITY_WORDS))})
+
+
 def security_counts(
     diff_lines: DataFrame, commits: DataFrame, added_only: bool = False
 ) -> DataFrame:
@@ -200,29 +232,11 @@ def security_counts(
     if added_only:
         # Without the sign; bare + lines and lines that go on with + are left out.
         wanted = (F.col("sign") == "+") & (F.col("text") != "") & ~F.col("text").startswith("+")
-        code = diff_lines.filter(wanted).select("range_id", "text")
+        code = diff_lines.filter(wanted).select("range_id", ascii_only(F.col("text")).alias("line"))
     else:
-        signed = F.concat(F.coalesce("sign", F.lit("")), F.col("text"))
-        code = diff_lines.select("range_id", signed.alias("text"))
-    line = F.col("line")
-    none = F.lit(0).cast("long")
-    in_code = code.select("range_id", ascii_only(F.col("text")).alias("line")).select(
-        "range_id",
-        none.alias("security_keywords"),
-        kw.occurrences(line, kw.SECURITY_WORDS).alias("security_patterns"),
-        kw.occurrences(line, kw.CVE_WORDS).alias("cve_patterns"),
-        kw.occurrences(line, kw.MEMORY_WORDS).alias("memory_safety_issues"),
-        kw.occurrences(line, kw.CRASH_WORDS).alias("crash_fixes"),
-    )
-    in_messages = message_lines(commits, "\n").select(
-        "range_id",
-        kw.occurrences(ascii_only(F.col("text")), kw.SECURITY_WORDS).alias("security_keywords"),
-        *[none.alias(n) for n in kw.SECURITY_WEIGHTS if n != "security_keywords"],
-    )
-    both = in_code.unionByName(in_messages)
-    return both.groupBy("range_id").agg(
-        *[F.coalesce(F.sum(n), none).alias(n) for n in kw.SECURITY_WEIGHTS]
-    )
+        code = signed_lines(diff_lines)
+    in_code = _per_range(code, code_word_counts(F.col("line")))
+    return stacked([message_security(commits), in_code])
 
 
 def security_score(counts: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.functions.text import ascii_only
+from logsift.operators.changes import signed_lines, stacked
 from logsift.operators.ordered import running
 
 _S = r"[ \t\n\x0B\f\r]"
@@ -65,8 +65,10 @@ def long_names(sources: DataFrame, bits: int = 18) -> DataFrame:
     line = F.col("line_no")
     opens = F.col("text").rlike(TABLE_OPENS)
     closes = F.col("text").rlike(TABLE_CLOSES)
+    # Only lines that open or close a table or hold a name have a say.
+    telling = "|".join(f"(?:{p})" for p in (TABLE_OPENS, TABLE_CLOSES, BRACED_NAME, DOTTED_NAME))
     placed = running(
-        sources,
+        sources.filter(F.col("text").rlike(telling)),
         ["range_id", "side", "path"],
         "line_no",
         maxes={"_open": F.when(opens, line), "_close": F.when(closes, line)},
@@ -118,22 +120,21 @@ def diff_options(diff_lines: DataFrame) -> DataFrame:
     return named.filter(F.col("option").isNotNull()).distinct()
 
 
+def pattern_counts(line: Column) -> dict[str, Column]:
+    """Aggregates over signed ASCII lines: lines per pattern, kinds, prototypes."""
+    prototype = line.rlike(PROTOTYPE) & ~line.rlike(NO_PROTOTYPE)
+    seen = [F.coalesce(F.max(line.rlike(p)).cast("long"), F.lit(0)) for p in PATTERN_KINDS.values()]
+    return {
+        **{n: F.count_if(line.rlike(p)) for n, p in DIFF_PATTERNS.items()},
+        "enhanced_cli_patterns": sum(seen, F.lit(0).cast("long")),
+        "removed_prototypes": F.count_if(prototype),
+    }
+
+
 def diff_patterns(diff_lines: DataFrame) -> DataFrame:
     """Per range: lines per pattern, distinct kinds, removed prototypes."""
-    folded = diff_lines.select(
-        "range_id", ascii_only(F.concat(F.coalesce("sign", F.lit("")), F.col("text"))).alias("line")
-    )
-    line = F.col("line")
-    prototype = line.rlike(PROTOTYPE) & ~line.rlike(NO_PROTOTYPE)
-    seen = folded.groupBy("range_id").agg(
-        *[F.count_if(line.rlike(p)).alias(n) for n, p in DIFF_PATTERNS.items()],
-        *[F.max(line.rlike(p)).alias(n) for n, p in PATTERN_KINDS.items()],
-        F.count_if(prototype).alias("removed_prototypes"),
-    )
-    kinds = sum((F.col(n).cast("long") for n in PATTERN_KINDS), F.lit(0).cast("long"))
-    return seen.select(
-        "range_id", *DIFF_PATTERNS, kinds.alias("enhanced_cli_patterns"), "removed_prototypes"
-    )
+    counts = pattern_counts(F.col("line"))
+    return signed_lines(diff_lines).groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
 
 
 def _sides(found: DataFrame, names: str) -> DataFrame:
@@ -164,20 +165,15 @@ OPTION_COUNTS = (
 OPTION_FLAGS = ("cli_changes", "breaking_cli_changes", "api_breaking", "manual_cli_changes")
 
 
-def option_summary(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> DataFrame:
-    """Counts and flags of command-line changes, one row per range.
-
-    A side without any option counts as one with a single empty option when
-    the other side has some, in the added and removed counts.
-    """
+def option_parts(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> list[DataFrame]:
+    """Tables of counts, one row per range each, that `option_flags` needs."""
     strings = optstrings(sources)
     short = _sides(short_options(strings), "short")
     long = _sides(long_names(sources, bits), "long")
     text = _sides(
         strings.select("range_id", "side", F.struct("path", "optstring").alias("option")), "text"
     )
-    in_diff = diff_options(diff_lines)
-    manual = in_diff.groupBy("range_id", "kind", "option").agg(
+    manual = diff_options(diff_lines).groupBy("range_id", "kind", "option").agg(
         F.max(F.col("sign") == "+").alias("added"), F.max(F.col("sign") == "-").alias("removed")
     )
     is_long = F.col("kind") == "long"
@@ -186,17 +182,21 @@ def option_summary(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) ->
         F.count_if(is_long & F.col("removed")).alias("manual_removed_long_count"),
         F.count_if(~is_long & F.col("removed") & ~F.col("added")).alias("missing_cases"),
     )
-    parts = [short, long, text, manual, diff_patterns(diff_lines)]
-    names = [c for part in parts for c in part.columns if c != "range_id"]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    # Each part has one row per range, so the sum picks its value or 0.
-    one = stacked.groupBy("range_id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-    return _flags(one)
+    return [short, long, text, manual]
+
+
+def option_summary(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> DataFrame:
+    """Counts and flags of command-line changes, one row per range."""
+    parts = [*option_parts(sources, diff_lines, bits), diff_patterns(diff_lines)]
+    return option_flags(stacked(parts)).select("range_id", *OPTION_FLAGS, *OPTION_COUNTS)
 
 
-def _flags(one: DataFrame) -> DataFrame:
+def option_flags(one: DataFrame) -> DataFrame:
+    """Add counts and flags to the stacked option parts and diff patterns.
+
+    A side without any option counts as one with a single empty option when
+    the other side has some, in the added and removed counts.
+    """
     col = F.col
 
     def count(names: str, own: str, other: str) -> Column:
@@ -213,7 +213,7 @@ def _flags(one: DataFrame) -> DataFrame:
         | (long_changed & (col("long_removed") > 0))
     )
     manual = col("manual_added_long_count") + col("manual_removed_long_count") + hints > 0
-    flagged = one.withColumns(
+    return one.withColumns(
         {
             "removed_short_count": count("short", "before", "after"),
             "added_short_count": count("short", "after", "before"),
@@ -225,4 +225,3 @@ def _flags(one: DataFrame) -> DataFrame:
             "manual_cli_changes": manual,
         }
     )
-    return flagged.select("range_id", *OPTION_FLAGS, *OPTION_COUNTS)

@@ -78,16 +78,15 @@ def running(
 
 
 def range_buckets(rows: DataFrame, key: str, buckets: int = 128) -> DataFrame:
-    """Add `_bucket`, the place of the sortable column `key` among sampled bounds.
+    """Add `_bucket`, the place of `key` among sampled bounds; keys do not repeat.
 
     All rows of a bucket come before all rows of the next. The bounds are at
     most `buckets` keys with the smallest hashes, so they are the same on every
-    run and fit one row, whatever the size of the table. No group, however
-    large, is tied to one bucket, unless its keys repeat.
+    run and fit one row, whatever the size of the table. A group of
+    rows, however large, is spread over the buckets its keys fall into.
     """
     bounds = (
         rows.select(key)
-        .distinct()
         .orderBy(F.xxhash64(key), key)
         .limit(buckets)
         .agg(F.sort_array(F.collect_list(key)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsift.functions import keywords as kw
+from logsift.functions import paths as pt
 from logsift.functions.paths import C_FAMILY_GLOBS
 from logsift.operators import changes as ch
 from logsift.operators import cli_options as co
@@ -34,6 +36,16 @@ _FLAGS = (
 )
 
 
+def diff_metrics(diff_lines: DataFrame, c_paths: str | Sequence[str]) -> DataFrame:
+    """Comment words and argument patterns of the diff lines in one pass."""
+    path = pt.path_selected(F.col("path"), c_paths)
+    lines = ch.signed_lines(diff_lines.withColumn("is_c", path), "is_c")
+    # Patterns look at C files only: other lines count as null, which matches nothing.
+    c_line = F.when(F.col("is_c"), F.col("line"))
+    counts = {**ch.comment_counts(F.col("line")), **co.pattern_counts(c_line)}
+    return lines.groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
+
+
 def range_metrics(
     ranges: DataFrame,
     file_changes: DataFrame,
@@ -44,22 +56,22 @@ def range_metrics(
 ) -> DataFrame:
     """Every range with all its metrics; what a range lacks is 0 or false.
 
-    Each joined table has one row per range.
+    Diff lines are read twice, every other table once or twice; what is put
+    together at the end has one row per range and metric table.
     """
     picked = ch.select_paths(file_changes, only_paths, path=ch.changed_path(file_changes))
     lines = ch.select_paths(diff_lines, only_paths)
     c_paths = only_paths or C_FAMILY_GLOBS
-    files = ch.file_change_summary(picked)
-    options = co.option_summary(
-        ch.select_paths(option_sources, c_paths), ch.select_paths(diff_lines, c_paths)
-    )
-    words = ch.keyword_counts(lines, commits)
-    security = ch.security_counts(lines, commits).withColumnRenamed(
-        "security_keywords", "security_words"
-    )
-    joined = ranges
-    for part in (files, options, words, security):
-        joined = joined.join(part, "range_id", "left")
+    c_lines = ch.select_paths(lines, c_paths)
+    parts = [
+        ch.file_change_summary(picked),
+        *co.option_parts(ch.select_paths(option_sources, c_paths), c_lines),
+        diff_metrics(lines, c_paths),
+        ch.message_keywords(commits),
+        ch.message_security(commits).withColumnRenamed("security_keywords", "security_words"),
+    ]
+    one = ch.keyword_flags(co.option_flags(ch.stacked(parts)))
+    joined = ranges.join(one, "range_id", "left")
     return joined.withColumns(
         {
             **{n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in _COUNTS},

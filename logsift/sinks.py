@@ -39,4 +39,5 @@ def write_kv(report: DataFrame, path: str, key: str = "range_id", mode: str = "e
     """NAME=value lines, one folder of files per key."""
     rows = to_kv_rows(report, key)
     line = F.concat("name", F.lit("="), F.coalesce("value", F.lit("")))
-    rows.select(key, line.alias("line")).write.mode(mode).partitionBy(key).text(path)
+    # By key first, so that each folder gets one file and not one per task.
+    rows.select(key, line.alias("line")).repartition(key).write.mode(mode).partitionBy(key).text(path)
