@@ -7,9 +7,10 @@ class and the end anchor are written out.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.options import CANONICAL_RULES, SCRUB_RULES, START_PHRASES
@@ -18,16 +19,73 @@ WHITE = r"[ \t\n\x0B\f\r]"
 _REGEX_SPECIAL = set(r"\.^$|?*+()[]{}")
 
 
+def required_text(pattern: str) -> str:
+    """A text that every match of the regex begins with, empty if none is known."""
+    if "|" in pattern:
+        return ""
+    out, rest = "", pattern
+    while rest:
+        escaped = rest[0] == "\\" and len(rest) > 1 and not rest[1].isalnum()
+        one, after = (rest[1], rest[2:]) if escaped else (rest[0], rest[1:])
+        if not escaped and one in _REGEX_SPECIAL:
+            break
+        if after[:1] in ("*", "?"):
+            break
+        if after[:1] == "{":
+            least = re.match(r"\{([0-9]+)", after)
+            return out + one * int(least[1]) if least else out
+        out, rest = out + one, after
+    return out
+
+
+def _rule(text: Column, pattern: str, replacement: str) -> Column:
+    if _REGEX_SPECIAL.isdisjoint(pattern) and not set("$\\") & set(replacement):
+        return F.replace(text, F.lit(pattern), F.lit(replacement))
+    return F.regexp_replace(text, pattern, replacement)
+
+
 def apply_rules(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Replace by each (regex, replacement) rule, one after the other."""
     for pattern, replacement in rules:
-        if _REGEX_SPECIAL.isdisjoint(pattern) and not set("$\\") & set(replacement):
-            text = F.replace(text, F.lit(pattern), F.lit(replacement))
-        else:
-            text = F.regexp_replace(text, pattern, replacement)
+        text = _rule(text, pattern, replacement)
     return text
 
 
+def with_rules(
+    rows: DataFrame, source: str, name: str, rules: Iterable[tuple[str, str]], where: Column | None = None
+) -> DataFrame:
+    """`apply_rules` as a new column, with the regexes run only where they can match.
+
+    A regex has to decode the text, a search for its first characters has not.
+    Each rule is a projection of its own, so no text is made twice. With
+    `where`, other rows get null.
+    """
+    rows = rows.withColumn(name, F.col(source) if where is None else F.when(where, F.col(source)))
+    for pattern, replacement in rules:
+        text, needed = F.col(name), required_text(pattern)
+        changed = _rule(text, pattern, replacement)
+        if needed:
+            changed = F.when(text.contains(F.lit(needed)), changed).otherwise(text)
+        rows = rows.withColumn(name, changed)
+    return rows
+
+
+def with_canonical(
+    rows: DataFrame,
+    source: str,
+    name: str,
+    rules: Iterable[tuple[str, str]] = CANONICAL_RULES,
+    where: Column | None = None,
+) -> DataFrame:
+    """`canonical` as a new column; see `with_rules`."""
+    rows = with_rules(rows, source, name, rules, where)
+    text = F.col(name)
+    uneven = text.contains(F.lit("  "))
+    for white in "\t\n\v\f\r":
+        uneven = uneven | text.contains(F.lit(white))
+    return rows.withColumn(name, F.trim(F.when(uneven, squeeze_white(text)).otherwise(text)))
+
+
 # --- which lines count ---------------------------------------------------------
 
 
@@ -52,6 +110,12 @@ def strip_prefix(value: Column) -> Column:
     return F.regexp_replace(value, rf"^==[0-9]{{2,}}=={WHITE}*", "")
 
 
+def strip_tool_prefix(value: Column) -> Column:
+    """`strip_prefix` for lines that are known to be tool lines, without a regex."""
+    after = F.substring(value, F.locate("==", value, 3) + 2, F.lit(2**30))
+    return F.ltrim(after, F.lit(" \t\n\v\f\r"))
+
+
 def is_marker(value: Column, marker: str) -> Column:
     """Whole line contains the marker, taken literally."""
     return value.contains(F.lit(marker))
@@ -65,6 +129,14 @@ def opens_block(text: Column, phrases: Sequence[str] = START_PHRASES) -> Column:
     return hit
 
 
+def is_opening_line(value: Column, phrases: Sequence[str] = START_PHRASES) -> Column:
+    """Whole line is a tool line whose text opens a block."""
+    # No phrase can begin inside the prefix unless its first character occurs there.
+    begins_in_prefix = any(p[0] in "=0123456789 \t\n\v\f\r" for p in phrases)
+    text = strip_prefix(value) if begins_in_prefix else value
+    return opens_block(text, phrases) & is_tool_line(value)
+
+
 def is_leak_head(text: Column) -> Column:
     """The first number of the line reads ``N bytes in N blocks``."""
     return text.rlike(r"^[^0-9]*[0-9]+ bytes in [0-9]+ blocks")
@@ -83,7 +155,7 @@ def has_unknown(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"[^ \t\n\x0B\f\r]")
+    return F.ltrim(text, F.lit(" \t\n\v\f\r")) == ""
 
 
 # --- rewriting -----------------------------------------------------------------

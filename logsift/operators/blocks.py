@@ -30,7 +30,7 @@ def _checked(value: Column, broken: Column, message: str) -> Column:
 
 
 def flag_lines(lines: DataFrame, options: CleanOptions) -> DataFrame:
-    """Add is_tool, is_marker, text, is_start and the chunk of every line."""
+    """Add is_marker, is_start and the chunk of every line."""
     value = F.col("value")
     marker = tx.is_marker(value, options.marker) if options.trim else F.lit(False)
     flagged = lines.select(
@@ -39,21 +39,17 @@ def flag_lines(lines: DataFrame, options: CleanOptions) -> DataFrame:
         "value",
         chunk_of(F.col("line_no"), options.chunk_bits).alias("chunk"),
         marker.alias("is_marker"),
-        tx.is_tool_line(value).alias("is_tool"),
     )
-    flagged = flagged.withColumn(
-        "text", F.when(F.col("is_tool") & ~F.col("is_marker"), tx.strip_prefix(value))
-    )
-    start = F.coalesce(tx.opens_block(F.col("text"), options.start_phrases), F.lit(False))
-    return flagged.withColumn("is_start", start)
+    start = ~F.col("is_marker") & tx.is_opening_line(value, options.start_phrases)
+    return flagged.withColumn("is_start", F.coalesce(start, F.lit(False)))
 
 
 def chunk_totals(flagged: DataFrame) -> DataFrame:
     """One row per (log, chunk): starts, markers, last marker, last long line."""
     line = F.col("line_no")
     return flagged.groupBy("log_id", "chunk").agg(
-        F.sum(F.col("is_start").cast("long")).alias("n_starts"),
-        F.sum(F.col("is_marker").cast("long")).alias("n_markers"),
+        F.count_if("is_start").alias("n_starts"),
+        F.count_if("is_marker").alias("n_markers"),
         F.max(F.when(F.col("is_marker"), line)).alias("marker_line"),
         F.max(F.when(F.octet_length("value") > MAX_LINE_BYTES, line)).alias("long_line"),
         F.max(line).alias("last_line"),
@@ -190,12 +186,11 @@ def number_lines(flagged: DataFrame, chunks: DataFrame, options: CleanOptions) -
     # One plain test on the scanned text: it goes down to the scan by itself,
     # where a test on `text` or `is_start` would drag their making along.
     body = flagged.filter(tx.is_nonblank_tool_line(F.col("value")) & ~F.col("is_marker")).select(
-        "log_id", "chunk", "line_no", "text", "is_start"
+        "log_id", "chunk", "line_no", tx.strip_tool_prefix(F.col("value")).alias("text"), "is_start"
     )
     # Hash join: one shuffle of the lines serves the join and both windows.
     joined = body.join(chunks.hint("shuffle_hash"), ["log_id", "chunk"])
-    raw = tx.scrubbed(F.col("text"), options.scrub_rules) if options.scrub else F.col("text")
-    shown = joined.withColumn("raw", raw)
+    shown = tx.with_rules(joined, "text", "raw", options.scrub_rules if options.scrub else ())
     wanted = (
         (F.col("line_no") > F.col("from_line"))
         & ~(F.col("is_start") & tx.is_leak_head(F.col("text")))
@@ -237,15 +232,14 @@ def number_lines(flagged: DataFrame, chunks: DataFrame, options: CleanOptions) -
 
 def assemble_pieces(numbered: DataFrame, options: CleanOptions) -> DataFrame:
     """One row per block and chunk; no shuffle after `number_lines`."""
-    sig = tx.canonical(F.col("text"), options.canonical_rules)
+    in_key = F.col("pos") <= options.depth if options.depth else None
+    keyed = tx.with_canonical(numbered, "text", "sig", options.canonical_rules, in_key)
     line = F.struct("line_no", "raw")
     if options.check_limits:
         too_big = F.col("piece_bytes") > MAX_BLOCK_BYTES
         line = F.struct("line_no", _checked(F.col("raw"), too_big, _BLOCK_ERROR).alias("raw"))
-    sig_line = F.struct("line_no", sig.alias("sig"))
-    if options.depth:
-        sig_line = F.when(F.col("pos") <= options.depth, sig_line)
-    grouped = numbered.groupBy("log_id", "chunk", "epoch", "block_no", "whole").agg(
+    sig_line = F.when(F.col("sig").isNotNull(), F.struct("line_no", "sig"))
+    grouped = keyed.groupBy("log_id", "chunk", "epoch", "block_no", "whole").agg(
         F.sort_array(F.collect_list(line)).alias("lines"),
         F.sort_array(F.collect_list(sig_line)).alias("sig_lines"),
         F.max("piece_bytes").alias("n_bytes"),

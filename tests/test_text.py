@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import text as tx
 from logsift.functions import values as vl
-from logsift.options import CleanOptions
+from logsift.options import SCRUB_RULES, CleanOptions
 
 
 def test_trim(column):
@@ -57,11 +57,35 @@ def test_random_texts(column):
     tool = [t for t in texts if plain.is_tool(t)]
     assert len(tool) > 3000
     assert column(tx.strip_prefix, tool) == [plain.strip_prefix(t) for t in tool]
+    assert column(tx.strip_tool_prefix, tool) == [plain.strip_prefix(t) for t in tool]
     assert column(tx.is_nonblank_tool_line, texts) == [
         plain.is_tool(t) and plain.strip_prefix(t) != "" for t in texts
     ]
 
 
+def test_gated_rules_change_nothing(spark):
+    rng = random.Random(9)
+    pieces = ["0x", "0x1f", ":12", "[3]", "<a>", "at : ", "by : ", "???", "??", "  ", "\t", " ", "a", "é", "\v"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 7))) for _ in range(5000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    both = tx.with_canonical(tx.with_rules(rows, "t", "shown", SCRUB_RULES), "t", "sig", where=F.col("i") % 2 == 0)
+    for r in both.collect():
+        assert r["shown"] == plain.scrubbed(r["t"])
+        assert r["sig"] == (plain.canonical(r["t"]) if r["i"] % 2 == 0 else None)
+
+
+def test_required_texts():
+    want = {r"0x[0-9a-fA-F]+": "0x", r"\[[0-9]*\]": "[", r"\?{3,}": "???", "a*b": "", "ab?c": "a", r"\d+x": "", "x{0,2}y": "",
+            "(?i)a": "", "a|b": "", "ab+c": "ab", "at : ": "at : ", "": ""}
+    assert {p: tx.required_text(p) for p in want} == want
+
+
+def test_opening_lines(column):
+    lines = ["==12== Invalid read", "==1== Invalid read", "Invalid read", "==12==x", "==12== 2== y"]
+    assert column(tx.is_opening_line, lines) == [True, False, False, False, False]
+    assert column(lambda v: tx.is_opening_line(v, ("2==",)), lines) == [False, False, False, False, True]
+
+
 def test_line_kinds(column):
     lines = ["==12345== Memcheck", "==0== x", "==ab== x", "12345== x", "==12345=", "==12==", ""]
     assert column(tx.is_tool_line, lines) == [True, False, False, False, False, True, False]
