@@ -173,6 +173,11 @@ def total_bonus(bump: Column, loc: Column, bonus: Column) -> Column:
     return bonus + _by_bump(bump, lambda _b, _s, double: round_div(bonus * loc, double))
 
 
+def total_delta(bump: Column, loc: Column, bonus: Column) -> Column:
+    """Base delta and grown bonus together, at least 1."""
+    return F.greatest(base_delta(bump, loc) + total_bonus(bump, loc, bonus), F.lit(1).cast("long"))
+
+
 def rolled(major: Column, minor: Column, patch: Column, delta: Column, at: int = CARRY_AT) -> Column:
     """X.Y.Z with delta added to Z and carries taken at `at`."""
     new_patch = patch + delta

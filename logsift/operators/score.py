@@ -87,8 +87,8 @@ def next_version_rollover(
             "total_bonus_points": F.when(initial, zero).otherwise(vs.total_bonus(kind, lines, points)),
         }
     )
-    delta = F.greatest(F.col("base_delta") + F.col("total_bonus_points"), F.lit(1).cast("long"))
-    added = added.withColumn("total_delta", F.when(initial, zero).otherwise(delta))
+    delta = F.when(initial, zero).otherwise(vs.total_delta(kind, lines, points))
+    added = added.withColumn("total_delta", delta)
     rolled = vs.rolled(x, y, z, F.col("total_delta"), carry_at)
     return added.withColumn("next_version", F.when(initial, first).otherwise(rolled)).drop("_v")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logsift.functions import keywords as kw
 from logsift.functions import paths as pt
+from logsift.functions import versions as vs
 from logsift.functions.paths import C_FAMILY_GLOBS
 from logsift.operators import changes as ch
 from logsift.operators import cli_options as co
@@ -89,8 +90,18 @@ def suggest_releases(metrics: DataFrame, weights: Column | None = None) -> DataF
     scored = sc.score_bonus(metrics, default_weights() if weights is None else weights)
     current = F.coalesce("current_version", F.lit("0.0.0"))
     suggested = sc.suggest(scored.withColumn("current_version", current))
+    # What is no version counts as 0.0.0, and nothing is suggested for it.
+    usable = F.when(F.col("current_version").rlike(vs.PLAIN), F.col("current_version")).otherwise("0.0.0")
+    suggested = suggested.withColumn("current_version", usable)
     rolled = sc.next_version_rollover(suggested, bump="suggestion", loc="diff_size", bonus="total_bonus")
     has_bump = F.col("suggestion") != "none"
+    initial = F.col("current_version") == "0.0.0"
+    deltas = {
+        f"{bump}_delta": F.when(initial, F.lit(0).cast("long")).otherwise(
+            vs.total_delta(F.lit(bump), F.col("diff_size"), F.col("total_bonus"))
+        )
+        for bump in vs.BUMPS
+    }
     return rolled.select(
         "range_id",
         "current_version",
@@ -101,4 +112,5 @@ def suggest_releases(metrics: DataFrame, weights: Column | None = None) -> DataF
         "manual_cli_changes",
         "manual_added_long_count",
         "manual_removed_long_count",
+        *[delta.alias(name) for name, delta in deltas.items()],
     )

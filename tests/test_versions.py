@@ -139,6 +139,7 @@ def test_suggestions(spark):
     assert (nothing["total_bonus"], nothing["suggestion"], nothing["next_version"]) == (0, "none", None)
     source = _release(spark, files=[("r", "A", "src/a.c", None, "100", "0")])
     assert (source["total_bonus"], source["suggestion"], source["next_version"]) == (1, "patch", "1.2.5")
+    assert (source["patch_delta"], source["minor_delta"], source["major_delta"]) == (2, 7, 12)
     # Security words of a message count in both analyses.
     secure = _release(spark, commits=[("r", "1", None, False, "security", "")])
     assert (secure["total_bonus"], secure["suggestion"]) == (4, "minor")
@@ -146,7 +147,8 @@ def test_suggestions(spark):
     commit = [("r", "1", None, False, "BREAKING CHANGE", "")]
     broken = _release(spark, diff=diff, commits=commit, current=None)
     assert (broken["total_bonus"], broken["suggestion"], broken["next_version"]) == (6, "minor", "0.1.0")
-    assert _release(spark, diff=diff, commits=commit, current="1.x")["suggestion"] == "none"
+    unusable = _release(spark, diff=diff, commits=commit, current="1.x")
+    assert (unusable["suggestion"], unusable["current_version"], unusable["major_delta"]) == ("none", "0.0.0", 0)
     table = spark.createDataFrame(
         [("breaking_changes", "api_breaking", 5.0), ("security_stability", "security_vuln", 2.5)], schemas.WEIGHTS
     )

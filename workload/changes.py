@@ -485,12 +485,19 @@ ORACLE = {
         arg_min(commit_id, (committed_at, commit_id))) AS base_commit,
         CASE WHEN bool_or(until) THEN 'date' ELSE 'first' END AS ref_type FROM days GROUP BY repo""",
     "bonus_suggestion": _bonus(_DEFAULT)
-    + """ SELECT range_id, current_version, total_bonus, suggestion,
+    + """ SELECT range_id, CASE WHEN current_version = 'bad' THEN '0.0.0' ELSE current_version END AS current_version,
+      total_bonus, suggestion,
       CASE WHEN suggestion = 'none' THEN NULL WHEN current_version = '0.0.0' THEN
         CASE suggestion WHEN 'major' THEN '1.0.0' WHEN 'minor' THEN '0.1.0' ELSE '0.0.1' END
       ELSE concat(CAST(x + (y + z // 1000) // 1000 AS VARCHAR), '.', CAST((y + z // 1000) % 1000 AS VARCHAR), '.',
         CAST(z % 1000 AS VARCHAR)) END AS next_version,
-      diff_size, manual_cli_changes, manual_added_long_count, manual_removed_long_count FROM parts""",
+      diff_size, manual_cli_changes, manual_added_long_count, manual_removed_long_count,
+      CASE WHEN current_version IN ('bad', '0.0.0') THEN 0 ELSE greatest(1, 1 + (diff_size + 125) // 250 + total_bonus
+        + (total_bonus * diff_size + 125) // 250) END AS patch_delta,
+      CASE WHEN current_version IN ('bad', '0.0.0') THEN 0 ELSE greatest(1, 5 + (diff_size + 50) // 100 + total_bonus
+        + (total_bonus * diff_size + 250) // 500) END AS minor_delta,
+      CASE WHEN current_version IN ('bad', '0.0.0') THEN 0 ELSE greatest(1, 10 + (diff_size + 50) // 100 + total_bonus
+        + (total_bonus * diff_size + 500) // 1000) END AS major_delta FROM parts""",
     "bonus_suggestion_weighted": _bonus(_FROM_PARTS) + " SELECT range_id, total_bonus, suggestion FROM parts",
     "report_kv": f"""WITH {dv.FILES_SQL}, {_SUMMARY} SELECT range_id, upper(name) AS name, CAST(value AS VARCHAR) AS value
       FROM (UNPIVOT summary ON {", ".join(_FILE_NAMES)} INTO NAME name VALUE value) u""",
