@@ -5,8 +5,9 @@ size. It is worked on in chunks (see `ordered`); a block that lies inside one
 chunk is put together, keyed and counted there, and only blocks that touch a
 chunk boundary (at most two per chunk) travel as parts.
 
-Sizes: a block beyond 10 MiB is an error, found by a running total before any
-text is collected, so what one group collects from a chunk is bounded.
+Sizes: a block beyond 10 MiB is an error. Running totals find it before text is
+collected, inside a chunk as well as over the parts of a block, so what one
+group collects is bounded.
 """
 
 from __future__ import annotations
@@ -259,19 +260,30 @@ def assemble_pieces(numbered: DataFrame, options: CleanOptions) -> DataFrame:
 
 def _joined_parts(parts: Column, options: CleanOptions) -> dict[str, Column]:
     ordered = F.sort_array(parts)
-    n_bytes = F.aggregate(ordered["n_bytes"], F.lit(0).cast("long"), lambda a, b: a + b)
-    text = F.array_join(ordered["block_text"], "\n")
-    if options.check_limits:
-        text = _checked(text, n_bytes > MAX_BLOCK_BYTES, _BLOCK_ERROR)
+    n_lines = F.aggregate(ordered["n_lines"], F.lit(0).cast("long"), lambda a, b: a + b)
     return {
         "log_id": ordered[0]["log_id"],
         "block_no": ordered[0]["block_no"],
-        "n_lines": F.aggregate(ordered["n_lines"], F.lit(0).cast("long"), lambda a, b: a + b),
-        "block_text": text,
+        "n_lines": n_lines,
+        "block_text": F.array_join(ordered["block_text"], "\n"),
         "sig_key": tx.leading_lines(F.flatten(ordered["sigs"]), options.depth),
     }
 
 
+def _size_checked(parts: DataFrame, block: list[str], size: Column, options: CleanOptions) -> DataFrame:
+    """Fail at the part with which a block gets too big.
+
+    The window runs over sorted rows and can spill. It shares its shuffle with
+    the grouping that follows, so no more than the limit is ever collected.
+    """
+    if not options.check_limits:
+        return parts
+    so_far = W.partitionBy(*block).orderBy("log_id", "first_line").rowsBetween(*RUN)
+    summed = parts.withColumn("_size", F.sum(size).over(so_far))
+    text = _checked(F.col("block_text"), F.col("_size") > MAX_BLOCK_BYTES, _BLOCK_ERROR)
+    return summed.withColumn("block_text", text).drop("_size")
+
+
 def after_last_marker(lines: DataFrame, options: CleanOptions) -> DataFrame:
     """Lines of every log that follow its last marker; none if it has no marker.
 
@@ -299,55 +311,79 @@ def unique_lines(lines: DataFrame, options: CleanOptions | None = None) -> DataF
     return first.select("log_id", "first.line_no", "first.value", "sig_key", "repeats")
 
 
-_PART = ("log_id", "first_line", "block_no", "n_lines", "n_bytes", "block_text", "sigs")
+_PART = ("log_id", "first_line", "block_no", "n_lines", "block_text", "sigs")
 
 
-def _scope(options: CleanOptions) -> list[Column]:
-    return [F.col("log_id").alias("scope")] if options.scope == "log" else [F.lit(0).alias("scope")]
+def _scope(options: CleanOptions) -> Column:
+    return (F.col("log_id") if options.scope == "log" else F.lit(0)).alias("scope")
 
 
 def assemble_blocks(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     """Every block: log_id, epoch, block_no, n_lines, block_text, sig_key."""
-    parts = pieces.groupBy(*_scope(options), "epoch", F.col("block_no").alias("number")).agg(
-        F.collect_list(F.struct(*_PART)).alias("parts")
-    )
+    block = ["scope", "epoch", "block_no"]
+    parts = _size_checked(pieces.withColumn("scope", _scope(options)), block, F.col("n_bytes"), options)
+    grouped = parts.groupBy(*block).agg(F.collect_list(F.struct(*_PART)).alias("parts"))
     joined = _joined_parts(F.col("parts"), options)
-    return parts.select(
+    return grouped.select(
         joined["log_id"].alias("log_id"),
         "epoch",
-        *[joined[n].alias(n) for n in ("block_no", "n_lines", "block_text", "sig_key")],
+        "block_no",
+        *[joined[n].alias(n) for n in ("n_lines", "block_text", "sig_key")],
     )
 
 
 def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     """Repeats of whole blocks folded together before their text is shuffled.
 
-    Rows are either the first whole block of a signature with its number of
-    repeats (group is "s" and the signature), or the parts of one block that
-    crosses chunks (group is "b" and the block number, best is null).
+    Rows are the first whole block of a signature with its number of repeats
+    (key is "s" and the signature), or one part of a block that crosses chunks
+    (key is "b" and the block number).
     """
-    sig_key = tx.leading_lines(F.col("sigs"), options.depth)
     whole = F.col("whole")
-    group = F.when(whole, F.concat(F.lit("s"), sig_key)).otherwise(
-        F.concat(F.lit("b"), F.col("block_no").cast("string"))
+    sig_key = tx.leading_lines(F.col("sigs"), options.depth)
+    number = F.col("block_no").cast("string")
+    keyed = pieces.select(
+        _scope(options),
+        "epoch",
+        F.when(whole, F.concat(F.lit("s"), sig_key)).otherwise(F.concat(F.lit("b"), number)).alias("key"),
+        # Parts stay apart: a part is known by its log and first line.
+        F.when(~whole, F.struct("log_id", "first_line")).alias("part"),
+        F.struct(
+            "block_no",
+            "log_id",
+            "first_line",
+            "n_lines",
+            "n_bytes",
+            "block_text",
+            # The key of a whole block says it all.
+            F.when(~whole, F.col("sigs")).alias("sigs"),
+        ).alias("piece"),
     )
-    best = F.struct("block_no", "log_id", "block_text")
-    return pieces.groupBy(*_scope(options), "epoch", group.alias("group")).agg(
-        F.min(F.when(whole, best)).alias("best"),
-        F.count(F.when(whole, 1)).alias("repeats"),
-        F.collect_list(F.when(~whole, F.struct(*_PART))).alias("parts"),
+    folded = keyed.groupBy("scope", "epoch", "key", "part").agg(
+        F.min("piece").alias("piece"), F.count("*").alias("repeats")
     )
+    return folded.select("scope", "epoch", "key", F.col("part").isNull().alias("whole"), "piece.*", "repeats")
 
 
 def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
     """First block of every signature and how often the signature occurs."""
+    whole = F.col("whole")
+    block = ["scope", "epoch", "key"]
+    # A signature has one row by now, or one per batch of a stream.
+    size = F.when(whole, F.lit(0)).otherwise(F.col("n_bytes"))
+    parts = _size_checked(compacted, block, size, options)
+    grouped = parts.groupBy(*block).agg(
+        F.min(F.when(whole, F.struct("block_no", "log_id", "block_text"))).alias("best"),
+        F.sum("repeats").alias("repeats"),
+        F.collect_list(F.when(~whole, F.struct(*_PART))).alias("parts"),
+    )
     joined = _joined_parts(F.col("parts"), options)
     crossing = F.struct(*[joined[n].alias(n) for n in ("block_no", "log_id", "block_text")])
     is_whole = F.col("best").isNotNull()
-    blocks = compacted.select(
+    blocks = grouped.select(
         "scope",
         "epoch",
-        F.when(is_whole, F.substring("group", 2, 2**30)).otherwise(joined["sig_key"]).alias("sig_key"),
+        F.when(is_whole, F.substring("key", 2, 2**30)).otherwise(joined["sig_key"]).alias("sig_key"),
         F.when(is_whole, F.col("best")).otherwise(crossing).alias("block"),
         F.when(is_whole, F.col("repeats")).otherwise(1).alias("repeats"),
     )

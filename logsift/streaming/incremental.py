@@ -106,14 +106,9 @@ class BlockStream:
         if self.options.trim:
             current = current.filter(F.col("epoch") > 0)
         if closed_only:
-            open_block = F.concat(F.lit("b"), F.col("n_starts").cast("string"))
-            current = current.filter(F.col("group") != open_block)
-        merged = current.groupBy("scope", "epoch", "group").agg(
-            F.min("best").alias("best"),
-            F.sum("repeats").alias("repeats"),
-            F.flatten(F.collect_list("parts")).alias("parts"),
-        )
-        return bl.unique_blocks(merged, self.options)
+            is_open = ~F.col("whole") & (F.col("block_no") == F.col("n_starts"))
+            current = current.filter(~is_open)
+        return bl.unique_blocks(current.drop("n_starts"), self.options)
 
     def pending(self, last_batch: int, limit: int = MAX_PENDING_BLOCKS) -> DataFrame:
         """Per log: blocks that wait for the end of the input, and if they are too many."""
