@@ -11,11 +11,19 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only if it names none."""
-    folder = spark.sparkContext.getConf().get(SETTING) or spark.conf.get(SETTING, None)
-    folder = folder or spark.sparkContext.getCheckpointDir()
+    """The folder the session names for checkpoints.
+
+    Where none is named, a master that runs in this process gets a temporary folder,
+    once a session; on a cluster, whose executors would not see it, that is an error.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get(SETTING) or spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="logsift-")
+        master = context.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="logsift-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
