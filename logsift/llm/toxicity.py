@@ -43,7 +43,7 @@ WINDOW = 24
 LANDMARKS = 64
 #: Labelled texts that training takes of each class, those with the least hash of
 #: their id, and the longest text it takes.
-SAMPLE = {1: 1500, 0: 2500}
+SAMPLE = {1: 1000, 0: 1500}
 SAMPLE_BYTES = 40_000
 #: Texts that are not toxic whose words are tried on the first machine, and how many
 #: of the words it takes for insults are used to fit the second.
@@ -54,8 +54,12 @@ ROUNDS = 3
 #: Words of a toxic text that may speak for it: the first, and others that are rarely met elsewhere.
 WITNESSES = 3
 SURE = 4.0
+#: Of the words that speak most often, so many are disguised.
+DISGUISED = 200
+#: Words scored at a time.
+SCORED = 20_000
 #: Words mapped at a time in training.
-CHUNK = 5_000
+CHUNK = 1_000
 #: A word whose part of the margin is at most this has no say.
 QUIET = 0.25
 THRESHOLD = 0.5
@@ -171,9 +175,11 @@ class Model:
 
     def word_margins(self, words: list[str]) -> np.ndarray:
         """bias plus the word's part, which counts as QUIET if it is at most that."""
+        steps = range(0, len(words), SCORED)
+        return np.concatenate([np.zeros(0), *(self._margins(words[at : at + SCORED]) for at in steps)])
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         part = np.full(len(words), QUIET)
-        if not words:
-            return part
         flat, starts = self.letters.encode(words)
         n = len(flat) - SPAN + 1
         dots, least = np.zeros(n), np.zeros(n)
@@ -302,7 +308,8 @@ class Trainer:
             sure = [np.append(b[:1], b[1:][self.odds[b[1:]] > SURE]) for b in first]
             speak, times = np.unique(np.concatenate(sure), return_counts=True)
             # The chosen words also count with a letter put in, so that a disguise keeps a margin.
-            chosen = [(self.words[i], n) for i, n in zip(speak, times, strict=True) if n > 2]
+            often = np.argsort(-times, kind="stable")[:DISGUISED]
+            chosen = [(self.words[speak[i]], times[i]) for i in often if times[i] > 2]
             ways = [(d, n / len(w) / 8) for w, n in chosen for d in disguised(w)]
             extra = self.mapped([d for d, _ in ways])
             x = np.vstack([self.space, extra, wrong])
@@ -313,8 +320,8 @@ class Trainer:
             side = np.concatenate([np.ones(len(said)), -np.ones(len(wrong) + len(self.clean))])
             weight = np.concatenate([said, np.full(len(wrong), HARD_WEIGHT), np.ones(len(self.clean))])
             fitted = _linear(x, rows, side, weight)
-            margin = self.space @ fitted[:-1] + fitted[-1]
-        folded = self.tables @ (self.root @ fitted[:-1])
+            margin = self.space @ fitted[:-1].astype(np.float32) + fitted[-1]
+        folded = (self.tables @ (self.root @ fitted[:-1]).astype(np.float32)).astype(float)
         model = Model(self.letters, folded, float(fitted[-1]), 1.0, 0.0)
         return _calibrated(model, self.bags, self.y, list(hard))
 
