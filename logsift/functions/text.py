@@ -112,7 +112,7 @@ def strip_prefix(value: Column) -> Column:
 
 def strip_tool_prefix(value: Column) -> Column:
     """`strip_prefix` for lines that are known to be tool lines, without a regex."""
-    after = F.substring(value, F.locate("==", value, 3) + 2, F.lit(2**30))
+    after = F.substr(value, F.locate("==", value, 3) + 2)
     return F.ltrim(after, F.lit(" \t\n\v\f\r"))
 
 

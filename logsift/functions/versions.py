@@ -124,7 +124,7 @@ def refname_key(tag: Column) -> Column:
         digits = F.regexp_replace(F.regexp_extract(run, r"([0-9]*)\z", 1), r"\A0+", "")
         # A text before digits gets a "0": it then compares as those digits would.
         words = F.regexp_replace(run, r"[0-9]+\z", "0")
-        size = F.lpad(F.length(digits).cast("string"), 5, "0")
+        size = F.lpad(F.length(digits).cast("string"), 10, "0")
         return F.concat(words, F.lit("\x01"), size, digits)
 
     return F.array_join(F.transform(runs, key), "")
@@ -132,7 +132,7 @@ def refname_key(tag: Column) -> Column:
 
 def matches_release_prefix(tag: Column, prefix: str) -> Column:
     """Tag is the literal prefix followed by something like N.N.N."""
-    rest = F.substring(tag, len(prefix) + 1, 2**30)
+    rest = F.substr(tag, F.lit(len(prefix) + 1))
     return tag.startswith(F.lit(prefix)) & rest.rlike(r"(?s)\A[0-9].*\.[0-9].*\.[0-9]")
 
 

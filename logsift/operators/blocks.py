@@ -383,7 +383,7 @@ def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
     blocks = grouped.select(
         "scope",
         "epoch",
-        F.when(is_whole, F.substring("key", 2, 2**30)).otherwise(joined["sig_key"]).alias("sig_key"),
+        F.when(is_whole, F.substr("key", F.lit(2))).otherwise(joined["sig_key"]).alias("sig_key"),
         F.when(is_whole, F.col("best")).otherwise(crossing).alias("block"),
         F.when(is_whole, F.col("repeats")).otherwise(1).alias("repeats"),
     )

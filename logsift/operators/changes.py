@@ -70,25 +70,37 @@ def added_lines(diff_lines: DataFrame) -> DataFrame:
     return diff_lines.filter((F.col("sign") == "+") & ~F.col("text").startswith("++"))
 
 
+def changed_lines(diff_lines: DataFrame) -> DataFrame:
+    """Added and removed lines; context lines say nothing about a change."""
+    return diff_lines.filter(F.col("sign").isin("+", "-"))
+
+
 def without_merges(commits: DataFrame) -> DataFrame:
-    return commits.filter(~F.col("is_merge"))
+    """Commits that are not known to be merges."""
+    return commits.filter(~F.coalesce("is_merge", F.lit(False)))
 
 
 def without_space_changes(diff_lines: DataFrame, bits: int = 18) -> DataFrame:
     """Drop pairs of - and + lines of a file that differ in white space only.
 
     The n-th removed line cancels the n-th added line of the same text, so a
-    line moved inside its file cancels too. Other lines pass.
+    line moved inside its file cancels too. Other lines pass. Lines without a
+    range or path are taken as one file.
     """
     kept = diff_lines.columns
     signed = F.col("sign").isin("+", "-")
     # _bare is never null, so that a join on it infers no test that runs the regex.
-    keyed = diff_lines.filter(signed).withColumn(
-        "_bare", F.coalesce(F.regexp_replace("text", rf"{WHITE}+", ""), F.lit(""))
+    keyed = diff_lines.filter(signed).withColumns(
+        {
+            "_bare": F.coalesce(F.regexp_replace("text", rf"{WHITE}+", ""), F.lit("")),
+            # A letter before what is there, so that null is told from empty.
+            "_range": F.coalesce(F.concat(F.lit("r"), "range_id"), F.lit("")),
+            "_path": F.coalesce(F.concat(F.lit("p"), "path"), F.lit("")),
+        }
     )
     ranked = running(
         keyed,
-        ["range_id", "path", "_bare"],
+        ["_range", "_path", "_bare"],
         "line_no",
         sums={"_minus": F.col("sign") == "-", "_plus": F.col("sign") == "+"},
         totals=True,
@@ -168,7 +180,7 @@ def stacked(parts: Sequence[DataFrame]) -> DataFrame:
 
 def keyword_counts(diff_lines: DataFrame, commits: DataFrame) -> DataFrame:
     """Lines with announced words in code comments and in commit messages."""
-    code = _per_range(signed_lines(diff_lines), comment_counts(F.col("line")))
+    code = _per_range(signed_lines(changed_lines(diff_lines)), comment_counts(F.col("line")))
     return keyword_flags(stacked([code, message_keywords(commits)]))
 
 

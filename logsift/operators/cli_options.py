@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsift.operators.changes import signed_lines, stacked
+from logsift.operators.changes import changed_lines, signed_lines, stacked
 from logsift.operators.ordered import running
 
 _S = r"[ \t\n\x0B\f\r]"
@@ -108,7 +108,7 @@ def option_changes(sources: DataFrame, bits: int = 18) -> DataFrame:
 def diff_options(diff_lines: DataFrame) -> DataFrame:
     """Long options and case labels in changed lines: range_id, kind, sign, option."""
     line = F.concat("sign", "text")
-    changed = diff_lines.filter(F.col("sign").isin("+", "-")).select("range_id", "sign", line.alias("line"))
+    changed = changed_lines(diff_lines).select("range_id", "sign", line.alias("line"))
     changed = changed.filter(~F.col("line").rlike(COMMENT_LINE))
     shown = F.when(~F.col("line").rlike(f"(?s){QUOTED_DASHES}"), F.col("line"))
     found = F.array(
@@ -134,7 +134,8 @@ def pattern_counts(line: Column) -> dict[str, Column]:
 def diff_patterns(diff_lines: DataFrame) -> DataFrame:
     """Per range: lines per pattern, distinct kinds, removed prototypes."""
     counts = pattern_counts(F.col("line"))
-    return signed_lines(diff_lines).groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
+    lines = signed_lines(changed_lines(diff_lines))
+    return lines.groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
 
 
 def _sides(found: DataFrame, names: str) -> DataFrame:

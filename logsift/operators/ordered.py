@@ -77,14 +77,17 @@ def running(
     )
 
 
-def range_buckets(rows: DataFrame, key: str, buckets: int = 128) -> DataFrame:
+def range_buckets(rows: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Add `_bucket`, the place of `key` among sampled bounds; keys do not repeat.
 
     All rows of a bucket come before all rows of the next. The bounds are at
     most `buckets` keys with the smallest hashes, so they are the same on every
     run and fit one row, whatever the size of the table. A group of
-    rows, however large, is spread over the buckets its keys fall into.
+    rows, however large, is spread over the buckets its keys fall into. By
+    default there are four for each shuffle partition.
     """
+    if buckets is None:
+        buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = (
         rows.select(key)
         .orderBy(F.xxhash64(key), key)

@@ -77,22 +77,21 @@ def prune(
 ) -> DataFrame:
     """Tags to delete: all but the newest `keep` of each repo and the protected.
 
-    The newest tags come from a rank filter that Spark pushes below the shuffle
-    (up to 1000); the rest is an anti join on (repo, tag).
+    The newest tags come from the places of `version_order`, which spreads a repo
+    over buckets; the rest is an anti join on (repo, tag). A tag not known to
+    point at the head is not protected.
     """
     if keep < 0:
         raise ValueError("keep must not be negative")
     candidates = matching(tags, glob)
     rest = candidates
     if keep:
-        newest = W.partitionBy("repo").orderBy(refname_key(F.col("tag")).desc(), F.col("tag").desc())
-        ranked = candidates.select("repo", "tag").distinct().withColumn("place", F.row_number().over(newest))
-        kept = ranked.filter(F.col("place") <= keep).select("repo", "tag")
+        kept = version_order(candidates).filter(F.col("place") <= keep).select("repo", "tag")
         rest = candidates.join(kept, ["repo", "tag"], "left_anti")
     if protect:
         rest = rest.filter(~F.col("tag").rlike("|".join(f"(?:{glob_regex(g)})" for g in protect)))
     if protect_head:
-        rest = rest.filter(~F.col("points_at_head"))
+        rest = rest.filter(~F.coalesce("points_at_head", F.lit(False)))
     return rest.select("repo", "tag")
 
 
@@ -107,7 +106,7 @@ def order_violations(releases: DataFrame, prefix: str = "v", bits: int = 18) ->
     earlier = running(tagged, ["repo"], "seq", maxes={"_last": named}, inclusive=False, bits=bits)
 
     def bare(tag: Column) -> Column:
-        return F.substring(tag, len(prefix) + 1, 2**30)
+        return F.substr(tag, F.lit(len(prefix) + 1))
 
     new, last = bare(F.col("tag")), bare(F.col("_last.tag"))
     broken = (

@@ -38,9 +38,9 @@ _FLAGS = (
 
 
 def diff_metrics(diff_lines: DataFrame, c_paths: str | Sequence[str]) -> DataFrame:
-    """Comment words and argument patterns of the diff lines in one pass."""
+    """Comment words and argument patterns of the changed lines in one pass."""
     path = pt.path_selected(F.col("path"), c_paths)
-    lines = ch.signed_lines(diff_lines.withColumn("is_c", path), "is_c")
+    lines = ch.signed_lines(ch.changed_lines(diff_lines).withColumn("is_c", path), "is_c")
     # Patterns look at C files only: other lines count as null, which matches nothing.
     c_line = F.when(F.col("is_c"), F.col("line"))
     counts = {**ch.comment_counts(F.col("line")), **co.pattern_counts(c_line)}

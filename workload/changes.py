@@ -72,8 +72,8 @@ def _keywords() -> str:
     )
     names = [*kw.COMMENT_WORDS, *kw.MESSAGE_WORDS]
     return f"""{dv.DIFF_SQL}, {dv.COMMITS_SQL}, {_MESSAGES.format("' '")},
-    in_code AS (SELECT range_id, {code} FROM (SELECT range_id, {_FOLD.format("concat(sign, text)")} AS line FROM diff) c
-                GROUP BY range_id),
+    in_code AS (SELECT range_id, {code} FROM (SELECT range_id, {_FOLD.format("concat(sign, text)")} AS line FROM diff
+                WHERE sign IN ('+', '-')) c GROUP BY range_id),
     in_messages AS (SELECT range_id, {said} FROM (SELECT range_id, {_FOLD.format("text")} AS line FROM messages) m
                     GROUP BY range_id),
     counts AS (SELECT range_id, {", ".join(f"coalesce({n}, 0) AS {n}" for n in names)}
@@ -161,7 +161,8 @@ _PATTERNS = f"""patterns AS (SELECT range_id,
   {", ".join(_count_if(_has("line", p), n) for n, p in co.DIFF_PATTERNS.items())},
   {" + ".join(f"CAST(bool_or({_has('line', p)}) AS BIGINT)" for p in co.PATTERN_KINDS.values())} AS enhanced_cli_patterns,
   {_count_if(f'{_has("line", co.PROTOTYPE)} AND NOT {_has("line", co.NO_PROTOTYPE)}', "removed_prototypes")}
-  FROM (SELECT range_id, {_FOLD.format("concat(sign, text)")} AS line FROM picked_diff) p GROUP BY range_id)"""
+  FROM (SELECT range_id, {_FOLD.format("concat(sign, text)")} AS line FROM picked_diff
+    WHERE sign IN ('+', '-')) p GROUP BY range_id)"""
 
 
 def _per_side(source: str, option: str, name: str) -> str:
@@ -442,8 +443,8 @@ ORACLE = {
     "keyword_flags": f"WITH {_keywords()} SELECT * FROM keywords",
     "keyword_lines_added": "WITH "
     + _keywords()
-    .replace("AS line FROM diff)", "AS line FROM diff WHERE sign = '+' AND NOT starts_with(text, '++'))")
-    .replace("FROM commits)", "FROM commits WHERE NOT is_merge)")
+    .replace("WHERE sign IN ('+', '-')) c", "WHERE sign = '+' AND NOT starts_with(text, '++')) c")
+    .replace("FROM commits)", "FROM commits WHERE is_merge IS NOT TRUE)")
     + f" SELECT range_id, {_KEYWORD_LIST} FROM keywords",
     "security_occurrences": f"WITH {dv.DIFF_SQL}, {dv.COMMITS_SQL}, {_security(False)} SELECT * FROM security",
     "security_score": f"WITH {dv.DIFF_SQL}, {dv.COMMITS_SQL}, {_security(True)} {_SCORE}",
@@ -453,7 +454,7 @@ ORACLE = {
         SELECT page_id, unnest(string_split(html, '<')) AS text FROM pages) t) l GROUP BY page_id""",
     "top_security_texts": f"""WITH {dv.COMMITS_SQL}, hits AS (SELECT *, row_number() OVER (PARTITION BY range_id
         ORDER BY committed_at DESC, commit_id DESC) AS place FROM commits
-        WHERE NOT is_merge AND regexp_matches({_FOLD.format("subject")}, {_q("(?i)" + kw.SECURITY_WORDS)}))
+        WHERE is_merge IS NOT TRUE AND regexp_matches({_FOLD.format("subject")}, {_q("(?i)" + kw.SECURITY_WORDS)}))
       SELECT range_id, CAST(place AS INT) AS place, commit_id, subject FROM hits WHERE place <= 3""",
     "whitespace_only_changes": f"""WITH {dv.DIFF_SQL}, texts AS (SELECT range_id,
         {_count_if("sign = '+'", "p")}, {_count_if("sign = '-'", "m")}

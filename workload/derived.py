@@ -15,10 +15,7 @@ from logsift.sources.lines import text_lines
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; if it has fewer files than there are cores, it is spread out."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def run_sql(spark: SparkSession, sql: str, rows: DataFrame) -> DataFrame:
@@ -81,7 +78,8 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 _DIFF = """
 SELECT concat('r', CAST(log_id % 200 AS VARCHAR)) AS range_id,
-  concat('src/mod', CAST(log_id % 17 AS VARCHAR), CASE WHEN log_id % 6 = 0 THEN '.py' ELSE '.c' END) AS path,
+  CASE WHEN log_id % 37 = 5 THEN CAST(NULL AS VARCHAR)
+    ELSE concat('src/mod', CAST(log_id % 17 AS VARCHAR), CASE WHEN log_id % 6 = 0 THEN '.py' ELSE '.c' END) END AS path,
   log_id * 100000 + line_no AS line_no,
   CASE line_no % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END AS sign,
   CASE (log_id * 7 + line_no) % 24
@@ -163,7 +161,8 @@ def file_changes(spark: SparkSession, folder: str) -> DataFrame:
 _COMMITS = """
 SELECT concat('r', CAST(o_custkey % 200 AS VARCHAR)) AS range_id,
   concat('repo', CAST(o_custkey % 40 AS VARCHAR)) AS repo,
-  o_orderkey AS commit_id, o_orderdate AS committed_at, o_orderkey % 11 = 0 AS is_merge,
+  o_orderkey AS commit_id, o_orderdate AS committed_at, 
+  CASE WHEN o_orderkey % 17 <> 3 THEN o_orderkey % 11 = 0 END AS is_merge,
   CASE o_orderkey % 13 WHEN 0 THEN 'Breaking: new CLI' WHEN 1 THEN 'API breaking change'
     WHEN 2 THEN 'BREAKING CHANGE in output' WHEN 3 THEN 'Features: added a report'
     WHEN 4 THEN 'Fix vulnerability CVE-2023-1234' WHEN 5 THEN 'path traversal and xss'
@@ -185,7 +184,7 @@ SELECT concat('repo', CAST(o_custkey % 40 AS VARCHAR)) AS repo, o_orderkey AS se
     CAST(o_orderkey % 3 AS VARCHAR), '.', CAST(o_orderkey % 23 AS VARCHAR), '.',
     CAST(o_orderkey % 7 AS VARCHAR),
     CASE WHEN o_orderkey % 4 = 0 THEN concat('-rc.', CAST(o_orderkey % 15 AS VARCHAR)) ELSE '' END) AS tag,
-  o_orderkey % 97 = 0 AS points_at_head
+  CASE WHEN o_orderkey % 5 <> 2 THEN o_orderkey % 97 = 0 END AS points_at_head
 FROM """
 
 # The numbers of a tag, its place among tag names and among versions.

@@ -197,10 +197,10 @@ def path_audit(spark: SparkSession, folder: str) -> DataFrame:
     pages = dv.table(spark, folder, "pages")
     tail = F.regexp_replace("url", "^https?://[^/]*", "")
     path = (
-        F.when(F.col("page_id") % 4 == 0, F.substring(tail, 2, 2**30))
+        F.when(F.col("page_id") % 4 == 0, F.substr(tail, F.lit(2)))
         .when(F.col("page_id") % 4 == 1, tail)
-        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("../"), F.substring(tail, 2, 5)))
-        .otherwise(F.substring(tail, 2, 4))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("../"), F.substr(tail, F.lit(2))))
+        .otherwise(F.substr(tail, F.lit(2)))
     )
     return ql.path_audit(pages.select(path.alias("path")))
 
@@ -305,7 +305,7 @@ ORACLE = {
         count(*) FILTER (WHERE size > 150) AS n_large_blocks FROM sizes GROUP BY log_id) q""",
     "path_audit": r"""WITH tails AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS tail FROM pages),
         paths AS (SELECT CASE page_id % 4 WHEN 0 THEN substr(tail, 2) WHEN 1 THEN tail
-                  WHEN 2 THEN concat('../', substr(tail, 2, 5)) ELSE substr(tail, 2, 4) END AS path FROM tails)
+                  WHEN 2 THEN concat('../', substr(tail, 2)) ELSE substr(tail, 2) END AS path FROM tails)
         SELECT CASE WHEN path = '-' THEN 'ok' WHEN path = '' THEN 'empty_or_nul'
           WHEN regexp_matches(path, '[`$(){}\[\]|&;<>"''\\]') THEN 'dangerous'
           WHEN path[1] = '/' OR regexp_matches(path, '^[\x00-\x7F]:[/\\]') THEN 'absolute'

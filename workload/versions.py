@@ -40,10 +40,10 @@ def version_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def version_compare(spark: SparkSession, folder: str) -> DataFrame:
-    """Every release tag against v1.11.3-rc.7."""
-    tags = dv.tags(spark, folder).filter(F.col("tag").startswith("v"))
-    bare = F.substring("tag", 2, 2**30)
-    return tags.select("repo", "tag", vs.compare(bare, F.lit("1.11.3-rc.7")).alias("order"))
+    """The version of every tag against that of the tag before it by name."""
+    pairs = tg.previous_tags(dv.tags(spark, folder))
+    new, old = (F.regexp_replace(c, "^(v|old-)", "") for c in ("tag", "previous_tag"))
+    return pairs.select("repo", "tag", "previous_tag", vs.compare(new, old).alias("order"))
 
 
 def version_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,8 +133,9 @@ ORACLE = {
       concat('v', {_BARE}) AS tag, CAST(split_part({_BARE}, '.', 1) AS BIGINT) AS major,
       CAST(split_part({_BARE}, '.', 2) AS BIGINT) AS minor, CAST(split_part({_BARE}, '.', 3) AS BIGINT) AS patch
       FROM texts""",
-    "version_compare": f"""WITH {dv.TAGS_SQL} SELECT repo, tag,
-      CAST(sign(version_rank - (1000000000 + 11000000 + 3000 + 7)) AS INT) AS "order" FROM tags WHERE starts_with(tag, 'v')""",
+    "version_compare": f"""WITH {dv.TAGS_SQL} SELECT repo, tag, lag(tag) OVER w AS previous_tag,
+      CAST(sign(version_rank - lag(version_rank) OVER w) AS INT) AS "order"
+      FROM tags WINDOW w AS (PARTITION BY repo ORDER BY tag[1], name_rank)""",
     "version_order": f"""WITH {dv.TAGS_SQL} SELECT repo, tag, row_number() OVER (PARTITION BY repo
       ORDER BY tag[1] DESC, name_rank DESC) AS place FROM tags""",
     "latest_tag": f"""WITH {dv.TAGS_SQL} SELECT repo, arg_max(tag, name_rank) AS tag FROM tags
@@ -143,7 +144,7 @@ ORACLE = {
       AS previous_tag FROM tags WHERE starts_with(tag, 'v')""",
     "prune_tags": f"""WITH {dv.TAGS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY repo
         ORDER BY name_rank DESC) AS place FROM tags WHERE starts_with(tag, 'v'))
-      SELECT repo, tag FROM ranked WHERE place > 10 AND NOT points_at_head
+      SELECT repo, tag FROM ranked WHERE place > 10 AND points_at_head IS NOT TRUE
       AND NOT regexp_matches(tag, '^v0\\..*$') AND NOT regexp_matches(tag, '^v1\\.2.\\..*$')""",
     "tag_counts": f"""WITH {dv.TAGS_SQL} SELECT repo, count(*) AS total_tags FROM tags
       WHERE regexp_matches(tag, '^v[12]\\.') GROUP BY repo""",
