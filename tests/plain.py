@@ -71,14 +71,11 @@ def strip_prefix(line):
 
 
 def is_head(text):
-    at = 0
-    while at < len(text) and text[at] not in DIGITS:
-        at += 1
-    end = _run(text, at, DIGITS)
-    if end == at or not text.startswith(" bytes in ", end):
-        return False
-    count = _run(text, end + 10, DIGITS)
-    return count > end + 10 and text.startswith(" blocks", count)
+    """From the first number on: number, bytes, in, number, blocks..., one space between."""
+    rest = text.lstrip("".join(set(text) - set(DIGITS)))
+    words = rest.split(" ", 4)
+    numbers = all(w and set(w) <= set(DIGITS) for w in (words[0], *words[3:4]))
+    return len(words) == 5 and numbers and words[1:3] == ["bytes", "in"] and words[4].startswith("blocks")
 
 
 def clean(lines, depth=1, trim=True, scrub=True, marker="Successfully downloaded debug"):

@@ -12,12 +12,10 @@ from logsift.operators import commits as cm
 from logsift.operators import quality as ql
 
 CLASSES = {
-    "doc/README.md": 20, "docs/api.md": 20, "README": 20, "src/main.cpp": 30, "src/header.h": 30,
-    "app/helper.cc": 30, "source/utils.c": 30, "test/unit_test.cpp": 10, "tests/integration_test.c": 10,
-    "build/object.o": 0, "dist/app.exe": 0, "node_modules/package": 0, "target/debug": 0, "vendor/lib.so": 0,
-    "package-lock.json": 0, "": 0, "unknown.txt": 20, "src/test/helper.cpp": 10, "x/CMakeLists.txt": 30,
-    "a/b.lock": 0, "Third-Party/x": 0, "third_party/x.c": 0, "foo.spec.ts": 10, "lib": 30, "notes.RST": 20,
-    "a.c\n": 0, "LICENSE.old": 20, "data.bin": 0,
+    "guide/Setup.md": 20, "README.fr": 20, "engine/loop.cpp": 30, "engine/loop.hh": 30, "tools/gen.cc": 30,
+    "lib/mix.c": 30, "tests/mix_check.c": 10, "src/test/probe.cpp": 10, "check.spec.js": 10,
+    "build/loop.o": 0, "vendor/mix/mix.c": 0, "third_party/zip.c": 0, "deps.lock": 0, "": 0, "art.png": 0,
+    "engine/CMakeLists.txt": 30, "words.rst": 20, "lib": 30, "mix.c\n": 0,
 }
 
 

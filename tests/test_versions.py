@@ -14,30 +14,22 @@ from logsift.sources.weights import default_weights, weight_struct
 
 # current, bump, loc, bonus, base delta, multiplier, total bonus, total delta, next
 MATH = [
-    ("1.2.3", "patch", 100, 5, 1, "1.40", 7, 8, "1.2.11"),
-    ("1.2.3", "minor", 500, 10, 10, "2.00", 20, 30, "1.2.33"),
-    ("1.2.3", "major", 1000, 15, 20, "2.00", 30, 50, "1.2.53"),
-    ("1.2.3", "major", 2000, 50, 30, "3.00", 150, 180, "1.2.183"),
-    ("1.2.3", "patch", 0, 10, 1, "1.00", 10, 11, "1.2.14"),
-    ("1.2.3", "minor", 100, 0, 6, "1.20", 0, 6, "1.2.9"),
-    ("1.2.995", "patch", 100, 10, 1, "1.40", 14, 15, "1.3.10"),
-    ("1.999.999", "major", 1000, 100, 20, "2.00", 200, 220, "2.0.219"),
-    ("1.2.3", "patch", 1, 0, 1, "1.00", 0, 1, "1.2.4"),
-    ("1.2.3", "major", 10000, 1000, 110, "11.00", 11000, 11110, "1.13.113"),
-    ("1.2.999", "patch", 1, 0, 1, "1.00", 0, 1, "1.3.0"),
-    ("1.999.999", "patch", 1, 0, 1, "1.00", 0, 1, "2.0.0"),
-    ("0.0.0", "PATCH", 999, 9, 0, "1.00", 0, 0, "0.0.1"),
-    ("nope", "minor", 1, 1, 0, "1.00", 0, 0, "0.1.0"),
-    ("0.0.0", "major", 1, 1, 0, "1.00", 0, 0, "1.0.0"),
+    ("0.4.17", "patch", 750, 8, 4, "4.00", 32, 36, "0.4.53"),
+    ("3.0.980", "patch", 250, 12, 2, "2.00", 24, 26, "3.1.6"),
+    ("7.1.0", "minor", 1500, 4, 20, "4.00", 16, 36, "7.1.36"),
+    ("5.999.990", "minor", 0, 6, 5, "1.00", 6, 11, "6.0.1"),
+    ("2.5.8", "major", 3000, 9, 40, "4.00", 36, 76, "2.5.84"),
+    ("2.5.8", "major", 500, 0, 15, "1.50", 0, 15, "2.5.23"),
+    ("0.0.0", "PATCH", 40, 2, 0, "1.00", 0, 0, "0.0.1"),
+    ("none", "minor", 3, 2, 0, "1.00", 0, 0, "0.1.0"),
+    ("0.0.0", "major", 8, 5, 0, "1.00", 0, 0, "1.0.0"),
 ]
 
-ROLLOVER = [
-    ("9.6.2", "9.6.0", 2), ("9.6.10", "9.6.8", 2), ("9.6.0", "9.6.0", 0), ("9.7.1", "9.6.999", 2), ("9.7.0", "9.6.999", 1),
-    ("9.7.50", "9.6.999", 51), ("9.8.0", "9.6.999", 1001), ("10.0.1", "9.999.999", 2), ("10.0.0", "9.999.999", 1),
-    ("10.0.50", "9.999.999", 51), ("10.1.0", "9.999.999", 1001), ("10.0.1", "9.999.995", 6), ("10.1.25", "9.999.975", 1050),
-    ("10.0.999", "9.999.999", 1000), ("0.0.1", "0.0.0", 1), ("0.1.0", "0.0.999", 1), ("1.0.0", "0.999.999", 1),
-    ("100.0.0", "99.999.999", 1), ("9.3.6", "9.3.0", 6), ("9.4.1", "9.3.995", 6), ("9.3.37", "9.3.0", 37),
-]
+
+def as_number(version):
+    """Versions in base 1000: a patch delta is added to this number."""
+    major, minor, patch = map(int, version.split("."))
+    return (major * 1000 + minor) * 1000 + patch
 
 
 def test_version_math(spark):
@@ -50,9 +42,13 @@ def test_version_math(spark):
 
 
 def test_rollover(spark):
-    rows = spark.createDataFrame([(i, c, "patch", d) for i, (_, c, d) in enumerate(ROLLOVER)], "i int, current_version string, bump string, delta long")
-    got = sc.next_version_direct(rows).orderBy("i").collect()
-    assert [r["next_version"] for r in got] == [e for e, _, _ in ROLLOVER]
+    rng = random.Random(11)
+    parts = lambda: (rng.randrange(40), rng.choice([0, 7, 998, 999, rng.randrange(1000)]), rng.choice([0, 993, 999, rng.randrange(1000)]))
+    cases = [(i, ".".join(map(str, parts())), "patch", rng.choice([0, 1, 2, 30, 999, 1000, 4321])) for i in range(60)]
+    rows = spark.createDataFrame(cases, "i int, current_version string, bump string, delta long")
+    got = sc.next_version_direct(rows).collect()
+    assert {r["i"]: as_number(r["next_version"]) for r in got} == {i: as_number(v) + d for i, v, _, d in cases}
+    assert all(int(part) < 1000 for r in got for part in r["next_version"].split(".")[1:])
 
 
 def test_direct_bumps(spark):
