@@ -27,11 +27,14 @@ def count_text(text: Column) -> Column:
 def kv_map(text: Column) -> Column:
     """Map of ``key=value`` lines, split at the first ``=``; the last key wins."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.contains("="))
-    latest = F.array_distinct(F.transform(lines, lambda line: F.substring_index(line, "=", 1)))
 
-    def value_of(key: Column) -> Column:
-        same = F.filter(lines, lambda line: F.substring_index(line, "=", 1) == key)
-        last = F.element_at(same, -1)
-        return F.struct(key.alias("key"), F.substring(last, F.length(key) + 2, F.length(last)).alias("value"))
+    def entry(line: Column, place: Column) -> Column:
+        key = F.substring_index(line, "=", 1)
+        return F.struct(key.alias("key"), place.alias("place"), F.substr(line, F.length(key) + 2).alias("value"))
 
-    return F.map_from_entries(F.transform(latest, value_of))
+    # Sorted by key and place, so that the last entry of a key has another key behind it.
+    entries = F.array_sort(F.transform(lines, entry))
+    following = F.slice(entries, 2, F.greatest(F.size(entries), F.lit(0)))
+    last = F.zip_with(entries, following, lambda a, b: F.when(b.isNull() | (a["key"] != b["key"]), a))
+    kept = F.filter(last, lambda e: e.isNotNull())
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))

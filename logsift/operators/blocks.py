@@ -5,9 +5,10 @@ size. It is worked on in chunks (see `ordered`); a block that lies inside one
 chunk is put together, keyed and counted there, and only blocks that touch a
 chunk boundary (at most two per chunk) travel as parts.
 
-Sizes: a block beyond 10 MiB is an error. Running totals find it before text is
-collected, inside a chunk as well as over the parts of a block, so what one
-group collects is bounded.
+Sizes: running totals find a block beyond 10 MiB before its text is collected,
+inside a chunk as well as over the parts of a block, so what one group collects
+is bounded. Such a block is an error if options say strict. Otherwise it takes no
+part in the joined and folded blocks; `oversize_lines` has all its lines.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def place_chunks(totals: DataFrame, options: CleanOptions) -> DataFrame:
 
 
 def _wanted_chunks(placed: DataFrame, options: CleanOptions) -> DataFrame:
-    if options.check_limits:
+    if options.strict:
         too_long = F.col("long_line") > F.col("from_line")
         placed = placed.withColumn(
             "from_line", _checked(F.col("from_line"), F.coalesce(too_long, F.lit(False)), _LINE_ERROR)
@@ -236,22 +237,27 @@ def assemble_pieces(numbered: DataFrame, options: CleanOptions) -> DataFrame:
     in_key = F.col("pos") <= options.depth if options.depth else None
     keyed = tx.with_canonical(numbered, "text", "sig", options.canonical_rules, in_key)
     line = F.struct("line_no", "raw")
-    if options.check_limits:
-        too_big = F.col("piece_bytes") > MAX_BLOCK_BYTES
+    too_big = F.col("piece_bytes") > MAX_BLOCK_BYTES
+    if options.strict:
         line = F.struct("line_no", _checked(F.col("raw"), too_big, _BLOCK_ERROR).alias("raw"))
-    sig_line = F.when(F.col("sig").isNotNull(), F.struct("line_no", "sig"))
+    else:
+        # Nothing more is collected of a block that is not going to be joined.
+        line = F.when(~too_big, line)
+    sig_line = F.when(F.col("sig").isNotNull() & ~too_big, F.struct("line_no", "sig"))
     grouped = keyed.groupBy("log_id", "chunk", "epoch", "block_no", "whole").agg(
         F.sort_array(F.collect_list(line)).alias("lines"),
         F.sort_array(F.collect_list(sig_line)).alias("sig_lines"),
         F.max("piece_bytes").alias("n_bytes"),
+        F.min("line_no").alias("first_line"),
+        F.count("*").alias("n_lines"),
     )
     return grouped.select(
         "log_id",
         "epoch",
         "block_no",
         "whole",
-        F.col("lines")[0]["line_no"].alias("first_line"),
-        F.size("lines").cast("long").alias("n_lines"),
+        "first_line",
+        "n_lines",
         "n_bytes",
         F.array_join(F.col("lines.raw"), "\n").alias("block_text"),
         F.col("sig_lines.sig").alias("sigs"),
@@ -271,17 +277,40 @@ def _joined_parts(parts: Column, options: CleanOptions) -> dict[str, Column]:
 
 
 def _size_checked(parts: DataFrame, block: list[str], size: Column, options: CleanOptions) -> DataFrame:
-    """Fail at the part with which a block gets too big.
+    """Fail at the part with which a block gets too big, or leave out its text from there on.
 
     The window runs over sorted rows and can spill. It shares its shuffle with
     the grouping that follows, so no more than the limit is ever collected.
     """
-    if not options.check_limits:
-        return parts
     so_far = W.partitionBy(*block).orderBy("log_id", "first_line").rowsBetween(*RUN)
     summed = parts.withColumn("_size", F.sum(size).over(so_far))
-    text = _checked(F.col("block_text"), F.col("_size") > MAX_BLOCK_BYTES, _BLOCK_ERROR)
-    return summed.withColumn("block_text", text).drop("_size")
+    too_big = F.col("_size") > MAX_BLOCK_BYTES
+    if options.strict:
+        return summed.withColumn("block_text", _checked(F.col("block_text"), too_big, _BLOCK_ERROR))
+    return summed.withColumns(
+        {n: F.when(~too_big, F.col(n)) for n in ("block_text", "sigs")}
+    )
+
+
+def oversize_lines(numbered: DataFrame, options: CleanOptions, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """All lines of the blocks beyond the limit: log_id, epoch, block_no, part_no, text.
+
+    A part is a line; part_no counts the block's lines from 1. Which blocks these are
+    comes from sums of sizes; only their lines are shuffled again.
+    """
+    block = ["scope", "epoch", "block_no"]
+    lines = numbered.withColumn("scope", _scope(options))
+    size = F.sum(F.octet_length("raw").cast("long") + 1).alias("size")
+    large = lines.groupBy(*block).agg(size).filter(F.col("size") > max_block_bytes).select(*block)
+    found = lines.join(large, block)
+    # Chunks of a block are counted apart and their totals summed up, as in `running`.
+    chunks = found.groupBy(*block, "log_id", "chunk").agg(F.count("*").alias("held"))
+    before = W.partitionBy(*block).orderBy("log_id", "chunk").rowsBetween(*BEFORE)
+    starts = chunks.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0))).drop("held")
+    inside = W.partitionBy(*block, "log_id", "chunk").orderBy("line_no")
+    placed = found.join(starts, [*block, "log_id", "chunk"])
+    part_no = F.col("start") + F.row_number().over(inside)
+    return placed.select("log_id", "epoch", "block_no", part_no.alias("part_no"), F.col("raw").alias("text"))
 
 
 def after_last_marker(lines: DataFrame, options: CleanOptions) -> DataFrame:
@@ -322,7 +351,9 @@ def assemble_blocks(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     """Every block: log_id, epoch, block_no, n_lines, block_text, sig_key."""
     block = ["scope", "epoch", "block_no"]
     parts = _size_checked(pieces.withColumn("scope", _scope(options)), block, F.col("n_bytes"), options)
-    grouped = parts.groupBy(*block).agg(F.collect_list(F.struct(*_PART)).alias("parts"))
+    grouped = parts.groupBy(*block).agg(
+        F.collect_list(F.struct(*_PART)).alias("parts"), F.max("_size").alias("_size")
+    ).filter(F.col("_size") <= MAX_BLOCK_BYTES)
     joined = _joined_parts(F.col("parts"), options)
     return grouped.select(
         joined["log_id"].alias("log_id"),
@@ -342,7 +373,9 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     whole = F.col("whole")
     sig_key = tx.leading_lines(F.col("sigs"), options.depth)
     number = F.col("block_no").cast("string")
-    keyed = pieces.select(
+    # Blocks that are too big as they are go no further.
+    fitting = pieces.filter(F.col("n_bytes") <= MAX_BLOCK_BYTES) if not options.strict else pieces
+    keyed = fitting.select(
         _scope(options),
         "epoch",
         F.when(whole, F.concat(F.lit("s"), sig_key)).otherwise(F.concat(F.lit("b"), number)).alias("key"),
@@ -376,7 +409,8 @@ def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
         F.min(F.when(whole, F.struct("block_no", "log_id", "block_text"))).alias("best"),
         F.sum("repeats").alias("repeats"),
         F.collect_list(F.when(~whole, F.struct(*_PART))).alias("parts"),
-    )
+        F.max("_size").alias("_size"),
+    ).filter(F.col("_size") <= MAX_BLOCK_BYTES)
     joined = _joined_parts(F.col("parts"), options)
     crossing = F.struct(*[joined[n].alias(n) for n in ("block_no", "log_id", "block_text")])
     is_whole = F.col("best").isNotNull()

@@ -56,7 +56,8 @@ class CleanOptions:
     marker       literal text of a marker line
     scope        "log": every log by itself; "all": all logs, in the order of
                  their ids, as one long log
-    check_limits fail on a line or block beyond the size limits
+    strict       fail on a line or block beyond the size limits; otherwise such lines
+                 are kept, and such blocks come line by line from `plans.clean.oversize`
     chunk_bits   ordered work is cut into runs of 2**chunk_bits line numbers
     """
 
@@ -65,7 +66,7 @@ class CleanOptions:
     scrub: bool = True
     marker: str = DEFAULT_MARKER
     scope: str = "log"
-    check_limits: bool = True
+    strict: bool = False
     start_phrases: tuple[str, ...] = START_PHRASES
     canonical_rules: tuple[tuple[str, str], ...] = CANONICAL_RULES
     scrub_rules: tuple[tuple[str, str], ...] = SCRUB_RULES

@@ -28,11 +28,18 @@ def blocks(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     return bl.assemble_blocks(_pieces(lines, options), options)
 
 
+def oversize(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
+    """Lines of the blocks that `clean` and `blocks` leave out for their size."""
+    options = options or CleanOptions()
+    return bl.oversize_lines(number(lines, options), options)
+
+
 def clean(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """One block per signature: log_id, epoch, block_no, block_text, sig_key, repeats.
 
     `lines` has log_id, line_no and value. The rows come in no set order;
-    `sinks.write_blocks` sorts them.
+    `sinks.write_blocks` sorts them. Blocks beyond the size limit fail if options say
+    strict; else their lines are what `oversize` gives.
     """
     if lines.isStreaming:
         raise ValueError("lines must be a table; streaming.BlockStream takes streams")

@@ -37,13 +37,21 @@ _FLAGS = (
 )
 
 
-def diff_metrics(diff_lines: DataFrame, c_paths: str | Sequence[str]) -> DataFrame:
-    """Comment words and argument patterns of the changed lines in one pass."""
+def diff_metrics(
+    diff_lines: DataFrame, c_paths: str | Sequence[str], added_only: bool = False
+) -> DataFrame:
+    """Comment words and argument patterns of the changed lines in one pass.
+
+    With added_only, words count in added lines only; patterns look at both signs.
+    """
     path = pt.path_selected(F.col("path"), c_paths)
-    lines = ch.signed_lines(ch.changed_lines(diff_lines).withColumn("is_c", path), "is_c")
+    own = (F.col("sign") == "+") & ~F.col("text").startswith("++") if added_only else F.lit(True)
+    flags = {"is_c": path, "has_say": own}
+    lines = ch.signed_lines(ch.changed_lines(diff_lines).withColumns(flags), *flags)
     # Patterns look at C files only: other lines count as null, which matches nothing.
     c_line = F.when(F.col("is_c"), F.col("line"))
-    counts = {**ch.comment_counts(F.col("line")), **co.pattern_counts(c_line)}
+    said = F.when(F.col("has_say"), F.col("line")) if added_only else F.col("line")
+    counts = {**ch.comment_counts(said), **co.pattern_counts(c_line)}
     return lines.groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
 
 
@@ -54,20 +62,32 @@ def range_metrics(
     commits: DataFrame,
     option_sources: DataFrame,
     only_paths: str | Sequence[str] = "",
+    exclude_paths: str | Sequence[str] = "",
+    ignore_space: bool = False,
+    added_only: bool = False,
+    no_merges: bool = False,
 ) -> DataFrame:
     """Every range with all its metrics; what a range lacks is 0 or false.
 
-    Diff lines are read twice, every other table once or twice; what is put
-    together at the end has one row per range and metric table.
+    ignore_space leaves out pairs of lines that differ in white space only (line
+    counts in `file_changes` are taken as they are); added_only counts announced
+    words in added lines only; no_merges leaves out messages of merges.
+
+    Diff lines and commits are read twice, option sources four times, file changes
+    once; what is put together at the end has one row per range and metric table.
     """
-    picked = ch.select_paths(file_changes, only_paths, path=ch.changed_path(file_changes))
-    lines = ch.select_paths(diff_lines, only_paths)
+    picked = ch.select_paths(file_changes, only_paths, exclude_paths, ch.changed_path(file_changes))
+    lines = ch.select_paths(diff_lines, only_paths, exclude_paths)
+    if ignore_space:
+        lines = ch.without_space_changes(lines)
+    if no_merges:
+        commits = ch.without_merges(commits)
     c_paths = only_paths or C_FAMILY_GLOBS
     c_lines = ch.select_paths(lines, c_paths)
     parts = [
         ch.file_change_summary(picked),
-        *co.option_parts(ch.select_paths(option_sources, c_paths), c_lines),
-        diff_metrics(lines, c_paths),
+        *co.option_parts(ch.select_paths(option_sources, c_paths, exclude_paths), c_lines),
+        diff_metrics(lines, c_paths, added_only),
         ch.message_keywords(commits),
         ch.message_security(commits).withColumnRenamed("security_keywords", "security_words"),
     ]

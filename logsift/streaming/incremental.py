@@ -76,6 +76,7 @@ class BlockStream:
         chunks = bl.place_more_chunks(totals, seen, options)
         pieces = bl.assemble_pieces(bl.number_lines(timely, chunks, options), options)
         self._write(bl.compact_pieces(pieces, options), "blocks", batch_id)
+        self._write(flagged.filter("is_late").select("log_id", "line_no", "value"), "late", batch_id)
         # Written last: it is what the next batch starts from.
         self._write(self._counts(totals, late_lines, seen), "logs", batch_id)
 
@@ -93,6 +94,13 @@ class BlockStream:
         """Counts per log after a batch, late lines among them."""
         return self._read("logs", last_batch)
 
+    def late(self, last_batch: int) -> DataFrame:
+        """Lines that came at or after a later line of their log and are in no block.
+
+        `plans.clean.clean` over all lines of those logs gives their right blocks.
+        """
+        return self.spark.read.parquet(*[self._folder("late", b) for b in range(last_batch + 1)])
+
     def blocks(self, last_batch: int, closed_only: bool = False) -> DataFrame:
         """Unique blocks after the last marker, as `clean` gives them.
 

@@ -199,12 +199,26 @@ def test_limits_fail(as_lines):
     long_line = as_lines({"a": [P + "Invalid read", P + "x" * (1024 * 1024), MARK, P + "ok"]})
     assert clean(long_line).count() == 1  # before the cut it does not matter
     with pytest.raises(Exception, match="Line too long"):
-        clean(long_line, CleanOptions(trim=False)).collect()
-    assert clean(long_line, CleanOptions(trim=False, check_limits=False)).count() == 1
+        clean(long_line, CleanOptions(trim=False, strict=True)).collect()
+    assert clean(long_line, CleanOptions(trim=False)).count() == 1
     wide = as_lines({"a": [P + "Invalid read"] + [P + "y" * 500_000] * 24})
     for bits in (4, 18):
         with pytest.raises(Exception, match="Block too large"):
-            clean(wide, CleanOptions(trim=False, chunk_bits=bits)).collect()
+            clean(wide, CleanOptions(trim=False, chunk_bits=bits, strict=True)).collect()
+
+
+@pytest.mark.parametrize("bits", [4, 18])
+@pytest.mark.parametrize("scope", ["log", "all"])
+def test_oversize_blocks_leave_the_others_alone(as_lines, bits, scope):
+    small = {"b": [P + "Invalid read", P + "small"], "c": [P + "Invalid write", P + "tail"]}
+    wide = [P + "Invalid read"] + [P + f"{n} " + "y" * 500_000 for n in range(24)]
+    lines = as_lines({"a": [*wide, P + "Invalid write", P + "after"], **small})
+    options = CleanOptions(trim=False, chunk_bits=bits, scope=scope, depth=2)
+    for rows in (clean(lines, options).collect(), plan.blocks(lines, options).collect()):
+        assert sorted(r["block_text"] for r in rows) == ["Invalid read\nsmall", "Invalid write\nafter", "Invalid write\ntail"]
+    parts = sorted(plan.oversize(lines, options).collect(), key=lambda r: r["part_no"])
+    assert [r["part_no"] for r in parts] == list(range(1, 26))
+    assert [r["text"] for r in parts] == [x.removeprefix(P) for x in wide]
 
 
 def test_quality_reports(as_lines):

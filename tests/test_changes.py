@@ -213,3 +213,24 @@ def test_commit_tables(spark):
     history = commits.select(F.col("range_id").alias("repo"), "commit_id", "committed_at")
     bases = {d: tuple(cm.base_by_day(history, d).first())[1:] for d in ("2024-01-02", "2023-12-31", "2025-01-01")}
     assert bases == {"2024-01-02": ("c", "date"), "2023-12-31": ("a", "first"), "2025-01-01": ("d", "date")}
+
+
+def test_context_lines_do_not_count(spark):
+    """Words and patterns in unchanged lines are no change; security words keep their context."""
+    lines = [" // CLI BREAKING", " getopt(argc, argv", " // SECURITY fix", "+x", " buffer overflow"]
+    diff = _diff(spark, lines)
+    none = _commits(spark, [])
+    words = ch.keyword_counts(diff, none).first()
+    assert words["cli_breaking_keywords"] == words["security_keywords"] == 0
+    assert co.diff_patterns(diff).first()["getopt_changes"] == 0
+    assert ch.security_counts(diff, none).first()["memory_safety_issues"] == 1
+
+
+def test_nulls_keep_their_rows(spark):
+    diff = spark.createDataFrame(
+        [("r", None, 1, "+", "a b"), ("r", None, 2, "-", "ab"), ("r", None, 3, "+", "new"), (None, "p", 4, "-", "gone")],
+        schemas.DIFF_LINES,
+    )
+    assert sorted(r["line_no"] for r in ch.without_space_changes(diff, bits=4).collect()) == [3, 4]
+    rows = spark.createDataFrame([(1, None), (2, True), (3, False)], "id int, is_merge boolean")
+    assert sorted(r["id"] for r in ch.without_merges(rows).collect()) == [1, 3]

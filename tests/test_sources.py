@@ -49,6 +49,32 @@ def test_lines_keep_their_order_over_splits(spark, log_folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_order_holds_however_splits_are_packed(spark, tmp_path):
+    """Full splits that share tasks, and passes with another parallelism."""
+    text = [f"line {n} with some thirty bytes" for n in range(12_000)]
+    (tmp_path / "big.log").write_text("\n".join(text) + "\n")
+    names = ("maxPartitionBytes", "maxPartitionNum", "minPartitionNum")
+    before = {n: spark.conf.get(f"spark.sql.files.{n}", None) for n in names}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.maxPartitionNum", "2")
+        rows = read_lines(spark, str(tmp_path)).collect()
+        assert [r["value"] for r in sorted(rows, key=lambda r: r["line_no"])] == text
+        assert len({r["line_no"] for r in rows}) == len(text)
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        lines = read_lines(spark, str(tmp_path))
+        first = sorted(map(tuple, lines.collect()))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
+        assert sorted(map(tuple, read_lines(spark, str(tmp_path)).collect())) == first
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        for name, value in before.items():
+            key = f"spark.sql.files.{name}"
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_many_splits_clean_like_one(spark, log_folder):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     results = []
@@ -108,8 +134,8 @@ def test_reports(spark, tmp_path):
     texts = {r["range_id"]: r["json"] for r in sinks.to_json_rows(report).collect()}
     assert texts["r2"] == '{"n":0,"flag":false,"note":"say \\"x\\"\\n"}'
     sinks.write_kv(report.drop("note"), str(tmp_path / "kv"))
-    lines = (tmp_path / "kv").glob("range_id=r1/part-*.txt")
-    assert sorted("".join(f.read_text() for f in lines).split()) == ["FLAG=true", "N=3"]
+    lines = "".join(f.read_text() for f in (tmp_path / "kv").glob("part-*")).splitlines()
+    assert [x for x in sorted(lines) if x.startswith("r1\t")] == ["r1\tFLAG=true", "r1\tN=3"]
     sinks.write_json(report, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
 

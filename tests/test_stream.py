@@ -62,7 +62,7 @@ def test_late_lines_are_left_out(spark, tmp_path):
 def test_a_running_query(spark, tmp_path):
     options = CleanOptions(depth=1)
     stream = BlockStream(spark, str(tmp_path / "store"), options)
-    logs = {name: LOGS[name] for name in ("smoke", "two_markers", "marker_none")}
+    logs = {name: LOGS[name] for name in ("report", "two_markers", "marker_none")}
     seen = []
     for rows in _cut(logs, random.Random(2), 2):
         seen += rows

@@ -151,3 +151,9 @@ def test_suggestions(spark):
     assert _release(spark, diff=diff, commits=commit, weights=weight_struct(table))["suggestion"] == "major"
     one = spark.range(1).select(default_weights().alias("d"), weight_struct(table).alias("w")).first()
     assert (one["d"]["api_breaking"], one["w"]["api_breaking"], one["w"]["security"], one["w"]["major_from"]) == (3, 5, 2, 8)
+
+
+@pytest.mark.parametrize("keep", [2, 2000])
+def test_prune_with_unknown_heads(spark, keep):
+    tags = spark.createDataFrame([("one", f"v1.0.{n}", None) for n in range(5)], "repo string, tag string, points_at_head boolean")
+    assert tg.prune(tags, keep).count() == max(0, 5 - keep)

@@ -306,13 +306,14 @@ def base_by_date(spark: SparkSession, folder: str) -> DataFrame:
     return cm.base_by_day(dv.commits(spark, folder), "1995-02-10")
 
 
-def _metrics(spark: SparkSession, folder: str) -> DataFrame:
+def _metrics(spark: SparkSession, folder: str, **more) -> DataFrame:
     return release.range_metrics(
         dv.ranges(spark, folder),
         dv.file_changes(spark, folder),
         dv.diff_lines(spark, folder),
         dv.commits(spark, folder),
         dv.option_sources(spark, folder),
+        **more,
     )
 
 
@@ -320,6 +321,19 @@ def bonus_suggestion(spark: SparkSession, folder: str) -> DataFrame:
     return release.suggest_releases(_metrics(spark, folder))
 
 
+def bonus_suggestion_no_space(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = _metrics(spark, folder, ignore_space=True, no_merges=True)
+    return release.suggest_releases(metrics).select("range_id", "total_bonus", "suggestion")
+
+
+def release_json(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.release_json(bonus_suggestion(spark, folder))
+
+
+def security_json(spark: SparkSession, folder: str) -> DataFrame:
+    return sinks.security_json(security_score(spark, folder))
+
+
 def bonus_suggestion_weighted(spark: SparkSession, folder: str) -> DataFrame:
     # Weights from a given table: the smallest size per part type, by rule.
     part = dv.table(spark, folder, "part")
@@ -384,6 +398,9 @@ QUERIES = {
     "base_by_date": base_by_date,
     "bonus_suggestion": bonus_suggestion,
     "bonus_suggestion_weighted": bonus_suggestion_weighted,
+    "bonus_suggestion_no_space": bonus_suggestion_no_space,
+    "release_json": release_json,
+    "security_json": security_json,
     "report_json": report_json,
     "report_kv": report_kv,
     "kv_round_trip": kv_round_trip,
@@ -512,3 +529,29 @@ ORACLE = {
       FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS digits
             FROM orders) o""",
 }
+
+# Without pairs that differ in white space only, as in without_whitespace_changes.
+_KEPT_DIFF = f"""all_diff AS ({dv.DIFF_SQL.partition("diff AS (")[2]},
+  diff AS (SELECT * EXCLUDE (bare, n, partners) FROM (SELECT *,
+      row_number() OVER (PARTITION BY range_id, path, bare, sign ORDER BY line_no) AS n,
+      CASE sign WHEN '-' THEN sum(CASE WHEN sign = '+' THEN 1 ELSE 0 END) OVER g
+        ELSE sum(CASE WHEN sign = '-' THEN 1 ELSE 0 END) OVER g END AS partners
+    FROM (SELECT *, {_NO_SPACE} AS bare FROM all_diff) b WINDOW g AS (PARTITION BY range_id, path, bare)) r
+    WHERE sign NOT IN ('+', '-') OR n > partners)"""
+_SHOWN = """concat('{"suggestion":"', suggestion, '","current_version":"', current_version, '"',
+  CASE WHEN next_version IS NULL THEN '' ELSE concat(',"next_version":"', next_version, '"') END,
+  ',"total_bonus":', total_bonus, ',"manual_cli_changes":', manual_cli_changes,
+  ',"manual_added_long_count":', manual_added_long_count, ',"manual_removed_long_count":', manual_removed_long_count,
+  ',"loc_delta":{"patch_delta":', patch_delta, ',"minor_delta":', minor_delta, ',"major_delta":', major_delta, '}}')"""
+_SECURE = """concat('{"security_keywords":', security_keywords, ',"security_patterns":', security_patterns,
+  ',"cve_patterns":', cve_patterns, ',"memory_safety_issues":', memory_safety_issues, ',"crash_fixes":', crash_fixes,
+  ',"total_security_score":', total_security_score, ',"risk":"', risk,
+  '","weights":{"commits":1,"diff_security":1,"cve":3,"memory":2,"crash":1}}')"""
+ORACLE |= {
+    "bonus_suggestion_no_space": ORACLE["bonus_suggestion_weighted"]
+    .replace(_bonus(_FROM_PARTS), _bonus(_DEFAULT))
+    .replace(dv.DIFF_SQL, dv.DIFF_SQL.partition("diff AS (")[0] + _KEPT_DIFF)
+    .replace("FROM commits)", "FROM commits WHERE is_merge IS NOT TRUE)"),
+    "release_json": f"SELECT range_id, {_SHOWN} AS json FROM ({ORACLE['bonus_suggestion']}) shown",
+    "security_json": f"SELECT range_id, {_SECURE} AS json FROM ({ORACLE['security_score']}) shown",
+}

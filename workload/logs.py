@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logsift import CleanOptions, clean
+from logsift import CleanOptions, clean, sinks
 from logsift.functions import text as tx
 from logsift.operators import blocks as bl
 from logsift.operators import quality as ql
 from logsift.plans import clean as plan
+from logsift.sources.lines import read_lines
 from logsift.sources.storage import fresh_folder
 from logsift.streaming import BlockStream
 from workload import derived as dv
@@ -193,6 +195,34 @@ def block_quality(spark: SparkSession, folder: str) -> DataFrame:
     return ql.block_quality(plan.number(dv.log_lines(spark, folder)), max_block_bytes=150)
 
 
+def oversize_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the blocks over 90 bytes, numbered inside their block."""
+    options = CleanOptions()
+    return bl.oversize_lines(plan.number(dv.log_lines(spark, folder), options), options, 90)
+
+
+def text_file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents written as text files and read back: their order within a document."""
+    path = fresh_folder(spark, "lines")
+    rows = dv.document_lines(spark, folder)
+    text = F.concat_ws("\t", "log_id", "line_no", "value").alias("value")
+    ordered = rows.repartitionByRange("log_id").sortWithinPartitions("log_id", "line_no")
+    ordered.select(text).write.option("lineSep", "\n").text(path)
+    lines = read_lines(spark, path)
+    parts = F.split("value", "\t", 3)
+    named = lines.select(parts[0].cast("long").alias("doc_id"), "line_no", parts[1].cast("long").alias("written"), parts[2].alias("value"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")).cast("long") - 1
+    return named.select("doc_id", place.alias("line_no"), "written", "value")
+
+
+def block_text_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks written as text, an empty line after each, and read back."""
+    path = fresh_folder(spark, "blocks")
+    sinks.write_blocks(_clean(DEPTH_3)(spark, folder), path)
+    blocks = spark.read.option("lineSep", "\n\n").text(path).filter(F.col("value") != "")
+    return blocks.groupBy(F.col("value").alias("block_text")).agg(F.count("*").alias("n_blocks"))
+
+
 def path_audit(spark: SparkSession, folder: str) -> DataFrame:
     pages = dv.table(spark, folder, "pages")
     tail = F.regexp_replace("url", "^https?://[^/]*", "")
@@ -205,7 +235,7 @@ def path_audit(spark: SparkSession, folder: str) -> DataFrame:
     return ql.path_audit(pages.select(path.alias("path")))
 
 
-def stream_unique_blocks(spark: SparkSession, folder: str) -> DataFrame:
+def _streamed(spark: SparkSession, folder: str) -> BlockStream:
     """The log arrives in three runs of lines; the stream is stopped between them."""
     base = fresh_folder(spark, "stream")
     log = dv.log_lines(spark, folder)
@@ -217,7 +247,16 @@ def stream_unique_blocks(spark: SparkSession, folder: str) -> DataFrame:
         arrived.write.mode("append").parquet(f"{base}/lines")
         lines = spark.readStream.schema(log.schema).parquet(f"{base}/lines")
         stream.start(lines, f"{base}/checkpoint", availableNow=True).awaitTermination()
-    return stream.blocks(2)
+    return stream
+
+
+def stream_unique_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder).blocks(2)
+
+
+def stream_pending(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs whose waiting blocks are too many, by a limit of one."""
+    return _streamed(spark, folder).pending(2, limit=1)
 
 
 QUERIES = {
@@ -248,8 +287,12 @@ QUERIES = {
     "dedup_document_lines": dedup_document_lines,
     "log_quality": log_quality,
     "block_quality": block_quality,
+    "oversize_blocks": oversize_blocks,
+    "text_file_lines": text_file_lines,
+    "block_text_round_trip": block_text_round_trip,
     "path_audit": path_audit,
     "stream_unique_blocks": stream_unique_blocks,
+    "stream_pending": stream_pending,
 }
 
 _TEXTS = f"WITH {dv.LOG_SQL}, texts AS (SELECT *, {_TEXT} AS text FROM log WHERE {_TOOL})"
@@ -312,4 +355,14 @@ ORACLE = {
           WHEN contains(path, '..') THEN 'traversal' ELSE 'ok' END AS verdict, count(*) AS n_paths
         FROM paths GROUP BY 1""",
     "stream_unique_blocks": _unique(3),
+    "stream_pending": f"""SELECT log_id, count(*) AS n_pending,
+        CASE WHEN count(*) > 2 THEN 'too_many_pending' ELSE 'ok' END AS problem FROM ({_unique(3)}) u GROUP BY log_id""",
+    "oversize_blocks": f"""WITH {_numbered()}, sizes AS (SELECT scope, block_no, sum(strlen(raw) + 1) AS size
+        FROM kept GROUP BY scope, block_no)
+        SELECT log_id, CAST(epoch AS BIGINT) AS epoch, block_no,
+          row_number() OVER (PARTITION BY scope, block_no ORDER BY line_no) AS part_no, raw AS text
+        FROM kept JOIN sizes USING (scope, block_no) WHERE size > 90""",
+    "text_file_lines": f"""WITH {dv.DOC_LINES_SQL}
+        SELECT log_id AS doc_id, line_no, line_no AS written, value FROM doc_lines""",
+    "block_text_round_trip": f"""SELECT block_text, count(*) AS n_blocks FROM ({_unique(3)}) u GROUP BY block_text""",
 }
