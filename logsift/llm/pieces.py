@@ -39,14 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from logsift.llm.tables import extended, without
+from logsift.llm.tables import extended, portions, without
 
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 NBEST = 3
 MARK = "▁"
 PENALTY = 10.0
 #: A worker forgets its solved chunks when it has more.
-KEPT = 400_000
+KEPT = 300_000
 #: Chunks longer than this are solved one by one.
 LONGEST_TOGETHER = 64
 
@@ -339,7 +339,15 @@ class Encoder:
         return [raw[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(stops, stops[1:], strict=False)]
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, n: int, vocabulary: Vocabulary) -> Encoder:
+    """The worker's encoder, which outlives a task; a worker keeps one."""
+    if (path, n) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, n] = Encoder(vocabulary, n)
+    return _ENCODERS[path, n]
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
@@ -351,24 +359,19 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
     held = spark.sparkContext.broadcast(Vocabulary.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, n)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(held.value, n)
-        encoder = _ENCODERS[key]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids, scores = encoder.encode(part.column("text").to_pylist())
-                decoded = encoder.decode(ids)
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                made = [
-                    lists,
-                    pa.array(np.diff(ends), pa.int64()),
-                    pa.array(scores, pa.list_(pa.float64())),
-                    pa.array(decoded, pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *ADDED])
+        encoder = _encoder(path, n, held.value)
+        for part in portions(batches, 500):
+            ids, scores = encoder.encode(part.column("text").to_pylist())
+            decoded = encoder.decode(ids)
+            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
+            made = [
+                lists,
+                pa.array(np.diff(ends), pa.int64()),
+                pa.array(scores, pa.list_(pa.float64())),
+                pa.array(decoded, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *ADDED])
 
     rows = docs.select(*without(docs, *ADDED))
     return rows.mapInArrow(run, extended(rows, ADDED))
