@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logsift.llm.components import components
-from logsift.llm.tables import without
+from logsift.llm.tables import portions, without
 from logsift.sources.storage import saved
 
 WORDS = 3
 SEED = 42
 THRESHOLD = 2
 #: Hashes whose bits are counted at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -84,7 +84,7 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         values = fingerprints_of(batch.column("text").to_pylist()).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("mark"), pa.array(values)], names=["doc_id", "mark", "fp"]
@@ -127,7 +127,9 @@ def anchors(fp: Column) -> Column:
 
 def links(distinct: DataFrame) -> DataFrame:
     """u < v, fingerprints at most 2 bits apart; a link may come from several anchors."""
-    placed = distinct.select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    # Few bytes make many rows here, which Spark's merging of small partitions cannot know.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = distinct.repartition(parts, "fp").select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
     met = placed.groupBy("anchor").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     firsts = met.select("members", F.explode("members").alias("u"))
     near = F.filter("members", lambda m: (m > F.col("u")) & (F.bit_count(m.bitwiseXOR(F.col("u"))) <= THRESHOLD))

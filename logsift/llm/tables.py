@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,17 @@ def extended(table: DataFrame, added: dict[str, str]) -> T.StructType:
     return T.StructType([*table.schema.fields, *more])
 
 
+#: Texts that a task works on at a time.
+ROWS = 2000
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc_mod(key: str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo the divisor; a null id counts as the empty text."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
