@@ -138,17 +138,53 @@ def diff_patterns(diff_lines: DataFrame) -> DataFrame:
     return lines.groupBy("range_id").agg(*[c.alias(n) for n, c in counts.items()])
 
 
-def _sides(found: DataFrame, names: str) -> DataFrame:
-    """Options per side and on one side only, as counts per range."""
-    sides = found.groupBy("range_id", "option").agg(
+_KINDS = ("short", "long", "text")
+
+
+def option_sides(sources: DataFrame, bits: int = 18) -> DataFrame:
+    """Short options, long options and option texts per side and on one side only, as counts per range.
+
+    One pass over the lines finds all three kinds; the table state of a line is what
+    takes the second reading, of lines that open or close a table, name or call.
+    """
+    line = F.col("line_no")
+    telling = "|".join(f"(?:{p})" for p in (TABLE_OPENS, TABLE_CLOSES, BRACED_NAME, DOTTED_NAME, GETOPT_CALL))
+    told = sources.filter(F.col("text").rlike(telling)).withColumn("path", F.coalesce("path", F.lit("")))
+    placed = running(
+        told,
+        ["range_id", "side", "path"],
+        "line_no",
+        maxes={
+            "_open": F.when(F.col("text").rlike(TABLE_OPENS), line),
+            "_close": F.when(F.col("text").rlike(TABLE_CLOSES), line),
+        },
+        bits=bits,
+    )
+    inside = F.col("_open") > F.coalesce("_close", F.col("_open") - 1)
+    names = F.array_compact(F.array(_first(F.col("text"), BRACED_NAME), _first(F.col("text"), DOTTED_NAME)))
+    strings = F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))
+    letters = F.flatten(F.transform(strings, lambda s: F.split(F.replace(s, F.lit(":")), "")))
+    none = F.array().cast("array<string>")
+
+    def of_kind(kind: str, options: Column) -> Column:
+        return F.transform(options, lambda o: F.struct(F.lit(kind).alias("kind"), o.alias("option")))
+
+    called = F.col("text").rlike(GETOPT_CALL)
+    found = F.concat(
+        of_kind("long", F.when(inside, F.flatten(F.transform(names, lambda n: F.split(n, ",")))).otherwise(none)),
+        of_kind("short", F.when(called, letters).otherwise(none)),
+        # An option text is one of its file.
+        of_kind("text", F.when(called, F.transform(strings, lambda s: F.concat("path", F.lit("\n"), s))).otherwise(none)),
+    )
+    options = placed.select("range_id", "side", F.explode(found).alias("found")).select("range_id", "side", "found.*")
+    sides = options.filter(F.col("option") != "").groupBy("range_id", "kind", "option").agg(
         F.max(F.col("side") == "before").alias("before"),
         F.max(F.col("side") == "after").alias("after"),
     )
+    before, after = F.col("before"), F.col("after")
+    tests = {"before": before, "after": after, "removed": before & ~after, "added": after & ~before}
     return sides.groupBy("range_id").agg(
-        F.count_if("before").alias(f"{names}_before"),
-        F.count_if("after").alias(f"{names}_after"),
-        F.count_if(F.col("before") & ~F.col("after")).alias(f"{names}_removed"),
-        F.count_if(F.col("after") & ~F.col("before")).alias(f"{names}_added"),
+        *[F.count_if((F.col("kind") == k) & t).alias(f"{k}_{n}") for k in _KINDS for n, t in tests.items()]
     )
 
 
@@ -168,12 +204,6 @@ OPTION_FLAGS = ("cli_changes", "breaking_cli_changes", "api_breaking", "manual_c
 
 def option_parts(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> list[DataFrame]:
     """Tables of counts, one row per range each, that `option_flags` needs."""
-    strings = optstrings(sources)
-    short = _sides(short_options(strings), "short")
-    long = _sides(long_names(sources, bits), "long")
-    text = _sides(
-        strings.select("range_id", "side", F.struct("path", "optstring").alias("option")), "text"
-    )
     manual = diff_options(diff_lines).groupBy("range_id", "kind", "option").agg(
         F.max(F.col("sign") == "+").alias("added"), F.max(F.col("sign") == "-").alias("removed")
     )
@@ -183,7 +213,7 @@ def option_parts(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> l
         F.count_if(is_long & F.col("removed")).alias("manual_removed_long_count"),
         F.count_if(~is_long & F.col("removed") & ~F.col("added")).alias("missing_cases"),
     )
-    return [short, long, text, manual]
+    return [option_sides(sources, bits), manual]
 
 
 def option_summary(sources: DataFrame, diff_lines: DataFrame, bits: int = 18) -> DataFrame:

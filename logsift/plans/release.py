@@ -73,8 +73,7 @@ def range_metrics(
     counts in `file_changes` are taken as they are); added_only counts announced
     words in added lines only; no_merges leaves out messages of merges.
 
-    Diff lines and commits are read twice, option sources four times, file changes
-    once; what is put together at the end has one row per range and metric table.
+    Diff lines, commits and option sources are read twice, file changes once; what is put together at the end has one row per range and metric table.
     """
     picked = ch.select_paths(file_changes, only_paths, exclude_paths, ch.changed_path(file_changes))
     lines = ch.select_paths(diff_lines, only_paths, exclude_paths)
