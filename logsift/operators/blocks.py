@@ -398,6 +398,16 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
     return folded.select("scope", "epoch", "key", F.col("part").isNull().alias("whole"), "piece.*", "repeats")
 
 
+def fold_again(compacted: DataFrame) -> DataFrame:
+    """Compacted pieces of several batches as if they had come in one."""
+    fields = ("block_no", "log_id", "first_line", "n_lines", "n_bytes", "block_text", "sigs")
+    part = F.when(~F.col("whole"), F.struct("log_id", "first_line"))
+    folded = compacted.groupBy("scope", "epoch", "key", "whole", part.alias("part")).agg(
+        F.min(F.struct(*fields)).alias("piece"), F.sum("repeats").alias("repeats")
+    )
+    return folded.select("scope", "epoch", "key", "whole", "piece.*", "repeats")
+
+
 def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
     """First block of every signature and how often the signature occurs."""
     whole = F.col("whole")

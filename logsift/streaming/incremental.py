@@ -8,7 +8,10 @@ joins the parts and drops what a later marker has made void. That is what the
 end of the input shows.
 
 Tables are written under `store`, a shared folder on a cluster. A batch writes
-its own folders only, so a repeated batch changes nothing.
+its own folders only, so a repeated batch changes nothing. It writes the state of
+the logs it met, not of all. Every `merge_every` batches the states and blocks so
+far are merged and what a marker has made void is dropped; a reader takes the last
+merge and the batches since, so what a batch costs does not grow with their number.
 """
 
 from __future__ import annotations
@@ -27,10 +30,15 @@ class BlockStream:
     """Unique blocks of logs that arrive in micro-batches.
 
     Lines of a log must arrive in order; a line at or before the last one seen
-    in an earlier batch is late: it is counted and left out.
+    in an earlier batch is late: it is counted and kept in a table of its own.
     """
 
-    def __init__(self, spark: SparkSession, store: str, options: CleanOptions | None = None):
+    def __init__(
+        self, spark: SparkSession, store: str, options: CleanOptions | None = None, merge_every: int = 16
+    ):
+        if merge_every < 1:
+            raise ValueError("merge_every must be at least 1")
+        self.merge_every = merge_every
         self.spark = spark
         self.store = store.rstrip("/")
         self.options = options or CleanOptions()
@@ -47,6 +55,36 @@ class BlockStream:
     def _read(self, table: str, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(self._folder(table, batch_id))
 
+    def _folders(self, table: str, last_batch: int) -> list[str]:
+        """The last merge and the batches since: at most `merge_every` folders."""
+        merged = (last_batch + 1) // self.merge_every * self.merge_every - 1
+        since = [self._folder(table, b) for b in range(merged + 1, last_batch + 1)]
+        return [self._folder(f"{table}_merged", merged), *since] if merged >= 0 else since
+
+    def _merge(self, batch_id: int) -> None:
+        """Write logs and current blocks up to a batch as one folder each."""
+        before = {
+            table: self.spark.read.parquet(
+                *([] if batch_id < self.merge_every else [self._folder(f"{table}_merged", batch_id - self.merge_every)]),
+                *[self._folder(table, b) for b in range(batch_id - self.merge_every + 1, batch_id + 1)],
+            )
+            for table in ("logs", "blocks")
+        }
+        logs = self._latest(before["logs"])
+        self._write(bl.fold_again(self._current(before["blocks"], logs).drop("n_starts")), "blocks_merged", batch_id)
+        self._write(logs, "logs_merged", batch_id)
+
+    def _latest(self, states: DataFrame) -> DataFrame:
+        """The last state of each log."""
+        values = [c for c in states.columns if c not in ("batch", "log_id")]
+        last = F.max(F.struct("batch_id", *[c for c in values if c != "batch_id"])).alias("last")
+        return states.groupBy("log_id").agg(last).select("log_id", "last.*")
+
+    def _current(self, blocks: DataFrame, logs: DataFrame) -> DataFrame:
+        """Folded blocks that no marker has made void, with the log's starts so far."""
+        now = logs.select(F.col("log_id").alias("scope"), F.col("n_markers").alias("epoch"), "n_starts")
+        return blocks.join(now, ["scope", "epoch"])
+
     # --- taking in lines -------------------------------------------------------
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
@@ -60,7 +98,7 @@ class BlockStream:
         """Take in the lines of one micro-batch; batches count from 0."""
         options = self.options
         flagged = bl.flag_lines(batch, options)
-        seen = self._read("logs", batch_id - 1) if batch_id else None
+        seen = self.logs(batch_id - 1) if batch_id else None
         if seen is not None:
             # One row per log; Spark broadcasts it if small, else splits hot logs.
             flagged = flagged.join(
@@ -78,21 +116,29 @@ class BlockStream:
         self._write(bl.compact_pieces(pieces, options), "blocks", batch_id)
         self._write(flagged.filter("is_late").select("log_id", "line_no", "value"), "late", batch_id)
         # Written last: it is what the next batch starts from.
-        self._write(self._counts(totals, late_lines, seen), "logs", batch_id)
-
-    def _counts(self, totals: DataFrame, late_lines: DataFrame, seen: DataFrame | None) -> DataFrame:
+        self._write(self._counts(totals, late_lines, seen, batch_id), "logs", batch_id)
+        if (batch_id + 1) % self.merge_every == 0:
+            self._merge(batch_id)
+
+    def _counts(
+        self, totals: DataFrame, late_lines: DataFrame, seen: DataFrame | None, batch_id: int
+    ) -> DataFrame:
+        """The state of the logs that the batch has lines of."""
         own = totals.select("log_id", "last_line", "n_starts", "n_markers")
         grown = own.unionByName(late_lines, allowMissingColumns=True)
         if seen is not None:
-            grown = grown.unionByName(seen)
+            met = seen.join(late_lines.select("log_id"), "log_id", "left_semi")
+            grown = grown.unionByName(met.drop("batch_id"))
         count = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_starts", "n_markers", "late_lines")]
-        return grown.groupBy("log_id").agg(F.max("last_line").alias("last_line"), *count)
+        return grown.groupBy("log_id").agg(
+            F.lit(batch_id).cast("long").alias("batch_id"), F.max("last_line").alias("last_line"), *count
+        )
 
     # --- showing blocks --------------------------------------------------------
 
     def logs(self, last_batch: int) -> DataFrame:
         """Counts per log after a batch, late lines among them."""
-        return self._read("logs", last_batch)
+        return self._latest(self.spark.read.parquet(*self._folders("logs", last_batch)))
 
     def late(self, last_batch: int) -> DataFrame:
         """Lines that came at or after a later line of their log and are in no block.
@@ -106,11 +152,8 @@ class BlockStream:
 
         With `closed_only`, blocks that the next batch may add to are left out.
         """
-        folders = [self._folder("blocks", b) for b in range(last_batch + 1)]
-        now = self.logs(last_batch).select(
-            F.col("log_id").alias("scope"), F.col("n_markers").alias("epoch"), "n_starts"
-        )
-        current = self.spark.read.parquet(*folders).join(now, ["scope", "epoch"])
+        blocks = self.spark.read.parquet(*self._folders("blocks", last_batch))
+        current = self._current(blocks, self.logs(last_batch))
         if self.options.trim:
             current = current.filter(F.col("epoch") > 0)
         if closed_only:

@@ -46,6 +46,24 @@ def test_batches_give_what_the_table_gives(spark, tmp_path, as_lines, options):
     assert 0 < closed <= len(want)
 
 
+def test_cost_stays_level(spark, tmp_path, as_lines):
+    """Few folders are read and few states written however many batches have come."""
+    logs = _random_logs(random.Random(3), 5, 60)
+    options = CleanOptions(depth=2, chunk_bits=4)
+    stream = BlockStream(spark, str(tmp_path / "store"), options, merge_every=3)
+    batches = _cut(logs, random.Random(4), 8)
+    for batch_id, rows in enumerate(batches):
+        stream.absorb(spark.createDataFrame(rows, SCHEMA), batch_id)
+        assert len(stream._folders("blocks", batch_id)) <= 3
+        assert stream._read("logs", batch_id).count() == len({r[0] for r in rows})
+        if batch_id in (4, 5, 7):
+            so_far = [r for part in batches[: batch_id + 1] for r in part]
+            want = _rows(clean(spark.createDataFrame(so_far, SCHEMA), options))
+            assert _rows(stream.blocks(batch_id)) == want
+    stream.absorb(spark.createDataFrame(batches[7], SCHEMA), 7)
+    assert _rows(stream.blocks(7)) == _rows(clean(as_lines(logs), options))
+
+
 def test_late_lines_are_left_out(spark, tmp_path):
     rows = [("a", n, f"==12== Invalid read of size {n}") for n in range(10)]
     stream = BlockStream(spark, str(tmp_path / "s"), CleanOptions(trim=False))
@@ -57,6 +75,7 @@ def test_late_lines_are_left_out(spark, tmp_path):
     waiting = {r["log_id"]: r for r in stream.pending(1, limit=6).collect()}
     assert (waiting["a"]["n_pending"], waiting["a"]["problem"]) == (8, "too_many_pending")
     assert stream.pending(1).first()["problem"] == "ok"
+    assert sorted(r["line_no"] for r in stream.late(1).collect()) == [0, 1, 2]
 
 
 def test_a_running_query(spark, tmp_path):
