@@ -169,15 +169,16 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, query_
         row[: len(v)] = v
     chosen = choose_pivots(rows, pivots) if len(rows) else rows
     blocks = max(1, -(-n_queries // query_block))
-    # Enough cells for all tasks, and no more copies of the queries than that takes.
+    # Two cells a task, and no more copies of the queries than that takes.
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, -(-parallel // blocks))
+    slices = max(1, -(-2 * parallel // blocks))
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = asked.select("vec_id", "v", block.alias("block"), all_of(slices).alias("slice"), F.lit(0).alias("kind"))
     right = sound.select("vec_id", "v", all_of(blocks).alias("block"), part.alias("slice"), F.lit(1).alias("kind"))
-    dealt = left.unionByName(right).repartition("block", "slice").sortWithinPartitions("block", "slice", "kind")
+    # A number given keeps Spark from merging cells, whose work it cannot know from their bytes.
+    dealt = left.unionByName(right).repartition(parallel, "block", "slice").sortWithinPartitions("block", "slice", "kind")
     best = dealt.mapInArrow(_search(chosen, width or 1, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")
