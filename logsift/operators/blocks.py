@@ -23,6 +23,8 @@ from logsift.options import MAX_BLOCK_BYTES, MAX_LINE_BYTES, CleanOptions
 from logsift.sources.storage import saved
 
 _BEFORE_ALL_LINES = -(2**63)
+#: So many logs, those with most unwanted lines, are cut before the lines are shuffled.
+CUTS = 10_000
 _LINE_ERROR = f"Line too long (max {MAX_LINE_BYTES} bytes)"
 _BLOCK_ERROR = f"Block too large (max {MAX_BLOCK_BYTES} bytes)"
 
@@ -179,9 +181,28 @@ def _wanted_chunks(placed: DataFrame, options: CleanOptions) -> DataFrame:
     )
 
 
-def number_lines(flagged: DataFrame, chunks: DataFrame, options: CleanOptions) -> DataFrame:
+def largest_cuts(totals: DataFrame, options: CleanOptions) -> DataFrame | None:
+    """log_id, cut: the first chunk that is wanted, of the logs with most chunks before it.
+
+    At most CUTS rows, so that they may be broadcast. None if nothing is cut log by log.
+    """
+    if not options.trim or options.scope != "log":
+        return None
+    marks = totals.groupBy("log_id").agg(F.max("marker_line").alias("mark"), F.max("last_line").alias("last"))
+    # A log without a marker is not wanted at all.
+    bits = options.chunk_bits
+    cut = F.coalesce(chunk_of(F.col("mark"), bits), chunk_of(F.col("last"), bits) + 1)
+    return marks.select("log_id", cut.alias("cut")).orderBy(F.desc("cut"), "log_id").limit(CUTS)
+
+
+def number_lines(
+    flagged: DataFrame, chunks: DataFrame, options: CleanOptions, cuts: DataFrame | None = None
+) -> DataFrame:
     """Kept lines with epoch, block_no and their place `pos` in the block's part.
 
+    Chunks before the cuts do not take part in the shuffle; the join with the wanted
+    chunks drops those of all other logs.
+
     block_no counts the block starts of the log up to the line. `piece_bytes`
     is the size of the block's part up to and including the line.
     """
@@ -190,6 +211,9 @@ def number_lines(flagged: DataFrame, chunks: DataFrame, options: CleanOptions) -
     body = flagged.filter(tx.is_nonblank_tool_line(F.col("value")) & ~F.col("is_marker")).select(
         "log_id", "chunk", "line_no", tx.strip_tool_prefix(F.col("value")).alias("text"), "is_start"
     )
+    if cuts is not None:
+        told = body.join(F.broadcast(cuts), "log_id", "left")
+        body = told.filter(F.col("chunk") >= F.coalesce("cut", F.lit(_BEFORE_ALL_LINES))).drop("cut")
     # Hash join: one shuffle of the lines serves the join and both windows.
     joined = body.join(chunks.hint("shuffle_hash"), ["log_id", "chunk"])
     shown = tx.with_rules(joined, "text", "raw", options.scrub_rules if options.scrub else ())

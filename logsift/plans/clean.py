@@ -9,17 +9,16 @@ from logsift.options import CleanOptions
 
 
 def _pieces(lines: DataFrame, options: CleanOptions) -> DataFrame:
-    flagged = bl.flag_lines(lines, options)
-    chunks = bl.place_chunks(bl.chunk_totals(flagged), options)
-    return bl.assemble_pieces(bl.number_lines(flagged, chunks, options), options)
+    return bl.assemble_pieces(number(lines, options), options)
 
 
 def number(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
     """Kept lines with epoch and block_no; see `blocks.number_lines`."""
     options = options or CleanOptions()
     flagged = bl.flag_lines(lines, options)
-    chunks = bl.place_chunks(bl.chunk_totals(flagged), options)
-    return bl.number_lines(flagged, chunks, options)
+    totals = bl.chunk_totals(flagged)
+    chunks = bl.place_chunks(totals, options)
+    return bl.number_lines(flagged, chunks, options, bl.largest_cuts(totals, options))
 
 
 def blocks(lines: DataFrame, options: CleanOptions | None = None) -> DataFrame:
