@@ -237,8 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sizes: dict[int, int]
         known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
         for label, size in sizes.items()
     ]
-    # As many ids as the sizes say, so the side is bounded.
-    chosen = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
+    # As many ids as the sizes say, so the side is bounded. An id with both labels has the higher.
+    chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     data = rows.mapInArrow(_measured, "doc_id long, label int, x array<double>").toPandas()
     data = data.sort_values("doc_id", kind="stable")

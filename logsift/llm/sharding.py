@@ -29,6 +29,8 @@ from logsift.llm.tables import uniform
 BASE = 8
 REGIONS = 2
 RACKS = 2
+#: Parts of a shard whose rows are numbered apart.
+BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,6 @@ def assign(docs: DataFrame, shards: int = BASE) -> DataFrame:
     task holds a shard; equal rows are counted before they are shuffled and take
     their slots from one count.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id",
@@ -108,7 +109,7 @@ def assign(docs: DataFrame, shards: int = BASE) -> DataFrame:
         {
             "shard": shard_of(key, topology(shards)).cast("int"),
             "grown_shard": shard_of(key, topology(shards + 1)).cast("int"),
-            "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(buckets)),
+            "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)),
         }
     )
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")

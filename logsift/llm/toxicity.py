@@ -370,9 +370,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     chosen = parts[0]
     for part in parts[1:]:
         chosen = chosen.unionByName(part)
-    # As many ids as the sizes say, so the side is bounded.
+    # As many ids as the sizes say, so the side is bounded. An id with both labels has the higher.
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    return texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
 def hard_words(docs: DataFrame, labels: DataFrame, learn: Column, model: Model) -> list[str]:
