@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from logsift import CleanOptions, clean, schemas, sinks
 from logsift.sources import storage, tables
 from logsift.sources.lines import read_lines, text_lines
+from logsift.sources.storage import shared_folder
 
 P = "==12345== "
 
@@ -143,3 +145,12 @@ def test_reports(spark, tmp_path):
 def test_shared_folder_is_the_cluster_s(spark):
     assert storage.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert storage.fresh_folder(spark, "x").startswith(storage.shared_folder(spark))
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_its_folder(master):
+    """Executors would not see a folder of the driver's own machine."""
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=conf))
