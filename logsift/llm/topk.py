@@ -169,9 +169,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, query_
         row[: len(v)] = v
     chosen = choose_pivots(rows, pivots) if len(rows) else rows
     blocks = max(1, -(-n_queries // query_block))
-    # Two cells a task, and no more copies of the queries than that takes.
+    # A cell a task, and no more copies of the queries than that takes.
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, -(-2 * parallel // blocks))
+    slices = max(1, -(-parallel // blocks))
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
