@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding with the N best segmentations.
 
-A text is segmented over the lattice of vocabulary pieces; a segmentation's score is
+The first segmentation is the model's own: the model is a BPE model, so neighbouring
+pieces are joined, the pair whose piece has the highest score first. The others are
+the best of the lattice of vocabulary pieces; a segmentation's score is
 the sum of its pieces' scores in the model file. Forward Viterbi gives the best score
 up to every place. Backward A* starts at the end with that score as its estimate of
 what is left; the estimate is exact, so segmentations come out best first and no
 path is taken up that does not end in one.
 
-The best segmentation and the score of the second come from the forward pass, which
-numpy makes for all new chunks of a batch together; A* runs for the chunks whose other
-segmentations matter.
+The best of the lattice and the score of the second come from the forward pass, which
+numpy makes for all new chunks of a batch together and which is A*'s estimate; A* runs
+for the chunks whose other segmentations matter and gives their ids. The model's own
+segmentation is left out of those that follow it.
 
 No piece goes on to a space mark after another sign, or from a letter to an ending
 sign, and none holds a line feed (this is checked), so a text falls into chunks
@@ -50,7 +53,12 @@ KEPT = 300_000
 #: Chunks longer than this are solved one by one.
 LONGEST_TOGETHER = 64
 
-ADDED = {"ids": "array<int>", "n_pieces": "long", "best_scores": "array<double>", "decoded": "string"}
+ADDED = {
+    "ids": "array<int>",
+    "n_pieces": "long",
+    "best_scores": "array<double>",
+    "decoded": "string",
+}
 
 
 @dataclass
@@ -92,6 +100,42 @@ class Vocabulary:
     def spell(self, sign: str) -> list[int]:
         return [self.byte_ids[b] for b in sign.encode("utf-8", "surrogatepass")]
 
+    def merged(self, chunk: str) -> tuple[float, list[int]]:
+        """The model's own segmentation, by joining: the best pair first, the leftmost on a tie."""
+        known, n = self.score, len(chunk)
+        # A part is known by the place it begins at; `end` is 0 once it was joined to the one before.
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        pairs: list[tuple[float, int, int]] = []
+        for i in range(n - 1):
+            found = known.get(chunk[i : i + 2])
+            if found:
+                pairs.append((-found[1], i, i + 2))
+        heapq.heapify(pairs)
+        while pairs:
+            _, left, stop = heapq.heappop(pairs)
+            right = end[left]
+            if not right or right >= stop or end[right] != stop:
+                continue
+            end[left], end[right] = stop, 0
+            before[stop] = left
+            if stop < n:
+                found = known.get(chunk[left : end[stop]])
+                if found:
+                    heapq.heappush(pairs, (-found[1], left, end[stop]))
+            first = before[left]
+            if first >= 0:
+                found = known.get(chunk[first:stop])
+                if found:
+                    heapq.heappush(pairs, (-found[1], first, stop))
+        ids: list[int] = []
+        total, at = 0.0, 0
+        while at < n:
+            found = known.get(chunk[at : end[at]])
+            ids += [found[0]] if found else self.spell(chunk[at])
+            total += found[1] if found else self.unknown
+            at = end[at]
+        return total, ids
+
     def forward(self, chunk: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
         """Viterbi scores of all places, and the edges that end at each: where from, score, id (-1: unknown)."""
         n = len(chunk)
@@ -257,6 +301,18 @@ class Lattices:
         return np.bincount(who, minlength=len(ends)), np.concatenate([i for _, i in seen])[order]
 
 
+def _gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of some chunks, one after the other."""
+    held = sizes[which]
+    inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+    return flat[np.repeat(at[which], held) + inside]
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+
+
 class Encoder:
     """Encodes and decodes batches of texts, keeping solved chunks."""
 
@@ -272,8 +328,9 @@ class Encoder:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.names: list[str] = []
-        self.ways: dict[int, tuple[float, ...]] = {}
+        self.ways: dict[int, list[tuple[float, np.ndarray]]] = {}
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.own_sizes, self.own_flat, self.own = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0)
         self.first, self.loss = np.zeros(0), np.zeros(0)
 
     def _solve(self, new: list[str]) -> None:
@@ -290,41 +347,70 @@ class Encoder:
         self.first = np.concatenate([self.first, first, [w[0][0] for w in alone]])
         losses = [w[0][0] - w[1][0] if len(w) > 1 else np.inf for w in alone]
         self.loss = np.concatenate([self.loss, first - second, losses])
+        own = [self.vocabulary.merged(c) for c in usual + odd]
+        self.own_sizes = np.concatenate([self.own_sizes, [len(i) for _, i in own]]).astype(np.int64)
+        self.own_flat = np.concatenate([self.own_flat, *(i for _, i in own)]).astype(np.int32)
+        self.own = np.concatenate([self.own, [s for s, _ in own]])
 
-    def _scores(self, row: int) -> tuple[float, ...]:
-        """Scores of a chunk's n best segmentations, by A*."""
+    def _ways(self, row: int) -> list[tuple[float, np.ndarray]]:
+        """Scores and ids of a chunk's n best segmentations, by A*."""
         if row not in self.ways:
-            self.ways[row] = tuple(s for s, _ in self.vocabulary.segment(self.names[row], self.n))
+            found = self.vocabulary.segment(self.names[row], self.n)
+            self.ways[row] = [(score, np.array(ids, np.int32)) for score, ids in found]
         return self.ways[row]
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[float]]]:
-        """Of each text the best ids, and the scores of the n best segmentations of the whole."""
+    def _rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Places in the table of the texts' chunks, which are solved if they are new."""
         if len(self.number) > KEPT:
             self._forget()
         parts = [chunks_of(t) for t in texts]
         self._solve(list(dict.fromkeys(c for p in parts for c in p if c not in self.number)))
+        return [np.fromiter(map(self.number.__getitem__, part), np.int64, len(part)) for part in parts]
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[float]]]:
+        """Of each text the best ids of the lattice, and the scores of the n best segmentations of the whole."""
+        rows = self._rows(texts)
         at = np.cumsum(self.sizes) - self.sizes
-        ids, scores = [], []
-        for part in parts:
-            which = np.fromiter(map(self.number.__getitem__, part), np.int64, len(part))
-            held = self.sizes[which]
-            inside = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
-            ids.append(self.flat[np.repeat(at[which], held) + inside])
-            costs = self.loss[which]
-            few = np.arange(len(which))
-            if len(which) >= self.n > 1:
-                few = np.argpartition(costs, self.n - 2)[: self.n - 1]
-            top = float(self.first[which].sum())
-            scores.append(self._best(top, [self._scores(which[i]) for i in few]) if part else [])
-        return ids, scores
-
-    def _best(self, top: float, ways: list[tuple[float, ...]]) -> list[float]:
-        """The n best sums if each of the ways may be changed."""
-        sums = [0.0]
-        for scores in ways:
-            losses = [scores[0] - s for s in scores]
-            sums = sorted(a + b for a in sums for b in losses)[: self.n]
-        return [top - s for s in sums]
+        best = [self._best(which, at) for which in rows]
+        return [w[0][1] if w else np.zeros(0, np.int32) for w in best], [[s for s, _ in w] for w in best]
+
+    def ranked(self, texts: list[str | None]) -> list[list[tuple[float, np.ndarray]]]:
+        """Of each text n segmentations with their scores: the model's own, then the best others of the lattice."""
+        rows = self._rows(texts)
+        at, own_at = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.own_sizes) - self.own_sizes
+        out = []
+        for which in rows:
+            if not len(which):
+                out.append([])
+                continue
+            own = _gathered(self.own_flat, own_at, self.own_sizes, which)
+            others = [w for w in self._best(which, at) if not np.array_equal(w[1], own)]
+            out.append([(float(self.own[which].sum()), own), *others[: self.n - 1]])
+        return out
+
+    def _best(self, which: np.ndarray, at: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        """Scores and ids of the n best segmentations of the lattice of some chunks in a row."""
+        if not len(which):
+            return []
+        few = np.arange(len(which))
+        if len(which) >= self.n > 1:
+            few = np.sort(np.argpartition(self.loss[which], self.n - 2)[: self.n - 1])
+        sums: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
+        ways = [self._ways(which[i]) for i in few]
+        for way in ways:
+            losses = [way[0][0] - score for score, _ in way]
+            sums = sorted((a + b, (*taken, k)) for a, taken in sums for k, b in enumerate(losses))[: self.n]
+        top = float(self.first[which].sum())
+        ids = _gathered(self.flat, at, self.sizes, which)
+        ends = np.cumsum(self.sizes[which])
+        out = []
+        for loss, taken in sums:
+            parts, done = [], 0
+            for i, way, k in zip(few, ways, taken, strict=True):
+                parts += [ids[done : ends[i] - self.sizes[which[i]]], way[k][1]]
+                done = ends[i]
+            out.append((top - loss, np.concatenate([*parts, ids[done:]])))
+        return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of id lists; bytes that are no UTF-8 become U+FFFD."""
@@ -351,7 +437,9 @@ def _encoder(path: str, n: int, vocabulary: Vocabulary) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
-    """The documents' columns with ids, n_pieces, best_scores (of the n best) and decoded.
+    """The documents' columns with ids, n_pieces, best_scores and decoded.
+
+    `ids` are the model's own; `best_scores` has its score, then those of the n - 1 best others.
 
     The pieces, as many as the vocabulary has, are read on the driver and broadcast.
     """
@@ -361,15 +449,13 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, n, held.value)
         for part in portions(batches, 500):
-            ids, scores = encoder.encode(part.column("text").to_pylist())
-            decoded = encoder.decode(ids)
-            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
+            ways = encoder.ranked(part.column("text").to_pylist())
+            ids = [w[0][1] if w else np.zeros(0, np.int32) for w in ways]
             made = [
-                lists,
-                pa.array(np.diff(ends), pa.int64()),
-                pa.array(scores, pa.list_(pa.float64())),
-                pa.array(decoded, pa.string()),
+                _lists(ids),
+                pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([[score for score, _ in w] for w in ways], pa.list_(pa.float64())),
+                pa.array(encoder.decode(ids), pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *ADDED])
 

@@ -100,3 +100,11 @@ def test_table(docs_of):
     assert sorted(r.decoded for r in got) == sorted([(t or "").replace("▁", " ") for _, t in rows])
     assert all(r.n_pieces == len(r.ids) for r in got)
     assert pieces.encode(docs_of([])).collect() == []
+
+
+def test_ids_are_the_models_own(encoder):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = ["Elle est belle.", "Hello  world", " a", "naïve 漢字 😀", "x\ny", "aaaaaaaaab", "12,5) Straße|²", "unbelievable" * 30]
+    texts += [f"{a}{b} {b}, {a}." for a in ("un", "re", "Th") for b in ("believable", "stion", "öst", "é'")]
+    assert [w[0][1].tolist() for w in encoder.ranked(texts)] == [model.encode(t) for t in texts]
