@@ -56,6 +56,7 @@ LONGEST_TOGETHER = 64
 ADDED = {
     "ids": "array<int>",
     "n_pieces": "long",
+    "other_ids": "array<array<int>>",
     "best_scores": "array<double>",
     "decoded": "string",
 }
@@ -437,9 +438,10 @@ def _encoder(path: str, n: int, vocabulary: Vocabulary) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
-    """The documents' columns with ids, n_pieces, best_scores and decoded.
+    """The documents' columns with ids, n_pieces, other_ids, best_scores and decoded.
 
-    `ids` are the model's own; `best_scores` has its score, then those of the n - 1 best others.
+    `ids` are the model's own and `other_ids` the n - 1 best others, best first;
+    `best_scores` are the scores of all n in that order.
 
     The pieces, as many as the vocabulary has, are read on the driver and broadcast.
     """
@@ -451,9 +453,11 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
         for part in portions(batches, 500):
             ways = encoder.ranked(part.column("text").to_pylist())
             ids = [w[0][1] if w else np.zeros(0, np.int32) for w in ways]
+            counts = np.concatenate([[0], np.cumsum([max(len(w) - 1, 0) for w in ways])]).astype(np.int32)
             made = [
                 _lists(ids),
                 pa.array([len(i) for i in ids], pa.int64()),
+                pa.ListArray.from_arrays(counts, _lists([i for w in ways for _, i in w[1:]])),
                 pa.array([[score for score, _ in w] for w in ways], pa.list_(pa.float64())),
                 pa.array(encoder.decode(ids), pa.string()),
             ]

@@ -108,3 +108,17 @@ def test_ids_are_the_models_own(encoder):
     texts = ["Elle est belle.", "Hello  world", " a", "naïve 漢字 😀", "x\ny", "aaaaaaaaab", "12,5) Straße|²", "unbelievable" * 30]
     texts += [f"{a}{b} {b}, {a}." for a in ("un", "re", "Th") for b in ("believable", "stion", "öst", "é'")]
     assert [w[0][1].tolist() for w in encoder.ranked(texts)] == [model.encode(t) for t in texts]
+
+
+def test_all_segmentations_are_returned(vocabulary, docs_of):
+    texts = ["a. cat\nsat, ok", "Elle", "x", "漢", ""]
+    got = {r.doc_id: r for r in pieces.encode(docs_of(list(enumerate(texts))), n=4).collect()}
+    for i, text in enumerate(texts):
+        ways = all_ways(vocabulary, "▁" + text.replace(" ", "▁")) if text else []
+        rest = [w for w in ways if w[1] != got[i].ids]
+        assert len(rest) == max(len(ways) - 1, 0)
+        assert len(got[i].other_ids) == len(rest[:3])
+        assert np.allclose(got[i].best_scores[1:], [s for s, _ in rest[:3]])
+        for ids, score in zip([got[i].ids, *got[i].other_ids], got[i].best_scores, strict=bool(text)):
+            assert any(abs(s - score) < 1e-6 and w == ids for s, w in ways)
+        assert len({tuple(w) for w in got[i].other_ids}) == len(got[i].other_ids)
