@@ -337,6 +337,23 @@ def oversize_lines(numbered: DataFrame, options: CleanOptions, max_block_bytes:
     return placed.select("log_id", "epoch", "block_no", part_no.alias("part_no"), F.col("raw").alias("text"))
 
 
+def oversize_piece_lines(numbered: DataFrame) -> DataFrame:
+    """Lines of the parts that are over the limit by themselves: log_id, epoch, block_no, first_line, text."""
+    piece = ["log_id", "chunk", "epoch", "block_no"]
+    large = numbered.filter(F.col("piece_bytes") > MAX_BLOCK_BYTES).select(*piece).distinct()
+    found = numbered.join(large, piece)
+    return found.select("log_id", "epoch", "block_no", F.col("line_no").alias("first_line"), F.col("raw").alias("text"))
+
+
+def oversize_parts(compacted: DataFrame) -> DataFrame:
+    """Parts with text of the blocks that are over the limit, as `oversize_piece_lines` gives lines."""
+    block = ["scope", "epoch", "block_no"]
+    parts = compacted.filter(~F.col("whole"))
+    large = parts.groupBy(*block).agg(F.sum("n_bytes").alias("size")).filter(F.col("size") > MAX_BLOCK_BYTES)
+    found = parts.filter(F.col("n_bytes") <= MAX_BLOCK_BYTES).join(large.select(*block), block, "left_semi")
+    return found.select("log_id", "epoch", "block_no", "first_line", F.col("block_text").alias("text"))
+
+
 def after_last_marker(lines: DataFrame, options: CleanOptions) -> DataFrame:
     """Lines of every log that follow its last marker; none if it has no marker.
 
@@ -392,14 +409,16 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
 
     Rows are the first whole block of a signature with its number of repeats
     (key is "s" and the signature), or one part of a block that crosses chunks
-    (key is "b" and the block number).
+    (key is "b" and the block number). A part over the limit has no text; its size
+    is kept so that the whole block is left out. A whole block over it is such a part.
     """
-    whole = F.col("whole")
+    too_big = F.col("n_bytes") > MAX_BLOCK_BYTES
+    whole = F.col("whole") & ~too_big
     sig_key = tx.leading_lines(F.col("sigs"), options.depth)
     number = F.col("block_no").cast("string")
-    # Blocks that are too big as they are go no further.
-    fitting = pieces.filter(F.col("n_bytes") <= MAX_BLOCK_BYTES) if not options.strict else pieces
-    keyed = fitting.select(
+    # Where options say strict, making the text fails.
+    text = F.col("block_text") if options.strict else F.when(~too_big, F.col("block_text"))
+    keyed = pieces.select(
         _scope(options),
         "epoch",
         F.when(whole, F.concat(F.lit("s"), sig_key)).otherwise(F.concat(F.lit("b"), number)).alias("key"),
@@ -411,7 +430,7 @@ def compact_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
             "first_line",
             "n_lines",
             "n_bytes",
-            "block_text",
+            text.alias("block_text"),
             # The key of a whole block says it all.
             F.when(~whole, F.col("sigs")).alias("sigs"),
         ).alias("piece"),

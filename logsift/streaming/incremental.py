@@ -112,8 +112,13 @@ class BlockStream:
         late_lines = flagged.groupBy("log_id").agg(F.count_if("is_late").alias("late_lines"))
         totals = self._write(bl.chunk_totals(timely), "chunks", batch_id)
         chunks = bl.place_more_chunks(totals, seen, options)
-        pieces = bl.assemble_pieces(bl.number_lines(timely, chunks, options), options)
-        self._write(bl.compact_pieces(pieces, options), "blocks", batch_id)
+        numbered = bl.number_lines(timely, chunks, options)
+        pieces = bl.assemble_pieces(numbered, options)
+        made = self._write(bl.compact_pieces(pieces, options), "blocks", batch_id)
+        large = bl.oversize_piece_lines(numbered)
+        if made.filter(F.col("n_bytes") > bl.MAX_BLOCK_BYTES).isEmpty():
+            large = self.spark.createDataFrame([], large.schema)
+        self._write(large, "oversize", batch_id)
         self._write(flagged.filter("is_late").select("log_id", "line_no", "value"), "late", batch_id)
         # Written last: it is what the next batch starts from.
         self._write(self._counts(totals, late_lines, seen, batch_id), "logs", batch_id)
@@ -147,6 +152,18 @@ class BlockStream:
         """
         return self.spark.read.parquet(*[self._folder("late", b) for b in range(last_batch + 1)])
 
+    def oversize(self, last_batch: int) -> DataFrame:
+        """Lines, or several in one text, of the blocks that `blocks` leaves out for their size.
+
+        log_id, epoch, block_no, first_line (of the text) and text.
+        """
+        logs = self.logs(last_batch)
+        lines = self.spark.read.parquet(*[self._folder("oversize", b) for b in range(last_batch + 1)])
+        parts = bl.oversize_parts(self._current(self.spark.read.parquet(*self._folders("blocks", last_batch)), logs))
+        now = logs.select("log_id", F.col("n_markers").alias("epoch"))
+        rows = lines.join(now, ["log_id", "epoch"], "left_semi").select(*parts.columns).unionByName(parts)
+        return rows.filter(F.col("epoch") > 0) if self.options.trim else rows
+
     def blocks(self, last_batch: int, closed_only: bool = False) -> DataFrame:
         """Unique blocks after the last marker, as `clean` gives them.
 

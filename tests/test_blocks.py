@@ -9,6 +9,7 @@ from logsift.operators import blocks as bl
 from logsift.operators import quality as ql
 from logsift.operators.ordered import range_buckets, running
 from logsift.plans import clean as plan
+from logsift.streaming import BlockStream
 
 P = "==12345== "
 
@@ -221,6 +222,21 @@ def test_oversize_blocks_leave_the_others_alone(as_lines, bits, scope):
     assert [r["text"] for r in parts] == [x.removeprefix(P) for x in wide]
 
 
+def test_a_part_over_the_limit_takes_the_whole_block_away(spark, as_lines, tmp_path):
+    # Chunks of 16 line numbers: a small part, one over 10 MiB, a small one.
+    wide = [P + "Invalid read"] + [P + f"{n} small" for n in range(15)]
+    wide += [P + f"{n} " + "y" * 900_000 for n in range(16)] + [P + f"{n} last" for n in range(8)]
+    lines = as_lines({"a": [*wide, P + "Invalid write", P + "after"]})
+    options = CleanOptions(trim=False, chunk_bits=4, depth=2)
+    assert [r["block_text"] for r in clean(lines, options).collect()] == ["Invalid write\nafter"]
+    stream = BlockStream(spark, str(tmp_path), options)
+    stream.absorb(lines.filter("line_no < 36"), 0)
+    stream.absorb(lines.filter("line_no >= 36"), 1)
+    assert [r["block_text"] for r in stream.blocks(1).collect()] == ["Invalid write\nafter"]
+    parts = sorted(stream.oversize(1).collect(), key=lambda r: r["first_line"])
+    assert "\n".join(r["text"] for r in parts) == "\n".join(x.removeprefix(P) for x in wide)
+
+
 def test_quality_reports(as_lines):
     lines = as_lines({"a": [*READ, "x" * 50], "b": READ * 4})
     report = {r["log_id"]: r for r in ql.log_quality(lines, max_line_bytes=45, max_lines=6).collect()}
