@@ -19,6 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,8 +161,69 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id."""
     marked = saved(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    return _first_of_each(docs, marked, links(marked.select("fp").distinct()))
+
+
+def _set_batches(words: int, similarity: float | None):
+    """doc_id, mark, fp (of the set of shingles), size, hashes: all, or those of the prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            sets = [
+                np.unique(np.array(shingle_hashes(t or "", words), np.uint64).view(np.int64))
+                for t in batch.column("text").to_pylist()
+            ]
+            fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            sizes = [len(s) for s in sets]
+            if similarity is not None:
+                sets = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(fps), pa.array(sizes, pa.int64()), hashes]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "size", "hashes"])
+
+    return run
+
+
+_SETS = "doc_id long, mark long, fp long, size long, hashes array<long>"
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, similarity: float, words: int) -> DataFrame:
+    """u < v, fp of shingle sets whose Jaccard similarity is at least the given one: all such pairs.
+
+    Two such sets share a hash among the lowest of each, those that the rest is too few
+    to do without; sets that do are compared in full.
+    """
+    one = marked.groupBy("fp").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"))
+    places = one.select("fp", "size", F.explode("hashes").alias("hash"))
+    a = places.select("hash", F.col("fp").alias("u"), F.col("size").alias("m"))
+    b = places.select("hash", F.col("fp").alias("v"), F.col("size").alias("n"))
+    met = a.join(b, "hash").filter("u < v").filter(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    # All that two sets share up to the lower end of their two prefixes was met; beyond it they share at most the rest.
+    rest = lambda size: F.ceil(similarity * F.col(size) - 1e-9) - 1
+    least = similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
+    counted = met.groupBy("u", "v", "m", "n").agg(F.count("*").alias("c"))
+    pairs = saved(counted.filter(F.col("c") + F.greatest(rest("m"), rest("n")) >= least).select("u", "v"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    ids = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(_key(), "mark")).alias("s"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), _mark().alias("mark"), "text")
+    found = rows.join(ids.select("s.key", "s.mark"), ["key", "mark"], "left_semi").select("doc_id", "mark", "text")
+    full = found.mapInArrow(_set_batches(words, None), _SETS).select("fp", "hashes").dropDuplicates(["fp"])
+    both = pairs.join(full.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
+    both = both.join(full.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """One row of each group of texts linked by the Jaccard similarity of their shingles, as `drop_near_copies`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
+    marked = saved(rows.mapInArrow(_set_batches(words, similarity), _SETS))
+    return _first_of_each(docs, marked, similar_links(docs, marked, similarity, words))
+
+
+def _first_of_each(docs: DataFrame, marked: DataFrame, linked: DataFrame) -> DataFrame:
+    roots = components(linked).withColumnRenamed("node", "fp")
     rooted = marked.join(roots, "fp", "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
     stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s"))
     stays = stays.select(F.coalesce("s.doc_id", F.lit(-1)).alias("key"), F.col("s.mark").alias("mark"))

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from logsift.llm import components, exact_dedup, simhash
 
 
@@ -161,3 +162,31 @@ def test_components(spark):
     got = components.components(spark.createDataFrame(pairs, "u long, v long"))
     assert {r.node: r.root for r in got.collect()} == want
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_similar_against_brute_jaccard(docs_of):
+    """The pipeline's near-dedup: every pair of Jaccard 0.8 or more by five words, and no other."""
+    rng = random.Random(5)
+    texts = {}
+    for base in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 9, 60, 200]))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 25)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+
+    def runs(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {i: runs(t) for i, t in texts.items()}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = brute_components(sets, near)
+    assert 12 < len(set(want.values())) < len(texts)
+    docs = docs_of(list(texts.items()))
+    got = corpus_pipeline.near(docs.sparkSession, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+    assert simhash.drop_similar(docs_of([])).collect() == []
+    rows = [(None, "a b c d"), (None, "a b c d"), (3, ""), (4, None), (5, "A b  c d")]
+    assert sorted(map(str, (r.doc_id for r in simhash.drop_similar(docs_of(rows)).collect()))) == ["3", "5"]
