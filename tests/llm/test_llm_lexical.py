@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -17,19 +18,19 @@ def terms(text):
 
 
 def brute(docs, items, k):
-    held = [(i, terms(t)) for i, t in docs if terms(t)]
-    total = sum(len(t) for _, t in held)
+    split = [(i, terms(t)) for i, t in docs]
+    held = [(i, len(t), Counter(t)) for i, t in split if t]
+    total = sum(n for _, n, _ in held)
+    holding = Counter(t for _, _, counts in held for t in counts)
     out = []
     for item, text in set(items):
         scores = []
-        for doc_id, own in held:
-            m = 100 - 50 + 50 * len(own) * len(held) // total
+        for doc_id, n, counts in held:
+            m = 100 - 50 + 50 * n * len(held) // total
             score = 0
             for t in set(terms(text)):
-                holding = sum(t in other for _, other in held)
-                w = math.floor(1000 * math.log((2 * len(held) + 2) / (2 * holding + 1)))
-                tf = own.count(t)
-                score += w * (1_000_000_000 * tf // (1000 * tf + 20 * m))
+                w = math.floor(1000 * math.log((2 * len(held) + 2) / (2 * holding[t] + 1)))
+                score += w * (1_000_000_000 * counts[t] // (1000 * counts[t] + 20 * m))
             if score > 0:
                 scores.append((-score, doc_id is None, doc_id or 0, doc_id))
         out += [(item, r + 1, d, -s) for r, (s, _, _, d) in enumerate(sorted(scores)[:k])]
