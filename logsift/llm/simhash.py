@@ -19,7 +19,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +129,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """u < v, fingerprints at most 2 bits apart; a link may come from several anchors."""
     # Few bytes make many rows here, which Spark's merging of small partitions cannot know.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = distinct.repartition(parts, "fp").select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
+    # By a hash of fp: rows that come dealt by fp itself would not be dealt again.
+    placed = distinct.repartition(parts, F.xxhash64("fp")).select("fp", F.explode(anchors(F.col("fp"))).alias("anchor"))
     met = placed.groupBy("anchor").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
     firsts = met.select("members", F.explode("members").alias("u"))
     near = F.filter("members", lambda m: (m > F.col("u")) & (F.bit_count(m.bitwiseXOR(F.col("u"))) <= THRESHOLD))
@@ -158,77 +158,249 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def _kept(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of the documents in `first`, a row repeated in full once."""
+    stays = firsts.select(F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
+    rows = docs.select(F.struct(*without(docs)).alias("doc"), _key(), _mark().alias("mark"))
+    # Repeats are folded in every task first.
+    return rows.join(stays, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]).select("doc.*")
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id."""
     marked = saved(fingerprints(docs))
-    return _first_of_each(docs, marked, links(marked.select("fp").distinct()))
+    roots = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = marked.join(roots, "fp", "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
+    return _kept(docs, rooted.groupBy("root").agg(_first()))
+
+
+# --- similar texts -------------------------------------------------------------
+
+SIMILARITY = 0.8
+SIMILAR_WORDS = 5
+#: Fingerprints of similar texts are cut into so many blocks of 15 bits.
+BLOCKS = 8
+_BLOCK_BITS = 15
+#: Bits, of all blocks together, in which two similar texts may differ; see `drop_similar`.
+FAR = 36
+#: Members of an anchor that each member is compared with in a round.
+NEIGHBOURS = 4
+#: Shingles whose bits are counted at a time.
+SOME = 1 << 14
+# Odd constants that make further 64-bit hashes out of one, from the digits of the golden ratio.
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(BLOCKS + 2)], np.uint64)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * _MIX[k]
+    x = (x ^ (x >> np.uint64(29))) * _MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
+def _wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of SimHash over a set of shingles, as two longs; the blocks are its first 120 bits."""
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), SOME):
+        part = hashes[at : at + SOME]
+        both = np.stack([_mixed(part, 1), _mixed(part, 2)], axis=1)
+        counts += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    low, high = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").view(np.int64)
+    return int(low), int(high)
+
 
+def _sorted_hashes(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
 
-def _set_batches(words: int, similarity: float | None):
-    """doc_id, mark, fp (of the set of shingles), size, hashes: all, or those of the prefix."""
+
+_SETS = "doc_id long, mark long, digest binary, size long, low long, high long, samples array<long>"
+
+
+def _set_batches(words: int):
+    """The set of a text's shingles: a 128-bit digest, size, wide fingerprint, a sample shingle for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 500):
-            sets = [
-                np.unique(np.array(shingle_hashes(t or "", words), np.uint64).view(np.int64))
-                for t in batch.column("text").to_pylist()
+            digests, sizes, fps, samples = [], [], [], []
+            for text in batch.column("text"):
+                hashes = _sorted_hashes(text.as_py(), words)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                fps.append(_wide_fingerprint(hashes))
+                least = [int(_mixed(hashes, 2 + b).min().view(np.int64)) if len(hashes) else 0 for b in range(BLOCKS)]
+                samples.append(least)
+            columns = [
+                batch.column("doc_id"),
+                batch.column("mark"),
+                pa.array(digests, pa.binary()),
+                pa.array(sizes, pa.int64()),
+                pa.array([f[0] for f in fps], pa.int64()),
+                pa.array([f[1] for f in fps], pa.int64()),
+                pa.array(samples, pa.list_(pa.int64())),
             ]
-            fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            sizes = [len(s) for s in sets]
-            if similarity is not None:
-                sets = [s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "size", "low", "high", "samples"])
+
+    return run
+
+
+def block_anchors(block: Column) -> Column:
+    """The codewords of the Hamming code of length 15 at most 2 bits from a block: 8, or 1 if it is one itself."""
+    parity = [sum(1 << (p - 1) for p in range(1, 16) if p >> k & 1) for k in range(4)]
+    odd = [F.bit_count(block.bitwiseAND(F.lit(mask))) % 2 for mask in parity]
+    syndrome = sum((bit * (1 << k) for k, bit in enumerate(odd)), F.lit(0))
+    flip = lambda position: F.call_function("shiftleft", F.lit(1), position - 1)
+    two = F.transform(
+        F.filter(F.sequence(F.lit(1), F.lit(15)), lambda p: p < p.bitwiseXOR(syndrome)),
+        lambda p: block.bitwiseXOR(flip(p)).bitwiseXOR(flip(p.bitwiseXOR(syndrome))),
+    )
+    return F.when(syndrome == 0, F.array(block)).otherwise(F.concat(F.array(block.bitwiseXOR(flip(syndrome))), two))
+
+
+def _block(low: Column, high: Column, number: int) -> Column:
+    """Bits 15 n and following of the wide fingerprint."""
+    at, mask = number * _BLOCK_BITS, F.lit((1 << _BLOCK_BITS) - 1)
+    if at + _BLOCK_BITS <= 64:
+        return F.shiftrightunsigned(low, at).bitwiseAND(mask).cast("int")
+    if at >= 64:
+        return F.shiftrightunsigned(high, at - 64).bitwiseAND(mask).cast("int")
+    joined = F.shiftrightunsigned(low, at).bitwiseOR(F.shiftleft(high, 64 - at))
+    return joined.bitwiseAND(mask).cast("int")
+
+
+def meetings(sets: DataFrame) -> DataFrame:
+    """anchor, sid of the anchors where at least two sets meet, and the least sid there.
+
+    An anchor is a codeword of one block, kept apart by the block's sample shingle: the
+    shingle of the set that comes first by a hash of the block's own.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = F.col("low"), F.col("high")
+    blocks = F.array(*[F.struct(_block(low, high, b).alias("bits"), F.col("samples")[b].alias("sample")) for b in range(BLOCKS)])
+    # Few bytes make many rows here, which Spark's merging of small partitions cannot know.
+    spread = sets.repartition(parts, F.xxhash64("sid"))
+    each = spread.select("sid", F.posexplode(blocks).alias("block", "at"))
+    placed = each.select("sid", "block", "at.sample", F.explode(block_anchors(F.col("at.bits"))).alias("word"))
+    anchor = F.xxhash64("block", "sample", "word")
+    met = Window.partitionBy("anchor")
+    counted = placed.select(anchor.alias("anchor"), "sid").withColumns(
+        {"members": F.count(F.lit(1)).over(met), "least": F.min("sid").over(met)}
+    )
+    return counted.filter("members > 1").select("anchor", "sid", "least")
+
+
+def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs u < v that sizes and fingerprints leave possible."""
+    side = lambda name, n: sets.select(
+        F.col("sid").alias(name), F.col("size").alias(f"n{n}"), F.col("low").alias(f"l{n}"), F.col("high").alias(f"h{n}")
+    )
+    both = pairs.distinct().join(side("u", 1), "u").join(side("v", 2), "v")
+    apart = F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
+    sizes = F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-9
+    return both.filter(sizes & (apart <= FAR)).select("u", "v")
+
+
+def _hash_batches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            sets = [_sorted_hashes(t.as_py(), words).view(np.int64) for t in batch.column("text")]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(fps), pa.array(sizes, pa.int64()), hashes]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "size", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), hashes], names=["sid", "hashes"])
+
+    return run
+
+
+def _check_batches(similarity: float):
+    """Pairs whose sets, both in the row, have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            good = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                left, right = a.values.to_numpy(), b.values.to_numpy()
+                shared = len(np.intersect1d(left, right, assume_unique=True))
+                good.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-_SETS = "doc_id long, mark long, fp long, size long, hashes array<long>"
+def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs u, v whose shingle sets have the Jaccard similarity, counted in full."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    found = texts.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    hashes = saved(found.mapInArrow(_hash_batches(words), "sid long, hashes array<long>"))
+    both = pairs.join(hashes.select(F.col("sid").alias("v"), F.col("hashes").alias("b")), "v")
+    both = both.join(hashes.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(_check_batches(similarity), "u long, v long")
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, similarity: float, words: int) -> DataFrame:
-    """u < v, fp of shingle sets whose Jaccard similarity is at least the given one: all such pairs.
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Meetings with each set's component so far, at anchors where two components meet."""
+    named = roots.select(F.col("node").alias("sid"), "root")
+    known = met.join(named, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    ends = known.groupBy("anchor").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    return known.join(ends.filter("first <> last").select("anchor"), "anchor", "left_semi")
 
-    Two such sets share a hash among the lowest of each, those that the rest is too few
-    to do without; sets that do are compared in full.
-    """
-    one = marked.groupBy("fp").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"))
-    places = one.select("fp", "size", F.explode("hashes").alias("hash"))
-    a = places.select("hash", F.col("fp").alias("u"), F.col("size").alias("m"))
-    b = places.select("hash", F.col("fp").alias("v"), F.col("size").alias("n"))
-    met = a.join(b, "hash").filter("u < v").filter(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
-    # All that two sets share up to the lower end of their two prefixes was met; beyond it they share at most the rest.
-    rest = lambda size: F.ceil(similarity * F.col(size) - 1e-9) - 1
-    least = similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
-    counted = met.groupBy("u", "v", "m", "n").agg(F.count("*").alias("c"))
-    pairs = saved(counted.filter(F.col("c") + F.greatest(rest("m"), rest("n")) >= least).select("u", "v"))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    ids = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(_key(), "mark")).alias("s"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), _mark().alias("mark"), "text")
-    found = rows.join(ids.select("s.key", "s.mark"), ["key", "mark"], "left_semi").select("doc_id", "mark", "text")
-    full = found.mapInArrow(_set_batches(words, None), _SETS).select("fp", "hashes").dropDuplicates(["fp"])
-    both = pairs.join(full.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u")
-    both = both.join(full.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
-
-
-def drop_similar(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """One row of each group of texts linked by the Jaccard similarity of their shingles, as `drop_near_copies`."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
-    marked = saved(rows.mapInArrow(_set_batches(words, similarity), _SETS))
-    return _first_of_each(docs, marked, similar_links(docs, marked, similarity, words))
 
+def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+    """u, v: links between sets (sid) that join up to the components of all similar sets that meet.
 
-def _first_of_each(docs: DataFrame, marked: DataFrame, linked: DataFrame) -> DataFrame:
-    roots = components(linked).withColumnRenamed("node", "fp")
-    rooted = marked.join(roots, "fp", "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
-    stays = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s"))
-    stays = stays.select(F.coalesce("s.doc_id", F.lit(-1)).alias("key"), F.col("s.mark").alias("mark"))
-    rows = docs.select(F.struct(*without(docs)).alias("doc"), _key(), _mark().alias("mark"))
-    kept = rows.join(stays, ["key", "mark"], "left_semi")
-    # A row repeated in full is one document.
-    order = Window.partitionBy("key", "mark").orderBy("key")
-    return kept.select("doc", F.row_number().over(order).alias("place")).filter("place = 1").select("doc.*")
+    First every member of an anchor is compared with the least one there. Then, at
+    anchors where different components meet, with up to `NEIGHBOURS` members before
+    it in a random order, those of its own component left out. This is repeated with
+    other orders until a round finds no link, so a group of any size costs a fixed
+    number of comparisons for each of its members.
+    """
+    met = saved(meetings(sets))
+    pairs = met.filter("sid <> least").select(F.col("least").alias("u"), F.col("sid").alias("v"))
+    tested = saved(_near_pairs(pairs, sets, similarity))
+    links = saved(_similar(tested, texts, similarity, words))
+    turn = 0
+    while True:
+        turn += 1
+        order = Window.partitionBy("anchor").orderBy(F.xxhash64("anchor", "sid", F.lit(turn)), "sid")
+        other = F.struct("sid", "root")
+        before = F.array(*[F.lag(other, k).over(order) for k in range(1, NEIGHBOURS + 1)])
+        member = _rooted(met, components(links))
+        near = member.withColumn("before", before).select("sid", "root", F.explode("before").alias("o"))
+        near = near.filter(F.col("o.root") != F.col("root"))
+        pairs = near.select(F.least("sid", "o.sid").alias("u"), F.greatest("sid", "o.sid").alias("v"))
+        fresh = saved(_near_pairs(pairs, sets, similarity).join(tested, ["u", "v"], "left_anti"))
+        found = saved(_similar(fresh, texts, similarity, words))
+        if found.isEmpty():
+            return links
+        tested, links = tested.unionByName(fresh), links.unionByName(found)
+
+
+def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
+    """One row of each group of similar texts, with all its columns: that of the smallest doc_id (null the largest).
+
+    Texts are similar if the Jaccard similarity of their sets of shingles is at least the
+    given one; groups are what links join up. Every link is checked on the whole sets.
+    Candidates come from fingerprints: of two texts with Jaccard 0.8 a bit differs with
+    probability 0.15 (the angle between the sets over pi), a block in at most 2 bits
+    with 0.59, and they have the same sample shingle with 0.8, so they meet in one of
+    8 blocks with 0.994; more similar ones with more. Candidates more than 36 of 128
+    bits apart are not checked: 4 standard deviations above what Jaccard 0.8 gives.
+
+    Equal sets are folded by a digest of 128 bits. Texts without words have the empty
+    set and are equal to each other; null counts as empty. Rows repeated in full, id and
+    text, are one document; rows of one id with different texts are told apart by the
+    text. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
+    marked = saved(rows.mapInArrow(_set_batches(words), _SETS))
+    facts = [F.min(n).alias(n) for n in ("size", "low", "high")]
+    sets = marked.groupBy("digest").agg(_first(), *facts, F.first("samples").alias("samples"))
+    sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()))
+    # The text of a set is read where its first document is.
+    ids = sets.select("sid", F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
+    texts = docs.select(_key(), _mark().alias("mark"), "text").join(ids, ["key", "mark"]).select("sid", "text")
+    roots = components(similar_links(sets, texts, similarity, words)).withColumnRenamed("node", "sid")
+    rooted = sets.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return _kept(docs, rooted.groupBy("root").agg(F.min("first").alias("first")))

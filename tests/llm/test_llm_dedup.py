@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -164,29 +165,78 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def shingle_set(text, words=5):
+    """Runs of words, all words if there are fewer; only A-Z lower-cased."""
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, words, changes):
+    copy = list(words)
+    for _ in range(changes):
+        copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+    return copy
+
+
 def test_similar_against_brute_jaccard(docs_of):
     """The pipeline's near-dedup: every pair of Jaccard 0.8 or more by five words, and no other."""
     rng = random.Random(5)
     texts = {}
-    for base in range(12):
+    for _ in range(12):
         words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 9, 60, 200]))]
         for _ in range(4):
-            copy = list(words)
-            for _ in range(rng.randrange(1 + len(words) // 25)):
-                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
-            texts[len(texts)] = " ".join(copy)
-
-    def runs(text):
-        words = text.split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-    sets = {i: runs(t) for i, t in texts.items()}
-    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
-    want = brute_components(sets, near)
+            texts[len(texts)] = " ".join(edited(rng, words, rng.randrange(1 + len(words) // 25)))
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    want = brute_components(sets, similar)
     assert 12 < len(set(want.values())) < len(texts)
-    docs = docs_of(list(texts.items()))
+    docs = docs_of(list(texts.items()), "1 AS sid,2 AS key,3 AS mark,4 AS doc")
     got = corpus_pipeline.near(docs.sparkSession, docs, "").collect()
     assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+    left = simhash.drop_similar(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
     assert simhash.drop_similar(docs_of([])).collect() == []
-    rows = [(None, "a b c d"), (None, "a b c d"), (3, ""), (4, None), (5, "A b  c d")]
-    assert sorted(map(str, (r.doc_id for r in simhash.drop_similar(docs_of(rows)).collect()))) == ["3", "5"]
+    rows = [(None, "a b c d"), (None, "a b c d"), (3, ""), (4, None), (5, "A b  c d")] + [(9, "one two three four five six")] * 40
+    assert sorted(map(str, (r.doc_id for r in simhash.drop_similar(docs_of(rows)).collect()))) == ["3", "5", "9"]
+
+
+def test_similar_recall_and_a_large_group(docs_of):
+    """300 pairs near Jaccard 0.8 to 0.85, a group of 250 edited copies, a passage that 150 texts share."""
+    rng = random.Random(11)
+    new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(300):
+        base = new(rng.choice([60, 120, 300]))
+        texts += [" ".join(base), " ".join(edited(rng, base, max(1, round(len(base) * 0.022))))]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    base = new(150)
+    first = len(texts)
+    texts += [" ".join(edited(rng, base, rng.randrange(3))) for _ in range(250)]
+    passage = new(60)
+    texts += [" ".join(new(60) + passage + new(60)) for _ in range(150)]
+    sets = [shingle_set(t) for t in texts]
+    left = {r.doc_id for r in simhash.drop_similar(docs_of(list(enumerate(texts)))).collect()}
+    want = [(a, b) for a, b in pairs if similar(sets[a], sets[b])]
+    assert len(want) > 150
+    assert sum(b not in left for _, b in want) >= 0.98 * len(want)
+    alone = [i for a, b in pairs if not similar(sets[a], sets[b]) for i in (a, b)]
+    assert set(alone) <= left and set(range(first + 250, len(texts))) <= left
+    group = brute_components(dict(enumerate(sets[first : first + 250])), similar)
+    assert {i - first for i in left if first <= i < first + 250} == set(group.values())
+
+
+def test_block_anchors(spark):
+    """Every 15-bit word has the codewords within 2 bits as anchors, and words within 2 bits share one."""
+    rows = spark.range(1 << 15).select("id", simhash.block_anchors(F.col("id").cast("int")).alias("a")).collect()
+    near = {r.id: set(r.a) for r in rows}
+    assert {len(a) for a in near.values()} == {1, 8}
+    assert all((i ^ c).bit_count() <= 2 for i, a in near.items() for c in a)
+    rng = random.Random(1)
+    for _ in range(3000):
+        i = rng.randrange(1 << 15)
+        j = i ^ (1 << rng.randrange(15)) ^ (1 << rng.randrange(15))
+        assert near[i] & near[j]

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def test_stages(spark, tmp_path):
-    from test_llm_dedup import brute_components, brute_fingerprint
+    from test_llm_dedup import brute_components, shingle_set, similar
     from test_llm_placing import brute_copies
 
     docs = table(spark, FOLDER, "documents")
@@ -35,8 +35,8 @@ def test_stages(spark, tmp_path):
         largest[t] = max(i, largest.get(t, i))
     assert sorted(r.doc_id for r in kept["exact dedup"]) == sorted(largest.values())
 
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in kept["exact dedup"]}
-    want = set(brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 2).values())
+    sets = {r.doc_id: shingle_set(r.text) for r in kept["exact dedup"]}
+    want = set(brute_components(sets, similar).values())
     near = kept["simhash near-dedup"]
     assert {r.doc_id for r in near} == want and len(near) == len(want)
 
