@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsift.llm.tables import portions
+
 START = b"<|im_start|>"
 END = b"<|im_end|>\n"
 LEARNED = "assistant"
@@ -141,9 +143,7 @@ def _formatted(batch: pa.RecordBatch) -> pa.Table:
 def _format_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in order. A conversation is whole if others stand before and after it in one batch."""
     number = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in portions(batches, 10_000):
         made = _formatted(batch)
         ids = made["conv_id"].to_pylist()
         whole = [x != ids[0] and x != ids[-1] for x in ids]

@@ -4,14 +4,16 @@
    are added up and the largest counters become candidates.
 2. One aggregation counts the candidates exactly and finds the row that stays.
    These verified winners, at most `counters` rows, are broadcast.
-3. Rows of a winner's group that do not stay are labelled (or dropped) where
-   they are read. All other rows meet in a shuffle by digest; what is left of a
-   group there is below about 1/counters of all rows.
+3. All rows of a winner's group are labelled (or, but for the one that stays,
+   dropped) where they are read. The other rows meet in a shuffle by digest; a group
+   there is below about 1/counters of all rows.
 
 Equal means: the same SHA-256 of the text, null counting as the empty text. Of a
 group the largest doc_id stays, null being the smallest. If that doc_id occurs
-more than once in the group (repeated rows), exactly one of those rows stays. An
-empty table gives an empty result. Extra columns are kept by `drop_copies`.
+more than once in the group (repeated rows), exactly one of those rows stays: rows
+get a place, and the largest place wins. A third of all rows may be one row
+repeated. An empty table gives an empty result. Extra columns are kept by
+`drop_copies`, which takes any one of the repeated rows.
 """
 
 from __future__ import annotations
@@ -63,34 +65,42 @@ def frequent_digests(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def winners(keys: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Of each candidate met more than once: exact number of rows and the doc_id that stays."""
+    """Of each candidate met more than once: exact number of rows, the doc_id and the place that stay."""
     hot = keys.join(F.broadcast(frequent_digests(keys, counters)), "digest", "left_semi")
-    exact = hot.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("stays"))
-    return saved(exact.filter("rows > 1"))
+    exact = hot.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "place")).alias("stays")
+    )
+    return saved(exact.filter("rows > 1").select("digest", "rows", F.col("stays.doc_id").alias("stays"), "stays.place"))
 
 
-def _settled() -> F.Column:
-    """A row of a frequent group that is not the one to stay."""
-    return F.col("rows").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("stays"))
+def _keys(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and place of every row; saved, so that places stay what they are."""
+    return saved(docs.select("doc_id", text_digest().alias("digest"), F.monotonically_increasing_id().alias("place")))
 
 
 def label_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row.
 
-    The text is read once; digests and ids, 40 bytes a row, are saved for the passes.
+    The text is read once; digests and ids, 48 bytes a row, are saved for the passes.
     """
-    keys = saved(docs.select("doc_id", text_digest().alias("digest")))
-    marked = keys.join(F.broadcast(winners(keys, counters)), "digest", "left")
-    group = Window.partitionBy("digest")
-    first = group.orderBy(F.desc_nulls_last("doc_id"))
-    copies = marked.filter(_settled()).select(
-        "doc_id", "digest", F.col("stays").alias("keep_id"), F.col("rows").alias("group_size"), F.lit(False).alias("kept")
+    keys = _keys(docs)
+    won = winners(keys, counters).withColumnRenamed("place", "stays_at")
+    marked = keys.join(F.broadcast(won), "digest", "left")
+    settled = F.col("rows").isNotNull()
+    copies = marked.filter(settled).select(
+        "doc_id",
+        "digest",
+        F.col("stays").alias("keep_id"),
+        F.col("rows").alias("group_size"),
+        (F.col("place") == F.col("stays_at")).alias("kept"),
     )
-    others = marked.filter(~_settled()).select(
+    group = Window.partitionBy("digest")
+    first = group.orderBy(F.desc_nulls_last("doc_id"), F.desc("place"))
+    others = marked.filter(~settled).select(
         "doc_id",
         "digest",
         F.max("doc_id").over(group).alias("keep_id"),
-        F.coalesce("rows", F.count(F.lit(1)).over(group)).alias("group_size"),
+        F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(first) == 1).alias("kept"),
     )
     labelled = copies.unionByName(others)
@@ -101,9 +111,12 @@ def label_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows that stay, with all their columns; a table of one row per text."""
-    keys = saved(docs.select("doc_id", text_digest().alias("digest")))
+    won = winners(_keys(docs), counters).select("digest", "rows", "stays")
     rows = docs.select(F.struct(*without(docs)).alias("doc"), "doc_id", text_digest().alias("digest"))
-    marked = rows.join(F.broadcast(winners(keys, counters)), "digest", "left").filter(~_settled())
+    marked = rows.join(F.broadcast(won), "digest", "left")
+    # A winner's row that is repeated in full: folded in every task first, so that one a task travels.
+    hot = marked.filter(F.col("rows").isNotNull() & F.col("doc_id").eqNullSafe(F.col("stays")))
+    hot = hot.dropDuplicates(["digest"]).select("doc")
     order = Window.partitionBy("digest").orderBy(F.desc_nulls_last("doc_id"))
-    ranked = marked.select("doc", F.row_number().over(order).alias("place"))
-    return ranked.filter("place = 1").select("doc.*")
+    ranked = marked.filter(F.col("rows").isNull()).select("doc", F.row_number().over(order).alias("place"))
+    return hot.unionByName(ranked.filter("place = 1").select("doc")).select("doc.*")

@@ -38,11 +38,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logsift.llm.tables import portions
 from logsift.sources.storage import saved
 
 K = 50
@@ -50,8 +50,7 @@ K = 50
 WIDTH = 1 << 12
 BLOCK_ITEMS = 512
 BLOCK_BYTES = 1 << 20
-#: A task works on documents of so many bytes, or so many documents, at a time.
-BATCH_BYTES = 4 << 20
+#: Documents that a task works on at a time.
 BATCH_ROWS = 1000
 #: A long text is counted in pieces of about this size.
 PIECE = 1 << 20
@@ -99,25 +98,12 @@ def length_part(n, documents: int, total: int):
 _DOCUMENTS, _TERMS = -1, -2
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of bounded bytes and rows; a longer text is a slice of its own."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        at, held = 0, 0
-        for row, size in enumerate(sizes):
-            if row > at and (held + size > BATCH_BYTES or row - at >= BATCH_ROWS):
-                yield batch.slice(at, row - at)
-                at, held = row, 0
-            held += int(size)
-        yield batch.slice(at)
-
-
 def _counting(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[bytes, int] = vocabulary.value
         holding = np.zeros(len(wanted), np.int64)
         documents = total = 0
-        for batch in _batches(batches):
+        for batch in portions(batches, BATCH_ROWS):
             for text in batch.column("text"):
                 counts = term_counts(text.as_py())
                 if counts:
@@ -239,7 +225,7 @@ class _Search:
 def _searching(shared, names: list[int], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _Search(shared.value, k)
-        for batch in _batches(batches):
+        for batch in portions(batches, BATCH_ROWS):
             counted = [term_counts(t.as_py()) for t in batch.column("text")]
             kept = [row for row, counts in enumerate(counted) if counts]
             if kept:

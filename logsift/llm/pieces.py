@@ -32,6 +32,7 @@ results. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import os
 import re
@@ -302,6 +303,89 @@ class Lattices:
         return np.bincount(who, minlength=len(ends)), np.concatenate([i for _, i in seen])[order]
 
 
+class Merges:
+    """The model's own segmentation of many chunks at once.
+
+    Chunks of one length are a matrix of piece ids. In every round each of them joins
+    its best pair, the leftmost on a tie, and so gets one column shorter; those
+    without a pair are done. A pair's piece comes from a table of all ways to cut a
+    piece into two.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        known = vocabulary.score
+        self.single = {c: i for c, (i, _) in known.items() if len(c) == 1}
+        self.width = len(vocabulary.text_of)
+        pairs = [
+            (known[text[:cut]][0] * self.width + known[text[cut:]][0], piece, score)
+            for text, (piece, score) in known.items()
+            for cut in range(1, len(text))
+            if text[:cut] in known and text[cut:] in known
+        ]
+        pairs.sort()
+        self.keys = np.array([k for k, _, _ in pairs], np.int64)
+        self.joined = np.array([p for _, p, _ in pairs], np.int32)
+        self.gain = np.array([s for _, _, s in pairs])
+        self.score = np.zeros(self.width)
+        for piece, score in known.values():
+            self.score[piece] = score
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score (minus infinity: none) and piece of each pair."""
+        key = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return np.where(found, self.gain[at], -np.inf), np.where(found, self.joined[at], -1)
+
+    def _matrix(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows that are done, with their ids."""
+        rows = np.arange(len(ids))
+        gain, piece = self._pairs(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1 and len(rows):
+            best = gain.argmax(1)
+            some = np.arange(len(rows))
+            live = gain[some, best] > -np.inf
+            if not live.all():
+                yield rows[~live], ids[~live]
+                rows, ids, gain, piece, best = rows[live], ids[live], gain[live], piece[live], best[live]
+                some = some[: len(rows)]
+            new = piece[some, best]
+            columns = np.arange(ids.shape[1] - 1)[None, :]
+            ids = np.take_along_axis(ids, columns + (columns > best[:, None]), 1)
+            ids[some, best] = new
+            columns = columns[:, :-1]
+            gain = np.take_along_axis(gain, columns + (columns >= best[:, None]), 1)
+            piece = np.take_along_axis(piece, columns + (columns >= best[:, None]), 1)
+            for at in (best - 1, best):
+                has = np.flatnonzero((at >= 0) & (at < ids.shape[1] - 1))
+                where = at[has]
+                gain[has, where], piece[has, where] = self._pairs(ids[has, where], ids[has, where + 1])
+        if len(rows):
+            yield rows, ids
+
+    def solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chunk (of pieces' signs only) the number of ids, all ids, and the score."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        text = "".join(chunks)
+        signs = np.fromiter(map(self.single.__getitem__, text), np.int32, len(text))
+        begins = np.cumsum(lengths) - lengths
+        sizes, scores = np.zeros(len(chunks), np.int64), np.zeros(len(chunks))
+        parts = []
+        for length in np.unique(lengths):
+            which = np.flatnonzero(lengths == length)
+            for rows, ids in self._matrix(signs[begins[which][:, None] + np.arange(length)]):
+                sizes[which[rows]] = ids.shape[1]
+                # From the left, as a text's score is summed up.
+                for column in self.score[ids].T:
+                    scores[which[rows]] += column
+                parts.append((which[rows], ids))
+        at = np.cumsum(sizes) - sizes
+        flat = np.zeros(sizes.sum(), np.int32)
+        for rows, ids in parts:
+            flat[at[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return sizes, flat, scores
+
+
 def _gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of some chunks, one after the other."""
     held = sizes[which]
@@ -319,7 +403,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, n: int = NBEST) -> None:
         self.vocabulary, self.n = vocabulary, n
-        self.lattices = Lattices(vocabulary)
+        self.lattices, self.merges = Lattices(vocabulary), Merges(vocabulary)
         self.alphabet = frozenset(c for c in vocabulary.score if len(c) == 1)
         lengths = np.array([len(t) for t in vocabulary.text_of])
         self.bytes_at = np.concatenate([[0], np.cumsum(lengths)])
@@ -336,8 +420,9 @@ class Encoder:
 
     def _solve(self, new: list[str]) -> None:
         """Solve chunks and add them to the table: usual ones together, odd or long ones alone."""
-        usual = [c for c in new if len(c) <= LONGEST_TOGETHER and self.alphabet.issuperset(c)]
-        odd = [c for c in new if len(c) > LONGEST_TOGETHER or not self.alphabet.issuperset(c)]
+        usual, odd = [], []
+        for chunk in new:
+            (usual if len(chunk) <= LONGEST_TOGETHER and self.alphabet.issuperset(chunk) else odd).append(chunk)
         sizes, flat, first, second = self.lattices.solve(usual)
         alone = [self.vocabulary.segment(c, 2) for c in odd]
         self.names += usual + odd
@@ -348,10 +433,11 @@ class Encoder:
         self.first = np.concatenate([self.first, first, [w[0][0] for w in alone]])
         losses = [w[0][0] - w[1][0] if len(w) > 1 else np.inf for w in alone]
         self.loss = np.concatenate([self.loss, first - second, losses])
-        own = [self.vocabulary.merged(c) for c in usual + odd]
-        self.own_sizes = np.concatenate([self.own_sizes, [len(i) for _, i in own]]).astype(np.int64)
-        self.own_flat = np.concatenate([self.own_flat, *(i for _, i in own)]).astype(np.int32)
-        self.own = np.concatenate([self.own, [s for s, _ in own]])
+        own_sizes, own_flat, own = self.merges.solve(usual)
+        alone = [self.vocabulary.merged(c) for c in odd]
+        self.own_sizes = np.concatenate([self.own_sizes, own_sizes, [len(i) for _, i in alone]]).astype(np.int64)
+        self.own_flat = np.concatenate([self.own_flat, own_flat, *(i for _, i in alone)]).astype(np.int32)
+        self.own = np.concatenate([self.own, own, [s for s, _ in alone]])
 
     def _ways(self, row: int) -> list[tuple[float, np.ndarray]]:
         """Scores and ids of a chunk's n best segmentations, by A*."""
@@ -437,9 +523,12 @@ def _encoder(path: str, n: int, vocabulary: Vocabulary) -> Encoder:
     return _ENCODERS[path, n]
 
 
-def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST, digest: bool = False) -> DataFrame:
     """The documents' columns with ids, n_pieces, other_ids, best_scores and decoded.
 
+    With `digest` no text comes back: text is left out, and decoded is decoded_sha256, the
+    hexadecimal SHA-256 of its UTF-8.
+
     `ids` are the model's own and `other_ids` the n - 1 best others, best first;
     `best_scores` are the scores of all n in that order.
 
@@ -447,6 +536,10 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(Vocabulary.load(path))
+    last = "decoded_sha256" if digest else "decoded"
+    added = {**{name: kind for name, kind in ADDED.items() if name != "decoded"}, last: "string"}
+    rows = docs.select(*without(docs, *ADDED, last))
+    out = extended(rows.drop("text") if digest else rows, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, n, held.value)
@@ -459,11 +552,14 @@ def encode(docs: DataFrame, path: str = MODEL, n: int = NBEST) -> DataFrame:
                 pa.array([len(i) for i in ids], pa.int64()),
                 pa.ListArray.from_arrays(counts, _lists([i for w in ways for _, i in w[1:]])),
                 pa.array([[score for score, _ in w] for w in ways], pa.list_(pa.float64())),
-                pa.array(encoder.decode(ids), pa.string()),
+                pa.array([shown(t) for t in encoder.decode(ids)], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *ADDED])
+            kept = [name for name in part.schema.names if not digest or name != "text"]
+            yield pa.RecordBatch.from_arrays([*part.select(kept).columns, *made], names=[*kept, *added])
+
+    def shown(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if digest else text
 
-    rows = docs.select(*without(docs, *ADDED))
-    return rows.mapInArrow(run, extended(rows, ADDED))
+    return rows.mapInArrow(run, out)
 
 

@@ -239,7 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sizes: dict[int, int]
     ]
     # As many ids as the sizes say, so the side is bounded. An id with both labels has the higher.
     chosen = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # Rows of one id are one text, the first in order, so that the sample is bounded by its ids.
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     data = rows.mapInArrow(_measured, "doc_id long, label int, x array<double>").toPandas()
     data = data.sort_values("doc_id", kind="stable")
     if data["label"].nunique() < 2:

@@ -43,10 +43,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    done = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"))
-    return done.select(
-        "doc_id", "ids", "n_pieces", "other_ids", "best_scores", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    done = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), digest=True)
+    return done.select("doc_id", "ids", "n_pieces", "other_ids", "best_scores", "decoded_sha256")
 
 
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,8 +9,9 @@ or out of the subtrees whose weights change; siblings elsewhere keep theirs.
 The law is `key`: the id and the number of shards decide. In such a tree a shard
 put under a region that already stands would also pull rows from other regions to
 its neighbours in that region. One more shard therefore opens a region and rack of
-its own, and takes rows only into itself; `topology(n)` places every shard beyond
-the first `base` that way.
+its own, and takes rows only into itself; `topology` places every shard beyond the
+first `base` that way. `base` is the number of shards a store began with; it stays
+what it is when shards are added.
 
 A null id counts as the empty text, a null text as no bytes and the crc32 of the
 empty text. Repeated rows get the same shard and different slots. An empty table
@@ -89,11 +90,12 @@ def shard_of(key: Column, places: list[Place]) -> Column:
     return won["shard"]
 
 
-def assign(docs: DataFrame, shards: int = BASE) -> DataFrame:
+def assign(docs: DataFrame, shards: int = BASE, base: int = BASE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    Slots count the rows of a shard from 0 without gaps, in the order of a hash
-    bucket of the id, the id, crc32 and size. They come from counts per bucket, so no
+    A store that began with fewer shards than `base` and has had no more since began
+    with `shards`. Slots count the rows of a shard from 0 without gaps, in the order of a
+    hash bucket of id, crc32 and size, the id, crc32 and size. They come from counts per bucket, so no
     task holds a shard; equal rows are counted before they are shuffled and take
     their slots from one count.
     """
@@ -104,12 +106,12 @@ def assign(docs: DataFrame, shards: int = BASE) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     distinct = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    key = F.col("doc_id")
+    key, base = F.col("doc_id"), min(base, shards)
     placed = distinct.withColumns(
         {
-            "shard": shard_of(key, topology(shards)).cast("int"),
-            "grown_shard": shard_of(key, topology(shards + 1)).cast("int"),
-            "bucket": F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)),
+            "shard": shard_of(key, topology(shards, base)).cast("int"),
+            "grown_shard": shard_of(key, topology(shards + 1, base)).cast("int"),
+            "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BUCKETS)),
         }
     )
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")

@@ -8,7 +8,8 @@ case, character classes, check digits, script, and for given names gender.
 
 Two passes over the texts. The first gathers the distinct entities; their surrogates
 are checked in Spark against each other and against all originals of the kind, and
-whoever collides draws again until none does (distinctness). Only entities that drew
+whoever collides draws again until none does (distinctness); who draws very often gets a
+longer surrogate, so that those of a form cannot run out. Only entities that drew
 more than once are carried to the second pass, which detects again and replaces; texts
 are not shuffled for that. If those entities are too many to broadcast, they are
 joined to the documents instead.
@@ -37,7 +38,6 @@ from logsift.sources.storage import saved
 KEY = "surrogates-1"
 #: Up to so many entities with more than one draw are broadcast.
 BROADCAST_ENTITIES = 50_000
-ROUNDS = 60
 
 ADDED = {"clean_text": "string", "n_entities": "long", "kinds": "array<string>"}
 _SCHEMA = "kind string, canonical string"
@@ -83,6 +83,11 @@ def _address(text: str) -> bool:
     return True
 
 
+def _card(digits: str) -> bool:
+    issued = digits[0] in "3456" or 2221 <= int(digits[:4]) <= 2720
+    return issued and 13 <= len(digits) <= 19 and luhn(digits)
+
+
 _EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _SECRET = re.compile(
     r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_/+\-]{8,})"
@@ -98,8 +103,8 @@ _NUMBERS: list[tuple[str, re.Pattern, Callable[[str], bool]]] = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), lambda s: True),
     (
         "card",
-        re.compile(r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])"),
-        lambda s: 13 <= len(re.sub(r"\D", "", s)) <= 19,
+        re.compile(r"(?<![\d-])(?:[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d\d[ -]?\d{6}[ -]?\d{5})(?![\d-])"),
+        lambda s: _card(re.sub(r"\D", "", s)),
     ),
     (
         "phone",
@@ -195,6 +200,8 @@ _LAST["family", "male", "latin"] = _LAST["family", "female", "latin"]
 def surrogate(key: str, kind: str, canonical: str, attempt: int) -> str:
     """The canonical form of an entity's surrogate."""
     draw = _Draws(key, kind, canonical, attempt)
+    # Who draws very often gets a longer one, so that the surrogates of a form cannot run out.
+    more = "0" * (attempt // 16)
     if kind == "email":
         name, _, domain = canonical.rpartition("@")
         # One domain has one surrogate; short names get letters added if they draw often.
@@ -203,27 +210,27 @@ def surrogate(key: str, kind: str, canonical: str, attempt: int) -> str:
     if kind == "ip":
         if attempt < 8:
             return ".".join(["10", *(str(draw.below(256)) for _ in range(3))])
-        return ".".join([str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(3))])
+        return ".".join([str(1 + draw.below(223)), *(str(draw.below(256)) for _ in range(3 + len(more)))])
     if kind == "key":
         alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
         return canonical[:4] + "".join(alphabet[draw.below(32)] for _ in canonical[4:])
     if kind == "secret":
         hexadecimal = re.fullmatch(r"[0-9a-f]+", canonical)
-        return "".join("0123456789abcdef"[draw.below(16)] for _ in canonical) if hexadecimal else draw.like(canonical)
+        return "".join("0123456789abcdef"[draw.below(16)] for _ in canonical + more) if hexadecimal else draw.like(canonical + more)
     if kind == "iban":
         rest = draw.like(canonical[4:])
         return f"{canonical[:2]}{98 - iban_rest(f'{canonical[:2]}00{rest}'):02d}{rest}"
     if kind == "card":
-        body = canonical[0] + draw.like(canonical[1:])
+        body = canonical[0] + draw.like(canonical[1:] + more)
         if luhn(canonical):
             body = next(body[:-1] + c for c in "0123456789" if luhn(body[:-1] + c))
         return body
     if kind == "phone":
         # Country and first digits stay in range; 1 to 9 at the front.
         head = canonical[: max(0, len(canonical) - 10)]
-        return head + str(2 + draw.below(8)) + draw.like(canonical[len(head) + 1 :])
+        return head + str(2 + draw.below(8)) + draw.like(canonical[len(head) + 1 :] + more)
     if kind == "ssn":
-        return "9" + draw.like(canonical[1:])
+        return "9" + draw.like(canonical[1:] + more)
     part, gender, script = kind.split()
     syllables, last = _SYLLABLES[script], _LAST[part, gender, script]
     middle = [syllables[draw.below(16)] for _ in range(2 + attempt // 2)]
@@ -234,7 +241,7 @@ def written(kind: str, surface: str, drawn: str) -> str:
     """A surrogate in the form of the surface."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(drawn)
-        return re.sub(r"\d", lambda _: next(digits), surface)
+        return re.sub(r"\d", lambda _: next(digits), surface) + "".join(digits)
     if kind == "iban":
         signs = iter(drawn)
         return "".join(c if c == " " else next(signs) for c in surface)
@@ -287,7 +294,7 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
     drawn = originals.withColumn("attempt", F.lit(0)).mapInArrow(_drawer(key), f"{_SCHEMA}, attempt int, drawn string")
     state = saved(drawn)
     taken = originals.select("kind", F.col("canonical").alias("drawn"), F.lit(True).alias("taken"))
-    for _ in range(ROUNDS):
+    while True:
         # Those settled earlier come first, so they never move again.
         order = Window.partitionBy("kind", "drawn").orderBy("attempt", "canonical")
         judged = state.withColumn("place", F.row_number().over(order)).join(taken, ["kind", "drawn"], "left")
@@ -297,7 +304,6 @@ def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
             return state.filter("attempt > 0").select("kind", "canonical", "attempt")
         settled = judged.filter("not collides").select("kind", "canonical", "attempt", "drawn")
         state = saved(settled.unionByName(again.mapInArrow(_drawer(key), settled.schema)))
-    raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
 
 
 def _with_overrides(docs: DataFrame, extra: DataFrame) -> DataFrame:

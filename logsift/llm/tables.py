@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +39,27 @@ def extended(table: DataFrame, added: dict[str, str]) -> T.StructType:
     return T.StructType([*table.schema.fields, *more])
 
 
-#: Texts that a task works on at a time.
+#: Texts, and bytes of text, that a task works on at a time.
 ROWS = 2000
+BYTES = 4 << 20
 
 
-def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, so that what a task makes of one stays small."""
+def portions(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what a task makes of one stays small.
+
+    Each has at most so many rows and bytes of text; a row with more is one by itself.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        held = np.zeros(batch.num_rows + 1, np.int64)
+        for column in texts:
+            held[1:] += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(held), 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
+            stop = max(min(stop, at + rows), at + 1)
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def crc_mod(key: str, divisor: int) -> Column:

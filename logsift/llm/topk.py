@@ -15,7 +15,7 @@ Vectors that are null, empty, or hold a null or non-finite component take no par
 null ids. Missing components of shorter vectors count as zero. Rows repeated with the
 same id are candidates of their own but never their own query's; a repeated query
 id counts once, by its first vector in component order. Ties go to the smaller id.
-Scores are exact while they stay below 2^53 in absolute value. Extra columns are
+Scores are exact: components so large that a score may reach 2^53 are an error. Extra columns are
 dropped; empty tables give an empty result.
 """
 
@@ -66,6 +66,19 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _measure(pivots: np.ndarray, width: int):
+    """Adds far: each vector's distances to the pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = _distances(_matrix(batch.column("v"), width), pivots)
+            offsets = pa.array(np.arange(len(far) + 1, dtype=np.int32) * len(pivots))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(far.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["vec_id", "v", "far"])
+
+    return run
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Each next pivot is the vector farthest from those chosen."""
     chosen = [0]
@@ -79,9 +92,8 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 class _Cell:
     """One block of queries and the best k candidates met so far for each."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int) -> None:
-        self.ids, self.vectors, self.k = ids, vectors, k
-        self.table = _distances(vectors, pivots)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.table, self.k = ids, vectors, table, k
         self.norms = (vectors**2).sum(1)
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -140,15 +152,16 @@ def _search(pivots: np.ndarray, width: int, k: int):
                         yield cell.rows()
                     here, waiting, cell = tuple(keys[begin, :2]), [], None
                 ids, vectors = part.column("vec_id").to_numpy(), _matrix(part.column("v"), width)
+                table = _matrix(part.column("far"), len(pivots))
                 if keys[begin, 2] == 0:
-                    waiting.append((ids, vectors))
+                    waiting.append((ids, vectors, table))
                     continue
                 if cell is None and waiting:
-                    cell = _Cell(*(np.concatenate(x) for x in zip(*waiting, strict=True)), pivots, k)
+                    cell = _Cell(*(np.concatenate(x) for x in zip(*waiting, strict=True)), k)
                 if cell:
                     for at in range(0, len(ids), STEP):
                         step = slice(at, at + STEP)
-                        cell.offer(ids[step], vectors[step], _distances(vectors[step], pivots))
+                        cell.offer(ids[step], vectors[step], table[step])
         if cell:
             yield cell.rows()
 
@@ -159,15 +172,20 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, query_
     """query_id, rank, vec_id, score: the k best candidates of each query."""
     spark = vectors.sparkSession
     sound = saved(integer_vectors(vectors))
-    asked = sound.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_queries, n, width = (
-        sound.agg(F.count_distinct(F.when(is_query, F.col("vec_id"))), F.count(F.lit(1)), F.max(F.size("v"))).first()
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    n_queries, n, width, top = (
+        sound.agg(F.count_distinct(F.when(is_query, F.col("vec_id"))), F.count(F.lit(1)), F.max(F.size("v")), largest).first()
     )
+    if n and top * top * width >= 2.0**53:
+        raise ValueError("components are too large for exact scores")
     sample = sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("v").collect() if n else []
     rows = np.zeros((len(sample), width or 1))
     for row, (v,) in zip(rows, sample, strict=True):
         row[: len(v)] = v
     chosen = choose_pivots(rows, pivots) if len(rows) else rows
+    told = saved(sound.mapInArrow(_measure(chosen, width or 1), "vec_id long, v array<double>, far array<double>"))
+    asked = told.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "far")).alias("q"))
+    asked = asked.select("vec_id", "q.v", "q.far")
     blocks = max(1, -(-n_queries // query_block))
     # A cell a task, and no more copies of the queries than that takes.
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -175,8 +193,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, query_
     block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")
     part = F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int")
     all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.select("vec_id", "v", block.alias("block"), all_of(slices).alias("slice"), F.lit(0).alias("kind"))
-    right = sound.select("vec_id", "v", all_of(blocks).alias("block"), part.alias("slice"), F.lit(1).alias("kind"))
+    left = asked.select("vec_id", "v", "far", block.alias("block"), all_of(slices).alias("slice"), F.lit(0).alias("kind"))
+    right = told.select("vec_id", "v", "far", all_of(blocks).alias("block"), part.alias("slice"), F.lit(1).alias("kind"))
     # A number given keeps Spark from merging cells, whose work it cannot know from their bytes.
     dealt = left.unionByName(right).repartition(parallel, "block", "slice").sortWithinPartitions("block", "slice", "kind")
     best = dealt.mapInArrow(_search(chosen, width or 1, k), "query_id long, vec_id long, score long")

@@ -373,7 +373,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     # As many ids as the sizes say, so the side is bounded. An id with both labels has the higher.
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # Rows of one id are one text, the first in order, so that the sample is bounded by its ids.
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def hard_words(docs: DataFrame, labels: DataFrame, learn: Column, model: Model) -> list[str]:
@@ -401,6 +402,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sizes: dict[int, int]
     if len(classes) < 2:
         return Constant(float(classes[0]) if len(classes) else 0.0)
     trainer = Trainer(sample["text"].tolist(), sample["label"].tolist())
+    if not trainer.tables.any():
+        # No word has features, so no text can be told from another.
+        return Constant(0.0)
     return trainer.fit(hard_words(docs, labels, learn, trainer.fit()))
 
 

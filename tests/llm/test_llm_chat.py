@@ -73,3 +73,20 @@ def test_small_pieces(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_batches_are_cut_by_bytes():
+    """300 turns of 110 KB in one batch: what is made at a time stays far below the 18 times of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    turns = 300
+    text = pa.array(["x" * 110_000] * turns)
+    columns = [pa.array([i // 3 for i in range(turns)]), pa.array(range(turns)), pa.array(["user"] * turns), text]
+    batch = pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text"])
+    tracemalloc.start()
+    made = sum(b.num_rows for b in chat._format_task(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert made >= turns // 3

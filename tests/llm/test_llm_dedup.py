@@ -18,7 +18,7 @@ def exact_rows():
     rows += [(2000 + i, f"pair {i // 2}") for i in range(100)]
     rows += [(3000, None), (3001, ""), (3002, None), (None, "hot text"), (None, "null id"), (None, "null id")]
     rows += [(3003, "repeat"), (3003, "repeat"), (399, "hot text"), (3004, "x" * 300_000), (3005, "x" * 300_000)]
-    rows += [(3006, "Case"), (3007, "case"), (3008, "case ")]
+    rows += [(3006, "Case"), (3007, "case"), (3008, "case ")] + [(5000, "one row repeated")] * 300
     return rows
 
 

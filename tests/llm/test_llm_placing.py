@@ -114,3 +114,26 @@ def test_mix_meets_the_targets(docs_of):
 
 def test_mix_empty(docs_of):
     assert mixing.mix(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("shards", [1, 4, 7, 8, 11])
+def test_one_more_shard_takes_rows_only_into_itself(docs_of, shards):
+    got = sharding.assign(docs_of([(i, f"t{i % 9}") for i in range(1500)] + [(3, f"own {i}") for i in range(400)]), shards)
+    rows = got.collect()
+    assert {r.shard for r in rows} == set(range(shards))
+    assert all(r.grown_shard in (r.shard, shards) for r in rows) and any(r.grown_shard == shards for r in rows)
+    for shard in range(shards):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    again = {r.doc_id: r.shard for r in sharding.assign(docs_of([(i, "t") for i in range(1500)]), shards + 1, base=min(shards, 8)).collect()}
+    assert all(again[r.doc_id] == r.grown_shard for r in rows)
+
+
+def test_portions_by_bytes():
+    import pyarrow as pa
+
+    from logsift.llm.tables import portions
+
+    texts = ["x" * 30, None, "y" * 100, "", "é" * 10, "z" * 90, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(7))], names=["text", "i"])
+    got = [b.column("text").to_pylist() for b in portions(iter([batch, batch.slice(0, 0), batch.slice(4)]), 3, 100)]
+    assert got == [["x" * 30, None], ["y" * 100, ""], ["é" * 10], ["z" * 90, "w"], ["é" * 10], ["z" * 90, "w"]]

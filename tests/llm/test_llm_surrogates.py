@@ -73,3 +73,42 @@ def test_odd_tables(docs_of):
     rows = [(None, "a@b.cc"), (None, "a@b.cc"), (3, "x" * 200_000 + " a@b.cc " + "1 " * 100_000)]
     got = sg.replace(docs_of(rows)).collect()
     assert len({re.search(r"\S+\.example", r.clean_text)[0] for r in got}) == 1
+
+
+def test_cards():
+    """Luhn's check digit, all issuers' first digits, both groupings."""
+    found = lambda t: [f.surface for f in sg.detect(t) if f.kind == "card"]
+    good = ["4944339490429605", "4944-3394-9042-9605", "3782 822463 10005", "378282246310005", "2223003122003222", "4222222222222"]
+    for card in good:
+        assert found(f"card {card} end") == [card]
+    for plain in ["4944339490429606", "2220003122003222", "1234567812345670", "49443394904296051234", "9123-4567"]:
+        assert found(f"card {plain} end") == []
+
+
+def test_surrogates_cannot_run_out(docs_of):
+    """More two-sign secrets' worth of entities than their form has surrogates."""
+    drawn = {sg.surrogate(sg.KEY, "phone", "5550000", a) for a in range(0, 64)}
+    assert {len(d) for d in drawn} == {7, 8, 9, 10}
+    assert sg.written("phone", "555-0000", "12345678") == "123-45678"
+    for kind, form in [("ssn", "123456789"), ("ip", "1.2.3.4"), ("secret", "abcdef12"), ("card", "4944339490429605"), ("email", "a@b.cc")]:
+        assert len(sg.surrogate(sg.KEY, kind, form, 64)) > len(sg.surrogate(sg.KEY, kind, form, 0)) - (kind == "ip") * 3
+
+
+def test_against_plain_replacement(docs_of):
+    """The job against its rule said plainly: gather, draw until nothing collides, write."""
+    texts = dict(TEXTS) | {100 + i: f"call 555-{1000 + i}-{i:04d} or 212-555-{i:04d} as user{i}@x{i % 3}.org" for i in range(300)}
+    known = {(f.kind, f.canonical) for t in texts.values() for f in sg.detect(t)}
+    tries, drawn = dict.fromkeys(known, 0), {}
+    while True:
+        drawn = {e: sg.surrogate(sg.KEY, *e, tries[e]) for e in known}
+        owners = {}
+        for e in sorted(known, key=lambda e: (tries[e], e[1])):
+            owners.setdefault((e[0], drawn[e]), e)
+        bad = [e for e in known if owners[e[0], drawn[e]] != e or (e[0], drawn[e]) in known]
+        if not bad:
+            break
+        for e in bad:
+            tries[e] += 1
+    want = {i: sg.replaced(t, tries, sg.KEY)[0] for i, t in texts.items()}
+    assert {i: r.clean_text for i, r in clean(docs_of, texts).items()} == want
+    assert len(set(drawn.values())) == len(known)

@@ -55,3 +55,9 @@ def test_repeated_rows(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(table, F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_components_too_large(spark):
+    table = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(table, F.col("vec_id") == 0)
