@@ -183,16 +183,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 SIMILARITY = 0.8
 SIMILAR_WORDS = 5
 #: Fingerprints of similar texts are cut into so many blocks of 15 bits.
-BLOCKS = 8
+BLOCKS = 10
+#: Sample shingles that must be equal for the blocks of two sets to meet.
+SAMPLES = 3
 _BLOCK_BITS = 15
+_LONGS = 3
 #: Bits, of all blocks together, in which two similar texts may differ; see `drop_similar`.
-FAR = 36
-#: Members of an anchor that each member is compared with in a round.
-NEIGHBOURS = 4
+FAR = 50
 #: Shingles whose bits are counted at a time.
 SOME = 1 << 14
 # Odd constants that make further 64-bit hashes out of one, from the digits of the golden ratio.
-_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(BLOCKS + 2)], np.uint64)
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 for k in range(BLOCKS * SAMPLES + 2)], np.uint64)
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -202,26 +203,33 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits of SimHash over a set of shingles, as two longs; the blocks are its first 120 bits."""
-    counts = np.zeros(128, np.int64)
+def _wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """192 bits of SimHash over a set of shingles, as three longs; the blocks are its first 150 bits."""
+    counts = np.zeros(64 * _LONGS, np.int64)
     for at in range(0, len(hashes), SOME):
         part = hashes[at : at + SOME]
-        both = np.stack([_mixed(part, 1), _mixed(part, 2)], axis=1)
-        counts += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    low, high = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").view(np.int64)
-    return int(low), int(high)
+        both = np.stack([_mixed(part, 1 + k) for k in range(_LONGS)], axis=1)
+        counts += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, 8 * _LONGS), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8").view(np.int64).tolist()
+
+
+def _sample(hashes: np.ndarray) -> list[int]:
+    """For each block a hash of its sample: the shingles that come first by SAMPLES hashes of the block's own."""
+    if not len(hashes):
+        return [0] * BLOCKS
+    first = np.array([_mixed(hashes, 2 + k).min() for k in range(BLOCKS * SAMPLES)], "<u8").reshape(BLOCKS, SAMPLES)
+    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - 2**63 for row in first]
 
 
 def _sorted_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
 
 
-_SETS = "doc_id long, mark long, digest binary, size long, low long, high long, samples array<long>"
+_SETS = "doc_id long, mark long, digest binary, size long, fp array<long>, samples array<long>"
 
 
 def _set_batches(words: int):
-    """The set of a text's shingles: a 128-bit digest, size, wide fingerprint, a sample shingle for each block."""
+    """The set of a text's shingles: a 128-bit digest, size, wide fingerprint, a sample for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 500):
@@ -231,18 +239,17 @@ def _set_batches(words: int):
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 fps.append(_wide_fingerprint(hashes))
-                least = [int(_mixed(hashes, 2 + b).min().view(np.int64)) if len(hashes) else 0 for b in range(BLOCKS)]
-                samples.append(least)
+                samples.append(_sample(hashes))
+            longs = pa.list_(pa.int64())
             columns = [
                 batch.column("doc_id"),
                 batch.column("mark"),
                 pa.array(digests, pa.binary()),
                 pa.array(sizes, pa.int64()),
-                pa.array([f[0] for f in fps], pa.int64()),
-                pa.array([f[1] for f in fps], pa.int64()),
-                pa.array(samples, pa.list_(pa.int64())),
+                pa.array(fps, longs),
+                pa.array(samples, longs),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "size", "low", "high", "samples"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "size", "fp", "samples"])
 
     return run
 
@@ -260,45 +267,41 @@ def block_anchors(block: Column) -> Column:
     return F.when(syndrome == 0, F.array(block)).otherwise(F.concat(F.array(block.bitwiseXOR(flip(syndrome))), two))
 
 
-def _block(low: Column, high: Column, number: int) -> Column:
+def _block(number: int) -> Column:
     """Bits 15 n and following of the wide fingerprint."""
-    at, mask = number * _BLOCK_BITS, F.lit((1 << _BLOCK_BITS) - 1)
-    if at + _BLOCK_BITS <= 64:
-        return F.shiftrightunsigned(low, at).bitwiseAND(mask).cast("int")
-    if at >= 64:
-        return F.shiftrightunsigned(high, at - 64).bitwiseAND(mask).cast("int")
-    joined = F.shiftrightunsigned(low, at).bitwiseOR(F.shiftleft(high, 64 - at))
-    return joined.bitwiseAND(mask).cast("int")
+    at, mask, part = number * _BLOCK_BITS, F.lit((1 << _BLOCK_BITS) - 1), F.col("fp")
+    low = F.shiftrightunsigned(part[at // 64], at % 64)
+    if at % 64 + _BLOCK_BITS > 64:
+        low = low.bitwiseOR(F.shiftleft(part[at // 64 + 1], 64 - at % 64))
+    return low.bitwiseAND(mask).cast("int")
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """anchor, sid of the anchors where at least two sets meet, and the least sid there.
+    """u < v: at every anchor each set with the one before it in an order of the anchor's own; pairs may repeat.
 
-    An anchor is a codeword of one block, kept apart by the block's sample shingle: the
-    shingle of the set that comes first by a hash of the block's own.
+    An anchor is a codeword of one block, kept apart by the block's sample. A group of any
+    size at an anchor makes one pair a member, and each anchor other pairs.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = F.col("low"), F.col("high")
-    blocks = F.array(*[F.struct(_block(low, high, b).alias("bits"), F.col("samples")[b].alias("sample")) for b in range(BLOCKS)])
+    blocks = F.array(*[F.struct(_block(b).alias("bits"), F.col("samples")[b].alias("sample")) for b in range(BLOCKS)])
     # Few bytes make many rows here, which Spark's merging of small partitions cannot know.
     spread = sets.repartition(parts, F.xxhash64("sid"))
     each = spread.select("sid", F.posexplode(blocks).alias("block", "at"))
     placed = each.select("sid", "block", "at.sample", F.explode(block_anchors(F.col("at.bits"))).alias("word"))
     anchor = F.xxhash64("block", "sample", "word")
-    met = Window.partitionBy("anchor")
-    counted = placed.select(anchor.alias("anchor"), "sid").withColumns(
-        {"members": F.count(F.lit(1)).over(met), "least": F.min("sid").over(met)}
-    )
-    return counted.filter("members > 1").select("anchor", "sid", "least")
+    order = Window.partitionBy("anchor").orderBy(F.xxhash64("anchor", "sid"))
+    before = placed.select(anchor.alias("anchor"), "sid").withColumn("before", F.lag("sid").over(order))
+    pair = before.filter(F.col("before").isNotNull())
+    return pair.select(F.least("sid", "before").alias("u"), F.greatest("sid", "before").alias("v"))
 
 
 def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs u < v that sizes and fingerprints leave possible."""
     side = lambda name, n: sets.select(
-        F.col("sid").alias(name), F.col("size").alias(f"n{n}"), F.col("low").alias(f"l{n}"), F.col("high").alias(f"h{n}")
+        F.col("sid").alias(name), F.col("size").alias(f"n{n}"), F.col("fp").alias(f"f{n}")
     )
     both = pairs.distinct().join(side("u", 1), "u").join(side("v", 2), "v")
-    apart = F.bit_count(F.col("l1").bitwiseXOR(F.col("l2"))) + F.bit_count(F.col("h1").bitwiseXOR(F.col("h2")))
+    apart = sum((F.bit_count(F.col("f1")[k].bitwiseXOR(F.col("f2")[k])) for k in range(_LONGS)), F.lit(0))
     sizes = F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-9
     return both.filter(sizes & (apart <= FAR)).select("u", "v")
 
@@ -339,44 +342,6 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     return both.select("u", "v", "a", "b").mapInArrow(_check_batches(similarity), "u long, v long")
 
 
-def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Meetings with each set's component so far, at anchors where two components meet."""
-    named = roots.select(F.col("node").alias("sid"), "root")
-    known = met.join(named, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ends = known.groupBy("anchor").agg(F.min("root").alias("first"), F.max("root").alias("last"))
-    return known.join(ends.filter("first <> last").select("anchor"), "anchor", "left_semi")
-
-
-def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
-    """u, v: links between sets (sid) that join up to the components of all similar sets that meet.
-
-    First every member of an anchor is compared with the least one there. Then, at
-    anchors where different components meet, with up to `NEIGHBOURS` members before
-    it in a random order, those of its own component left out. This is repeated with
-    other orders until a round finds no link, so a group of any size costs a fixed
-    number of comparisons for each of its members.
-    """
-    met = saved(meetings(sets))
-    pairs = met.filter("sid <> least").select(F.col("least").alias("u"), F.col("sid").alias("v"))
-    tested = saved(_near_pairs(pairs, sets, similarity))
-    links = saved(_similar(tested, texts, similarity, words))
-    turn = 0
-    while True:
-        turn += 1
-        order = Window.partitionBy("anchor").orderBy(F.xxhash64("anchor", "sid", F.lit(turn)), "sid")
-        other = F.struct("sid", "root")
-        before = F.array(*[F.lag(other, k).over(order) for k in range(1, NEIGHBOURS + 1)])
-        member = _rooted(met, components(links))
-        near = member.withColumn("before", before).select("sid", "root", F.explode("before").alias("o"))
-        near = near.filter(F.col("o.root") != F.col("root"))
-        pairs = near.select(F.least("sid", "o.sid").alias("u"), F.greatest("sid", "o.sid").alias("v"))
-        fresh = saved(_near_pairs(pairs, sets, similarity).join(tested, ["u", "v"], "left_anti"))
-        found = saved(_similar(fresh, texts, similarity, words))
-        if found.isEmpty():
-            return links
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
-
-
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
     """One row of each group of similar texts, with all its columns: that of the smallest doc_id (null the largest).
 
@@ -384,9 +349,13 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     given one; groups are what links join up. Every link is checked on the whole sets.
     Candidates come from fingerprints: of two texts with Jaccard 0.8 a bit differs with
     probability 0.15 (the angle between the sets over pi), a block in at most 2 bits
-    with 0.59, and they have the same sample shingle with 0.8, so they meet in one of
-    8 blocks with 0.994; more similar ones with more. Candidates more than 36 of 128
-    bits apart are not checked: 4 standard deviations above what Jaccard 0.8 gives.
+    with 0.59, and they have the same sample of 3 shingles with 0.51, so they meet at
+    an anchor of one of 10 blocks with 0.97; with Jaccard 0.85 it is 0.995. At an anchor
+    each set is compared with the one before it in a random order of the anchor's own,
+    so a group of any size costs a fixed number of comparisons for each member; two that
+    are no neighbours there are joined up through others or at other anchors. Candidates
+    more than 50 of 192 bits apart are not checked: 4 standard deviations above what
+    Jaccard 0.8 gives. README has the recall that was measured.
 
     Equal sets are folded by a digest of 128 bits. Texts without words have the empty
     set and are equal to each other; null counts as empty. Rows repeated in full, id and
@@ -395,12 +364,14 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
     marked = saved(rows.mapInArrow(_set_batches(words), _SETS))
-    facts = [F.min(n).alias(n) for n in ("size", "low", "high")]
-    sets = marked.groupBy("digest").agg(_first(), *facts, F.first("samples").alias("samples"))
+    facts = [F.min(n).alias(n) for n in ("size", "fp", "samples")]
+    sets = marked.groupBy("digest").agg(_first(), *facts)
     sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()))
     # The text of a set is read where its first document is.
     ids = sets.select("sid", F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
     texts = docs.select(_key(), _mark().alias("mark"), "text").join(ids, ["key", "mark"]).select("sid", "text")
-    roots = components(similar_links(sets, texts, similarity, words)).withColumnRenamed("node", "sid")
+    near = saved(_near_pairs(meetings(sets), sets, similarity))
+    linked = _similar(near, texts, similarity, words)
+    roots = components(linked).withColumnRenamed("node", "sid")
     rooted = sets.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return _kept(docs, rooted.groupBy("root").agg(F.min("first").alias("first")))
