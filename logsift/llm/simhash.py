@@ -277,10 +277,10 @@ def _block(number: int) -> Column:
 
 
 def meetings(sets: DataFrame) -> DataFrame:
-    """u < v: at every anchor each set with the one before it in an order of the anchor's own; pairs may repeat.
+    """u < v: at every anchor each set with the one before it in an order of the block's own; pairs may repeat.
 
     An anchor is a codeword of one block, kept apart by the block's sample. A group of any
-    size at an anchor makes one pair a member, and each anchor other pairs.
+    size at an anchor makes one pair a member, and each block other pairs.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.array(*[F.struct(_block(b).alias("bits"), F.col("samples")[b].alias("sample")) for b in range(BLOCKS)])
@@ -289,8 +289,10 @@ def meetings(sets: DataFrame) -> DataFrame:
     each = spread.select("sid", F.posexplode(blocks).alias("block", "at"))
     placed = each.select("sid", "block", "at.sample", F.explode(block_anchors(F.col("at.bits"))).alias("word"))
     anchor = F.xxhash64("block", "sample", "word")
-    order = Window.partitionBy("anchor").orderBy(F.xxhash64("anchor", "sid"))
-    before = placed.select(anchor.alias("anchor"), "sid").withColumn("before", F.lag("sid").over(order))
+    # One order for all anchors of a block, so that sets which meet at several are neighbours there again.
+    order = Window.partitionBy("anchor").orderBy("turn", "sid")
+    placed = placed.select(anchor.alias("anchor"), "sid", F.xxhash64("block", "sid").alias("turn"))
+    before = placed.withColumn("before", F.lag("sid").over(order))
     pair = before.filter(F.col("before").isNotNull())
     return pair.select(F.least("sid", "before").alias("u"), F.greatest("sid", "before").alias("v"))
 
@@ -351,7 +353,7 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     probability 0.15 (the angle between the sets over pi), a block in at most 2 bits
     with 0.59, and they have the same sample of 3 shingles with 0.51, so they meet at
     an anchor of one of 10 blocks with 0.97; with Jaccard 0.85 it is 0.995. At an anchor
-    each set is compared with the one before it in a random order of the anchor's own,
+    each set is compared with the one before it in a random order of the block's own,
     so a group of any size costs a fixed number of comparisons for each member; two that
     are no neighbours there are joined up through others or at other anchors. Candidates
     more than 50 of 192 bits apart are not checked: 4 standard deviations above what
