@@ -195,3 +195,21 @@ def ascii_only(text: Column) -> Column:
     Makes ``\\b`` and case folding mean the same as in the C locale.
     """
     return F.regexp_replace(text, r"[^\x00-\x7F]", "\x1a")
+
+
+def bytes_as_text(value: Column) -> Column:
+    """A character for each byte, so that rules see bytes and change no others.
+
+    All rules are over ASCII, and ASCII stays what it is.
+    """
+    return F.decode(value.cast("binary"), "ISO-8859-1")
+
+
+def text_as_bytes(text: Column) -> Column:
+    """The bytes that `bytes_as_text` made characters of."""
+    return F.encode(text, "ISO-8859-1")
+
+
+def size_in_bytes(value: Column, exact: bool) -> Column:
+    """Bytes of a text, or of one that has a character for each byte."""
+    return F.char_length(value) if exact else F.octet_length(value)

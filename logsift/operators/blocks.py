@@ -18,13 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift.functions import text as tx
+from logsift.operators.bitmap import bitmap, may_hold
 from logsift.operators.ordered import BEFORE, RUN, chunk_of, range_buckets, running
 from logsift.options import MAX_BLOCK_BYTES, MAX_LINE_BYTES, CleanOptions
 from logsift.sources.storage import saved
 
 _BEFORE_ALL_LINES = -(2**63)
-#: So many logs, those with most unwanted lines, are cut before the lines are shuffled.
-CUTS = 10_000
 _LINE_ERROR = f"Line too long (max {MAX_LINE_BYTES} bytes)"
 _BLOCK_ERROR = f"Block too large (max {MAX_BLOCK_BYTES} bytes)"
 
@@ -33,8 +32,8 @@ def _checked(value: Column, broken: Column, message: str) -> Column:
     return F.when(broken, F.raise_error(F.lit(message))).otherwise(value)
 
 
-def flag_lines(lines: DataFrame, options: CleanOptions) -> DataFrame:
-    """Add is_marker, is_start and the chunk of every line."""
+def flag_lines(lines: DataFrame, options: CleanOptions, *more: str) -> DataFrame:
+    """log_id, line_no, value and more columns, with is_marker, is_start and chunk."""
     value = F.col("value")
     marker = tx.is_marker(value, options.marker) if options.trim else F.lit(False)
     flagged = lines.select(
@@ -43,19 +42,20 @@ def flag_lines(lines: DataFrame, options: CleanOptions) -> DataFrame:
         "value",
         chunk_of(F.col("line_no"), options.chunk_bits).alias("chunk"),
         marker.alias("is_marker"),
+        *more,
     )
     start = ~F.col("is_marker") & tx.is_opening_line(value, options.start_phrases)
     return flagged.withColumn("is_start", F.coalesce(start, F.lit(False)))
 
 
-def chunk_totals(flagged: DataFrame) -> DataFrame:
+def chunk_totals(flagged: DataFrame, exact: bool = False) -> DataFrame:
     """One row per (log, chunk): starts, markers, last marker, last long line."""
     line = F.col("line_no")
     return flagged.groupBy("log_id", "chunk").agg(
         F.count_if("is_start").alias("n_starts"),
         F.count_if("is_marker").alias("n_markers"),
         F.max(F.when(F.col("is_marker"), line)).alias("marker_line"),
-        F.max(F.when(F.octet_length("value") > MAX_LINE_BYTES, line)).alias("long_line"),
+        F.max(F.when(tx.size_in_bytes(F.col("value"), exact) > MAX_LINE_BYTES, line)).alias("long_line"),
         F.max(line).alias("last_line"),
     )
 
@@ -181,27 +181,14 @@ def _wanted_chunks(placed: DataFrame, options: CleanOptions) -> DataFrame:
     )
 
 
-def largest_cuts(totals: DataFrame, options: CleanOptions) -> DataFrame | None:
-    """log_id, cut: the first chunk that is wanted, of the logs with most chunks before it.
-
-    At most CUTS rows, so that they may be broadcast. None if nothing is cut log by log.
-    """
-    if not options.trim or options.scope != "log":
-        return None
-    marks = totals.groupBy("log_id").agg(F.max("marker_line").alias("mark"), F.max("last_line").alias("last"))
-    # A log without a marker is not wanted at all.
-    bits = options.chunk_bits
-    cut = F.coalesce(chunk_of(F.col("mark"), bits), chunk_of(F.col("last"), bits) + 1)
-    return marks.select("log_id", cut.alias("cut")).orderBy(F.desc("cut"), "log_id").limit(CUTS)
-
-
 def number_lines(
-    flagged: DataFrame, chunks: DataFrame, options: CleanOptions, cuts: DataFrame | None = None
+    flagged: DataFrame, chunks: DataFrame, options: CleanOptions, cut: bool = True
 ) -> DataFrame:
     """Kept lines with epoch, block_no and their place `pos` in the block's part.
 
-    Chunks before the cuts do not take part in the shuffle; the join with the wanted
-    chunks drops those of all other logs.
+    Lines of unwanted chunks do not take part in the shuffle: a bitmap of the wanted ones
+    is tested where the lines are read (with `cut`, and if options cut at all). The join
+    with the wanted chunks drops the few it lets through.
 
     block_no counts the block starts of the log up to the line. `piece_bytes`
     is the size of the block's part up to and including the line.
@@ -211,9 +198,8 @@ def number_lines(
     body = flagged.filter(tx.is_nonblank_tool_line(F.col("value")) & ~F.col("is_marker")).select(
         "log_id", "chunk", "line_no", tx.strip_tool_prefix(F.col("value")).alias("text"), "is_start"
     )
-    if cuts is not None:
-        told = body.join(F.broadcast(cuts), "log_id", "left")
-        body = told.filter(F.col("chunk") >= F.coalesce("cut", F.lit(_BEFORE_ALL_LINES))).drop("cut")
+    if cut and options.trim:
+        body = body.filter(may_hold(bitmap(chunks, "log_id", "chunk").scalar(), "log_id", "chunk"))
     # Hash join: one shuffle of the lines serves the join and both windows.
     joined = body.join(chunks.hint("shuffle_hash"), ["log_id", "chunk"])
     shown = tx.with_rules(joined, "text", "raw", options.scrub_rules if options.scrub else ())
@@ -223,7 +209,8 @@ def number_lines(
         & ~tx.is_blank(F.col("raw"))
     )
     shown = shown.withColumn("keep", wanted)
-    size = F.when(F.col("keep"), F.octet_length("raw").cast("long") + 1).otherwise(F.lit(0))
+    in_bytes = tx.size_in_bytes(F.col("raw"), options.exact).cast("long") + 1
+    size = F.when(F.col("keep"), in_bytes).otherwise(F.lit(0))
     run = W.partitionBy("log_id", "chunk").orderBy("line_no").rowsBetween(*RUN)
     counted = shown.withColumn("size", size).withColumns(
         {
@@ -324,7 +311,7 @@ def oversize_lines(numbered: DataFrame, options: CleanOptions, max_block_bytes:
     """
     block = ["scope", "epoch", "block_no"]
     lines = numbered.withColumn("scope", _scope(options))
-    size = F.sum(F.octet_length("raw").cast("long") + 1).alias("size")
+    size = F.sum(tx.size_in_bytes(F.col("raw"), options.exact).cast("long") + 1).alias("size")
     large = lines.groupBy(*block).agg(size).filter(F.col("size") > max_block_bytes).select(*block)
     found = lines.join(large, block)
     # Chunks of a block are counted apart and their totals summed up, as in `running`.
@@ -480,3 +467,60 @@ def unique_blocks(compacted: DataFrame, options: CleanOptions) -> DataFrame:
     return first.select(
         "block.log_id", "epoch", "block.block_no", "block.block_text", "sig_key", "repeats"
     )
+
+
+# --- folding without the text ----------------------------------------------------
+
+
+def signature_digest(sig_key: Column) -> Column:
+    """128 bits for a signature."""
+    return F.unhex(F.md5(sig_key.cast("binary")))
+
+
+def _signed(pieces: DataFrame, options: CleanOptions) -> DataFrame:
+    """scope, epoch, block_no, digest of every block within the size limit; no text of blocks."""
+    too_big = F.col("n_bytes") > MAX_BLOCK_BYTES
+    block = ["scope", "epoch", "block_no"]
+    sig_key = tx.leading_lines(F.col("sigs"), options.depth)
+    if options.strict:
+        sig_key = _checked(sig_key, too_big, _BLOCK_ERROR)
+        inside = pieces.filter("whole")
+    else:
+        inside = pieces.filter(F.col("whole") & ~too_big)
+    heads = inside.select(*block, signature_digest(sig_key).alias("digest"))
+    # Blocks that cross chunks: the leading lines of their parts, two parts a chunk at most.
+    so_far = W.partitionBy(*block).orderBy("log_id", "first_line").rowsBetween(*RUN)
+    parts = pieces.filter(~F.col("whole")).withColumn("_size", F.sum("n_bytes").over(so_far))
+    beyond = F.col("_size") > MAX_BLOCK_BYTES
+    sigs = _checked(F.col("sigs"), beyond, _BLOCK_ERROR) if options.strict else F.when(~beyond, F.col("sigs"))
+    joined = parts.groupBy(*block).agg(
+        F.sort_array(F.collect_list(F.struct("log_id", "first_line", sigs.alias("sigs")))).alias("parts"),
+        F.max("_size").alias("_size"),
+    ).filter(F.col("_size") <= MAX_BLOCK_BYTES)
+    whole_key = tx.leading_lines(F.flatten(F.col("parts.sigs")), options.depth)
+    return heads.unionByName(joined.select(*block, signature_digest(whole_key).alias("digest")))
+
+
+def fold_pieces(pieces: DataFrame, options: CleanOptions) -> DataFrame:
+    """First block of every signature and how often the signature occurs, as `unique_blocks`.
+
+    Digests are folded first, 40 bytes a block. Text is fetched for the winners alone:
+    a bitmap of their numbers is tested before it is shuffled, the one time it is.
+    """
+    block = ["scope", "epoch", "block_no"]
+    pieces = pieces.withColumn("scope", _scope(options))
+    signed = _signed(pieces, options)
+    winners = signed.groupBy("scope", "epoch", "digest").agg(
+        F.min("block_no").alias("block_no"), F.count(F.lit(1)).alias("repeats")
+    ).select(*block, "repeats")
+    likely = pieces.filter(may_hold(bitmap(winners, *block).scalar(), *block))
+    met = likely.select(*block, *[c for c in _PART if c != "block_no"]).join(winners, block)
+    grouped = met.groupBy(*block, "repeats").agg(F.collect_list(F.struct(*_PART)).alias("parts"))
+    joined = _joined_parts(F.col("parts"), options)
+    return grouped.select(
+        joined["log_id"].alias("log_id"),
+        "epoch",
+        "block_no",
+        *[joined[n].alias(n) for n in ("block_text", "sig_key")],
+        "repeats",
+    )

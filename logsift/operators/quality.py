@@ -6,27 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsift.functions.paths import path_verdict
-from logsift.functions.text import is_tool_line
+from logsift.functions.text import is_tool_line, size_in_bytes
 from logsift.options import (
     MAX_BATCH_LINES,
     MAX_BLOCK_BYTES,
     MAX_LINE_BYTES,
     MAX_PENDING_BLOCKS,
+    CleanOptions,
 )
 
 
-def log_quality(
-    lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES, max_lines: int = MAX_BATCH_LINES
-) -> DataFrame:
-    """Per log: lines, tool lines, sizes, and which limit is broken."""
-    size = F.octet_length("value").cast("long")
-    report = lines.groupBy("log_id").agg(
-        F.count("*").alias("n_lines"),
+def _metrics(size: Column, max_line_bytes: int) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_lines"),
         F.count_if(is_tool_line(F.col("value"))).alias("n_tool_lines"),
         F.sum(size).alias("n_bytes"),
         F.max(size).alias("longest_line"),
         F.count_if(size > max_line_bytes).alias("n_long_lines"),
-    )
+    ]
+
+
+def line_metrics(options: CleanOptions) -> list[Column]:
+    """The measures of `log_quality` over all logs, for `observe` on lines that are read anyway."""
+    return _metrics(size_in_bytes(F.col("value"), options.exact).cast("long"), MAX_LINE_BYTES)
+
+
+def log_quality(
+    lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES, max_lines: int = MAX_BATCH_LINES
+) -> DataFrame:
+    """Per log: lines, tool lines, sizes, and which limit is broken."""
+    report = lines.groupBy("log_id").agg(*_metrics(F.octet_length("value").cast("long"), max_line_bytes))
     problem = (
         F.when(F.col("n_long_lines") > 0, "line_too_long")
         .when(F.col("n_lines") > max_lines, "too_many_lines")

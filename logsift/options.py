@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Limits the results depend on.
 MAX_DEPTH = 1000
@@ -59,6 +59,8 @@ class CleanOptions:
     strict       fail on a line or block beyond the size limits; otherwise such lines
                  are kept, and such blocks come line by line from `plans.clean.oversize`
     chunk_bits   ordered work is cut into runs of 2**chunk_bits line numbers
+    exact        keep bytes that are no UTF-8: rules work on bytes, and `clean` gives
+                 binary columns (see `functions.text.bytes_as_text`)
     """
 
     depth: int = 1
@@ -71,6 +73,7 @@ class CleanOptions:
     canonical_rules: tuple[tuple[str, str], ...] = CANONICAL_RULES
     scrub_rules: tuple[tuple[str, str], ...] = SCRUB_RULES
     chunk_bits: int = 18
+    exact: bool = False
 
     def __post_init__(self) -> None:
         if isinstance(self.depth, bool) or not isinstance(self.depth, int):
@@ -87,3 +90,17 @@ class CleanOptions:
             raise ValueError("start_phrases must be non-empty texts")
         if not 4 <= self.chunk_bits <= 30:
             raise ValueError("chunk_bits must be between 4 and 30")
+
+    def over_bytes(self) -> CleanOptions:
+        """The same options for texts in which every character stands for a byte."""
+
+        def spelled(text: str) -> str:
+            return text.encode("utf-8", "surrogatepass").decode("latin-1")
+
+        return replace(
+            self,
+            marker=spelled(self.marker),
+            start_phrases=tuple(map(spelled, self.start_phrases)),
+            canonical_rules=tuple((spelled(a), spelled(b)) for a, b in self.canonical_rules),
+            scrub_rules=tuple((spelled(a), spelled(b)) for a, b in self.scrub_rules),
+        )

@@ -1,47 +1,13 @@
-"""Log lines with their order, from text files or text columns."""
+"""Log lines with their order, from text files, text columns or tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROW_BITS = 33
-#: Place of a file's last split, whose own number cannot be told from its length.
-_LAST_SPLIT = (1 << 29) - 1
-
-
-def with_line_numbers(raw: DataFrame) -> DataFrame:
-    """log_id, line_no, value from rows of a file scan with its `_metadata`.
-
-    line_no grows along the file but has gaps: the number of the file split in the
-    upper bits, the row's place in its task in the lower ones. All splits of a file
-    but the last have one length, so a split's number is its first byte over its
-    length; the last split gets the highest number. How splits are packed into
-    tasks plays no part.
-    """
-    start, length = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_length")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    is_last = start + length >= F.col("_metadata.file_size")
-    split = F.when(start == 0, 0).when(is_last, _LAST_SPLIT).otherwise(F.expr("_metadata.file_block_start div _metadata.file_block_length"))
-    line_no = F.shiftleft(split.cast("long"), _ROW_BITS) + row
-    return raw.select(F.col("_metadata.file_path").alias("log_id"), line_no.alias("line_no"), "value")
-
-
-_PARTITIONS = "spark.sql.files.minPartitionNum"
-
-
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of text files; a log is a file, lines end at newline only.
+from logsift.sources.files import read_lines, stream_text
 
-    Where the session leaves the number of file partitions to the executors at hand,
-    it is fixed here at what it is now: a job that reads the lines twice must see the
-    same splits, hence numbers, though executors come and go.
-    """
-    if spark.conf.get(_PARTITIONS, None) is None:
-        spark.conf.set(_PARTITIONS, str(spark.sparkContext.defaultParallelism))
-    return with_line_numbers(spark.read.option("lineSep", "\n").text(paths))
+__all__ = ["read_lines", "stream_lines", "stream_text", "text_lines"]
 
 
 def text_lines(rows: DataFrame, log_id: str, text: str) -> DataFrame:

@@ -96,3 +96,71 @@ def test_a_running_query(spark, tmp_path):
         stream.start(spark.createDataFrame(seen, SCHEMA), str(tmp_path / "check2"))
     with pytest.raises(ValueError):
         BlockStream(spark, "x", CleanOptions(scope="all"))
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """An accumulator counts the rows that come out of the source."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", n, f"==12== Invalid read of size {n}") for n in range(40)]
+    stream = BlockStream(spark, str(tmp_path / "s"), CleanOptions(trim=False))
+    for batch_id, part in enumerate((rows[:25], rows[20:])):
+        source = spark.createDataFrame(part, SCHEMA).coalesce(1).mapInArrow(counted, SCHEMA)
+        read.value = 0
+        stream.absorb(source, batch_id)
+        assert read.value == len(part)
+    assert stream.blocks(1).count() == 40
+    assert stream.late(1).count() == 5
+
+
+def test_folders_stay_few(spark, tmp_path):
+    """After 27 batches, merged by threes: what is read, and what is left on disk."""
+    stream = BlockStream(spark, str(tmp_path / "s"), CleanOptions(trim=False), merge_every=3)
+    small = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for b in range(13):
+            rows = [("a", n, f"==12== Invalid read of size {n}") for n in (2 * b, 2 * b + 1)] + ([("a", 0, "==12== late")] if b else [])
+            stream.absorb(spark.createDataFrame(rows, SCHEMA).coalesce(1), b)
+            for table in ("late", "oversize"):
+                assert len(stream._levels(table, b)) <= 2 * 3
+            assert stream.late(b).count() == b
+        assert stream.blocks(12).count() == 26
+        left = {t.name: len(list(t.iterdir())) for t in (tmp_path / "s").iterdir()}
+        assert all(n <= 6 for n in left.values()), left
+        assert stream.last_batch() == 12
+        # The last batch again, and one whose merge is repeated.
+        stream.absorb(spark.createDataFrame([("a", 24, "==12== Invalid read of size 24"), ("a", 25, "==12== Invalid read of size 25")], SCHEMA), 12)
+        assert stream.blocks(12).count() == 26
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", small)
+
+
+def test_silent_logs_are_closed(spark, tmp_path):
+    import datetime as dt
+
+    timed = SCHEMA + ", time timestamp"
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    options = CleanOptions(depth=1, trim=False)
+    stream = BlockStream(spark, str(tmp_path / "s"), options)
+    old = [("old", n, f"==12== Invalid read of size {n % 3}", at(n)) for n in range(5)]
+    new = [("new", n, f"==12== Invalid read of size {n}", at(30 + n)) for n in range(5)]
+    stream.absorb(spark.createDataFrame(old + new[:1], timed), 0)
+    follow = lambda: stream.start_closing(str(tmp_path / "c"), 10 * 60_000, availableNow=True).awaitTermination()
+    follow()
+    want = lambda rows: _rows(clean(spark.createDataFrame([r[:3] for r in rows], SCHEMA), options))
+    assert _rows(stream.final()) == want(old)
+    # It speaks again, and falls silent again.
+    more = [("old", 5 + n, f"==12== Invalid write of size {n}", at(31 + n)) for n in range(3)]
+    stream.absorb(spark.createDataFrame(new[1:] + more, timed), 1)
+    follow()
+    assert _rows(stream.final()) == want(old)
+    stream.absorb(spark.createDataFrame([("third", 0, "==12== Invalid read", at(59))], timed), 2)
+    follow()
+    assert _rows(stream.final()) == sorted(want(old + more) + want(new))
+    assert {r.last_time for r in stream.final().select("last_time").collect()} == {at(33), at(34)}
