@@ -15,7 +15,7 @@ from logsift.functions import keywords as kw
 from logsift.functions import paths as pt
 from logsift.functions.text import WHITE, ascii_only
 from logsift.functions.values import count_text
-from logsift.operators.ordered import running
+from logsift.operators.align import without_space_changes
 
 
 def _letter() -> Column:
@@ -80,40 +80,6 @@ def without_merges(commits: DataFrame) -> DataFrame:
     return commits.filter(~F.coalesce("is_merge", F.lit(False)))
 
 
-def without_space_changes(diff_lines: DataFrame, bits: int = 18) -> DataFrame:
-    """Drop pairs of - and + lines of a file that differ in white space only.
-
-    The n-th removed line cancels the n-th added line of the same text, so a
-    line moved inside its file cancels too. Other lines pass. Lines without a
-    range or path are taken as one file.
-    """
-    kept = diff_lines.columns
-    signed = F.col("sign").isin("+", "-")
-    # _bare is never null, so that a join on it infers no test that runs the regex.
-    keyed = diff_lines.filter(signed).withColumns(
-        {
-            "_bare": F.coalesce(F.regexp_replace("text", rf"{WHITE}+", ""), F.lit("")),
-            # A letter before what is there, so that null is told from empty.
-            "_range": F.coalesce(F.concat(F.lit("r"), "range_id"), F.lit("")),
-            "_path": F.coalesce(F.concat(F.lit("p"), "path"), F.lit("")),
-        }
-    )
-    ranked = running(
-        keyed,
-        ["_range", "_path", "_bare"],
-        "line_no",
-        sums={"_minus": F.col("sign") == "-", "_plus": F.col("sign") == "+"},
-        totals=True,
-        bits=bits,
-        few_chunks=False,
-    )
-    minus = F.col("sign") == "-"
-    rank = F.when(minus, F.col("_minus")).otherwise(F.col("_plus"))
-    partners = F.when(minus, F.col("_plus_total")).otherwise(F.col("_minus_total"))
-    survivors = ranked.filter(rank > partners).select(*kept)
-    return survivors.unionByName(diff_lines.filter(~F.coalesce(signed, F.lit(False))))
-
-
 def space_only_changes(diff_lines: DataFrame) -> DataFrame:
     """Per range: changed lines, and how many of them are white space only."""
     keyed = diff_lines.filter(F.col("sign").isin("+", "-")).select(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from logsift.functions.versions import (
     version_key,
 )
 from logsift.operators.ordered import range_buckets, running
+from logsift.sources.storage import saved
 
 
 def matching(tags: DataFrame, glob: str = "*") -> DataFrame:
@@ -30,8 +33,9 @@ def tag_counts(tags: DataFrame, glob: str = "*") -> DataFrame:
 def _ordered(tags: DataFrame) -> DataFrame:
     """Tags with `_key`, their place by repo and version, and its bucket."""
     key = F.concat_ws("\x01", "repo", refname_key(F.col("tag")), "tag")
-    # The key takes part in the distinct, so it is made once per tag.
-    named = tags.select("repo", "tag", key.alias("_key")).distinct()
+    # The key takes part in the distinct, so it is made once per tag. Saved: rows, bounds
+    # and sizes are all made of it.
+    named = saved(tags.select("repo", "tag", key.alias("_key")).distinct())
     return range_buckets(named, "_key")
 
 
@@ -74,12 +78,13 @@ def prune(
     glob: str = "*",
     protect: Sequence[str] = (),
     protect_head: bool = True,
+    protect_table: DataFrame | None = None,
 ) -> DataFrame:
     """Tags to delete: all but the newest `keep` of each repo and the protected.
 
     The newest tags come from the places of `version_order`, which spreads a repo
     over buckets; the rest is an anti join on (repo, tag). A tag not known to
-    point at the head is not protected.
+    point at the head is not protected. `protect_table` has globs by repo: repo, glob.
     """
     if keep < 0:
         raise ValueError("keep must not be negative")
@@ -90,11 +95,52 @@ def prune(
         rest = candidates.join(kept, ["repo", "tag"], "left_anti")
     if protect:
         rest = rest.filter(~F.col("tag").rlike("|".join(f"(?:{glob_regex(g)})" for g in protect)))
+    if protect_table is not None:
+        rest = rest.join(matching_globs(rest, protect_table), ["repo", "tag"], "left_anti")
     if protect_head:
         rest = rest.filter(~F.coalesce("points_at_head", F.lit(False)))
     return rest.select("repo", "tag")
 
 
+_WILD = re.compile(r"[*?\[]")
+
+
+def _glob_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """repo, side, literal, regex: what a glob begins with, else ends with, else nothing."""
+    for batch in batches:
+        sides, literals, regexes = [], [], []
+        for glob in batch.column("glob").to_pylist():
+            first = _WILD.search(glob)
+            head = glob[: first.start()] if first else glob
+            tail = re.split(r"[*?\]]", glob)[-1] if first and "[" not in re.split(r"[*?\]]", glob)[-1] else ""
+            side, literal = ("head", head) if head else ("tail", tail) if tail else ("none", "")
+            sides.append(side)
+            literals.append(literal)
+            regexes.append(glob_regex(glob))
+        made = [pa.array(x, pa.string()) for x in (sides, literals, regexes)]
+        yield pa.RecordBatch.from_arrays([batch.column("repo"), *made], names=["repo", "side", "literal", "regex"])
+
+
+def matching_globs(tags: DataFrame, globs: DataFrame) -> DataFrame:
+    """repo, tag of the tags that match a glob of their repo (repo, glob).
+
+    A glob is found by the text it begins with, or ends with if it begins with a
+    wildcard; a tag looks up its own beginnings and ends of the lengths that occur.
+    Only what is found there is matched in full. Globs without either meet every tag of
+    their repo.
+    """
+    known = globs.filter(F.col("glob").isNotNull() & F.col("repo").isNotNull()).select("repo", "glob").distinct()
+    rules = saved(known.mapInArrow(_glob_rows, "repo string, side string, literal string, regex string"))
+    # A length is at most that of the longest glob.
+    sizes = rules.agg(F.collect_set(F.struct("side", F.char_length("literal").alias("size"))))
+    each = tags.select("repo", "tag").distinct().withColumn("_sizes", sizes.scalar())
+    asked = each.select("repo", "tag", F.explode("_sizes").alias("at")).filter(F.col("at.size") <= F.char_length("tag"))
+    begin = F.when(F.col("at.side") == "tail", F.char_length("tag") - F.col("at.size") + 1).otherwise(1)
+    looked = asked.select("repo", "tag", F.col("at.side").alias("side"), F.substr("tag", begin, F.col("at.size")).alias("literal"))
+    met = looked.join(rules, ["repo", "side", "literal"]).filter(F.rlike("tag", F.col("regex")))
+    return met.select("repo", "tag").distinct()
+
+
 def order_violations(releases: DataFrame, prefix: str = "v", bits: int = 18) -> DataFrame:
     """Stable versions not above the last tag before them.
 

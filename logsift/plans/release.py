@@ -69,8 +69,8 @@ def range_metrics(
 ) -> DataFrame:
     """Every range with all its metrics; what a range lacks is 0 or false.
 
-    ignore_space leaves out pairs of lines that differ in white space only (line
-    counts in `file_changes` are taken as they are); added_only counts announced
+    ignore_space leaves out lines that change white space only, as `align` finds them in
+    each hunk (line counts in `file_changes` are taken as they are); added_only counts announced
     words in added lines only; no_merges leaves out messages of merges.
 
     Diff lines, commits and option sources are read twice, file changes once; what is put together at the end has one row per range and metric table.

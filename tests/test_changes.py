@@ -234,3 +234,30 @@ def test_nulls_keep_their_rows(spark):
     assert sorted(r["line_no"] for r in ch.without_space_changes(diff, bits=4).collect()) == [3, 4]
     rows = spark.createDataFrame([(1, None), (2, True), (3, False)], "id int, is_merge boolean")
     assert sorted(r["id"] for r in ch.without_merges(rows).collect()) == [1, 3]
+
+
+def test_base_by_range(spark):
+    """Against a plain search: ties, repos without commits, days before all, null days, hot repos in chunks."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    history = [("hot", i, start + dt.timedelta(hours=rng.randrange(24 * 400))) for i in range(500)]
+    history += [("hot", 900, dt.datetime(2024, 5, 5, 23, 59, 59, 999999)), ("hot", 901, dt.datetime(2024, 5, 6))]
+    history += [("tie", 1, start), ("tie", 3, start), ("tie", 2, start), ("one", 7, dt.datetime(2024, 3, 1)), (None, 8, start), ("one", 5, None)]
+    ranges = [(f"r{i}", rng.choice(["hot", "tie", "one", "none", None]), start.date() + dt.timedelta(days=rng.randrange(-5, 420))) for i in range(120)]
+    ranges += [("null day", "hot", None), ("edge", "hot", dt.date(2024, 5, 5)), ("edge2", "hot", dt.date(2024, 5, 6)), ("edge", "hot", dt.date(2024, 5, 5))]
+    want = []
+    for name, repo, day in ranges:
+        own = sorted((at, c) for r, c, at in history if r == repo and at)
+        until = [x for x in own if day and x[0].date() <= day]
+        kind = "date" if until else "first" if own else "none"
+        want.append((name, until[-1][1] if until else own[0][1] if own else None, kind))
+    left = spark.createDataFrame(ranges, "range_id string, repo string, day date")
+    right = spark.createDataFrame(history, "repo string, commit_id long, committed_at timestamp")
+    for bits in (38, 41, 60):
+        got = cm.base_by_range(left.repartition(3), right.repartition(4), bits).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert cm.base_by_range(left.limit(0), right).collect() == []
+    assert {r.ref_type for r in cm.base_by_range(left, right.limit(0)).collect()} == {"none"}

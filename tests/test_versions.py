@@ -157,3 +157,29 @@ def test_suggestions(spark):
 def test_prune_with_unknown_heads(spark, keep):
     tags = spark.createDataFrame([("one", f"v1.0.{n}", None) for n in range(5)], "repo string, tag string, points_at_head boolean")
     assert tg.prune(tags, keep).count() == max(0, 5 - keep)
+
+
+def test_globs_from_a_table(spark):
+    """Against fnmatch, and without a join of all with all for very many globs."""
+    import fnmatch
+
+    rng = random.Random(2)
+    letters = "ab1.-v"
+    word = lambda n: "".join(rng.choices(letters, k=n))
+    tags = [(f"repo{rng.randrange(3)}", word(rng.randrange(1, 9))) for _ in range(400)] + [("repo1", ""), ("other", "v1")]
+    made = lambda: word(rng.randrange(4)) + rng.choice(["*", "?", "[ab]", "[!1]", "", "*.?", "**"]) + word(rng.randrange(3)) + rng.choice(["", "*"])
+    globs = [(f"repo{rng.randrange(4)}", made()) for _ in range(60)] + [("repo0", None), (None, "*")]
+    want = {(r, t) for r, t in tags for q, g in globs if g and r == q and fnmatch.fnmatchcase(t, g)}
+    left = spark.createDataFrame(tags, "repo string, tag string")
+    right = spark.createDataFrame(globs, "repo string, glob string")
+    got = tg.matching_globs(left.repartition(3), right)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert tg.matching_globs(left, right.limit(0)).collect() == []
+    many = spark.range(100_000).selectExpr("'repo0' AS repo", "concat('v', id, '.*') AS glob")
+    found = tg.matching_globs(spark.range(50).selectExpr("'repo0' AS repo", "concat('v', id * 7, '.1') AS tag"), many)
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    heads = left.selectExpr("*", "false AS points_at_head").distinct()
+    kept = {tuple(r) for r in tg.prune(heads, keep=0, protect_table=right).collect()}
+    assert kept == {t for t in map(tuple, tags)} - want

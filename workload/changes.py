@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsift import sinks
@@ -13,6 +14,7 @@ from logsift.operators import changes as ch
 from logsift.operators import cli_options as co
 from logsift.operators import commits as cm
 from logsift.plans import release
+from logsift.sources import git_text as gt
 from logsift.sources.weights import weight_struct
 from workload import derived as dv
 
@@ -271,7 +273,7 @@ def whitespace_only_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def without_whitespace_changes(spark: SparkSession, folder: str) -> DataFrame:
-    return ch.without_space_changes(dv.diff_lines(spark, folder)).select("range_id", "path", "line_no", "sign")
+    return ch.without_space_changes(dv.diff_hunks(spark, folder)).select("range_id", "path", "line_no", "sign")
 
 
 def option_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,15 +304,61 @@ def commit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return cm.commit_counts(dv.ranges(spark, folder), dv.commits(spark, folder))
 
 
+def diff_from_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The diff printed as git does, a log for each range, and read back.
+
+    The hunks of a file follow one another; a hunk is a line of each side or a context line.
+    """
+    diff = dv.diff_hunks(spark, folder).filter(F.col("path").isNotNull() & F.col("text").isNotNull())
+    count = lambda *signs: F.count_if(F.col("sign").isin(*signs)).cast("string")
+    lines = F.sort_array(F.collect_list(F.struct("line_no", F.concat("sign", "text").alias("line"))))
+    hunks = diff.groupBy("range_id", "path", "hunk").agg(
+        F.concat(F.lit("@@ -1,"), count("-", " "), F.lit(" +1,"), count("+", " "), F.lit(" @@")).alias("head"), lines.alias("lines")
+    )
+    printed = hunks.select(
+        "range_id",
+        F.posexplode(
+            F.concat(
+                F.array(
+                    F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"),
+                    F.concat(F.lit("--- a/"), "path"),
+                    F.concat(F.lit("+++ b/"), "path"),
+                    "head",
+                ),
+                F.col("lines.line"),
+            )
+        ).alias("k", "value"),
+        "path",
+        "hunk",
+    )
+    # Line numbers with gaps: hunks in the order of their texts' first lines, by path.
+    place = F.dense_rank().over(W.partitionBy("range_id").orderBy("path", "hunk")).cast("long") * 16 + F.col("k")
+    text = printed.select(F.col("range_id").alias("log_id"), place.alias("line_no"), "value")
+    return gt.diff_rows(text).groupBy("range_id", "path", "sign", "text").agg(F.count("*").alias("n_lines"))
+
+
+_ASKED = """
+SELECT DISTINCT concat('r', CAST(o_orderkey % 210 AS VARCHAR)) AS range_id,
+  concat('repo', CAST(o_orderkey % 210 % 43 AS VARCHAR)) AS repo,
+  DATE '1991-12-01' + CAST(o_orderkey % 210 * 13 AS INT) AS day
+FROM """
+
+
+def base_by_range(spark: SparkSession, folder: str) -> DataFrame:
+    """A base commit for every range and its day; some repos have no commits, some days come before all."""
+    asked = dv.run_sql(spark, _ASKED, dv.table(spark, folder, "orders"))
+    return cm.base_by_range(asked, dv.commits(spark, folder))
+
+
 def base_by_date(spark: SparkSession, folder: str) -> DataFrame:
     return cm.base_by_day(dv.commits(spark, folder), "1995-02-10")
 
 
-def _metrics(spark: SparkSession, folder: str, **more) -> DataFrame:
+def _metrics(spark: SparkSession, folder: str, lines: DataFrame | None = None, **more) -> DataFrame:
     return release.range_metrics(
         dv.ranges(spark, folder),
         dv.file_changes(spark, folder),
-        dv.diff_lines(spark, folder),
+        dv.diff_lines(spark, folder) if lines is None else lines,
         dv.commits(spark, folder),
         dv.option_sources(spark, folder),
         **more,
@@ -322,7 +370,7 @@ def bonus_suggestion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bonus_suggestion_no_space(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = _metrics(spark, folder, ignore_space=True, no_merges=True)
+    metrics = _metrics(spark, folder, ignore_space=True, no_merges=True, lines=dv.diff_hunks(spark, folder))
     return release.suggest_releases(metrics).select("range_id", "total_bonus", "suggestion")
 
 
@@ -396,6 +444,8 @@ QUERIES = {
     "short_option_lists": short_option_lists,
     "commit_counts": commit_counts,
     "base_by_date": base_by_date,
+    "base_by_range": base_by_range,
+    "diff_from_text": diff_from_text,
     "bonus_suggestion": bonus_suggestion,
     "bonus_suggestion_weighted": bonus_suggestion_weighted,
     "bonus_suggestion_no_space": bonus_suggestion_no_space,
@@ -479,12 +529,17 @@ ORACLE = {
       SELECT range_id, CAST(sum(p) AS BIGINT) AS added_lines, CAST(sum(m) AS BIGINT) AS removed_lines,
         CAST(sum(least(p, m)) AS BIGINT) AS space_only_pairs, CAST(sum(p - least(p, m)) AS BIGINT) AS added_kept,
         CAST(sum(m - least(p, m)) AS BIGINT) AS removed_kept FROM texts GROUP BY range_id""",
-    "without_whitespace_changes": f"""WITH {dv.DIFF_SQL}, ranked AS (SELECT *, row_number() OVER (
-          PARTITION BY range_id, path, bare, sign ORDER BY line_no) AS place
-        FROM (SELECT *, {_NO_SPACE} AS bare FROM diff) d)
-      SELECT range_id, path, line_no, sign FROM ranked a WHERE sign = ' ' OR NOT EXISTS (SELECT 1 FROM ranked b
-        WHERE b.sign = CASE a.sign WHEN '+' THEN '-' ELSE '+' END AND b.range_id = a.range_id AND b.path = a.path
-        AND b.bare = a.bare AND b.place = a.place)""",
+    "without_whitespace_changes": f"""WITH {dv.DIFF_SQL}, told AS (SELECT *, sign IN ('+', '-') AS signed,
+          {dv.HUNK_SQL} AS hunk FROM (SELECT *, {_NO_SPACE} AS bare FROM diff) d)
+      SELECT range_id, path, line_no, sign FROM (SELECT *, count(*) OVER (
+        PARTITION BY range_id, path, hunk, bare, signed) AS alike FROM told) t WHERE NOT signed OR alike = 1""",
+    "diff_from_text": f"""WITH {dv.DIFF_SQL} SELECT range_id, path, sign, text, count(*) AS n_lines FROM diff
+      WHERE path IS NOT NULL AND text IS NOT NULL GROUP BY range_id, path, sign, text""",
+    "base_by_range": f"""WITH {dv.COMMITS_SQL}, asked AS ({_ASKED} orders)
+      SELECT asked.range_id, coalesce(arg_max(commit_id, (committed_at, commit_id)) FILTER (WHERE committed_at < day + 1),
+        arg_min(commit_id, (committed_at, commit_id))) AS base_commit,
+        CASE WHEN bool_or(committed_at < day + 1) THEN 'date' WHEN count(commit_id) > 0 THEN 'first' ELSE 'none' END AS ref_type
+      FROM asked LEFT JOIN commits USING (repo) GROUP BY asked.range_id""",
     "option_changes": f"""WITH {dv.SOURCES_SQL}, picked_sources AS (SELECT * FROM sources), {_LONG_NAMES}, {_SHORT}
       {_one_side("short_names", "short")} UNION ALL {_one_side("long_names", "long")}""",
     "diff_options": f"""WITH {dv.DIFF_SQL}, picked_diff AS (SELECT * FROM diff), {_CHANGED}, {_MANUAL}
@@ -530,14 +585,12 @@ ORACLE = {
             FROM orders) o""",
 }
 
-# Without pairs that differ in white space only, as in without_whitespace_changes.
+# Without lines that change white space only, as in without_whitespace_changes.
 _KEPT_DIFF = f"""all_diff AS ({dv.DIFF_SQL.partition("diff AS (")[2]},
-  diff AS (SELECT * EXCLUDE (bare, n, partners) FROM (SELECT *,
-      row_number() OVER (PARTITION BY range_id, path, bare, sign ORDER BY line_no) AS n,
-      CASE sign WHEN '-' THEN sum(CASE WHEN sign = '+' THEN 1 ELSE 0 END) OVER g
-        ELSE sum(CASE WHEN sign = '-' THEN 1 ELSE 0 END) OVER g END AS partners
-    FROM (SELECT *, {_NO_SPACE} AS bare FROM all_diff) b WINDOW g AS (PARTITION BY range_id, path, bare)) r
-    WHERE sign NOT IN ('+', '-') OR n > partners)"""
+  diff AS (SELECT * EXCLUDE (bare, signed, hunk, alike) FROM (SELECT *,
+      count(*) OVER (PARTITION BY range_id, path, hunk, bare, signed) AS alike
+    FROM (SELECT *, {_NO_SPACE} AS bare, sign IN ('+', '-') AS signed, {dv.HUNK_SQL} AS hunk FROM all_diff) b) r
+    WHERE NOT signed OR alike = 1)"""
 _SHOWN = """concat('{"suggestion":"', suggestion, '","current_version":"', current_version, '"',
   CASE WHEN next_version IS NULL THEN '' ELSE concat(',"next_version":"', next_version, '"') END,
   ',"total_bonus":', total_bonus, ',"manual_cli_changes":', manual_cli_changes,

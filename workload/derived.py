@@ -61,6 +61,13 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(spark, _LOG, per_line)
 
 
+def timed_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same log with the time of the event of each line."""
+    times = table(spark, folder, "events").select((F.col("event_id") * 8).alias("first"), F.col("ts").alias("time"))
+    lines = log_lines(spark, folder)
+    return lines.withColumn("first", F.col("line_no") - F.col("line_no") % 8).join(times, "first").drop("first")
+
+
 # --- lines of documents --------------------------------------------------------
 
 DOC_LINES_SQL = r"""doc_lines AS (
@@ -110,6 +117,16 @@ def diff_lines(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(spark, _DIFF, document_lines(spark, folder))
 
 
+# A document's lines, three at a time, are a hunk: an added, a removed and a context line.
+HUNK = "line_no div 100000 * 100000 + line_no % 100000 div 3"
+HUNK_SQL = "line_no // 100000 * 100000 + line_no % 100000 // 3"
+
+
+def diff_hunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The diff with a hunk for every line."""
+    return diff_lines(spark, folder).withColumn("hunk", F.expr(HUNK))
+
+
 _SOURCES = """
 SELECT concat('r', CAST(log_id % 200 AS VARCHAR)) AS range_id,
   CASE WHEN log_id % 400 < 200 THEN 'before' ELSE 'after' END AS side,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,12 +15,13 @@ from logsift.functions import text as tx
 from logsift.operators import blocks as bl
 from logsift.operators import quality as ql
 from logsift.plans import clean as plan
-from logsift.sources.lines import read_lines
+from logsift.sources.lines import read_lines, stream_text
 from logsift.sources.storage import fresh_folder
 from logsift.streaming import BlockStream
 from workload import derived as dv
 
 DEPTH_3 = CleanOptions(depth=3)
+SILENT_MS = 6 * 3_600_000
 
 # --- the same steps in SQL -----------------------------------------------------
 
@@ -254,6 +259,55 @@ def stream_unique_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed(spark, folder).blocks(2)
 
 
+def _put_lines(base: str):
+    """Writes a log's lines as its text file; a file that is there is replaced as a whole."""
+
+    def run(table: pa.Table) -> pa.Table:
+        log_id, ordered = table.column("log_id")[0].as_py(), table.sort_by("line_no")
+        body = "".join(f"{v}\n" for v in ordered.column("value").to_pylist())
+        # The first line names the log, so that the file is known by it.
+        place = f"{base}/{log_id}.log"
+        with open(f"{place}.part-{uuid.uuid4().hex}", "wb") as file:
+            file.write(f"log {log_id}\n{body}".encode())
+        os.replace(file.name, place)
+        return pa.table({"log_id": [str(log_id)]})
+
+    return run
+
+
+def stream_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Unique blocks of text files that grow, twice: half of each log, then all of it."""
+    base = fresh_folder(spark, "texts").removeprefix("file://").removeprefix("file:")
+    os.makedirs(f"{base}/logs")
+    log = dv.log_lines(spark, folder)
+    last = log.agg(F.max("line_no").alias("n")).first()["n"]
+    # A byte offset is a line's number here: chunks of 64 KB.
+    stream = BlockStream(spark, f"{base}/store", CleanOptions(depth=3, chunk_bits=16))
+    for high in (last // 2, last):
+        part = log.filter(F.col("line_no") <= high).groupBy("log_id").applyInArrow(_put_lines(f"{base}/logs"), "log_id string")
+        part.write.format("noop").mode("overwrite").save()
+        lines = stream_text(spark, f"{base}/logs/*.log")
+        stream.start(lines, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    blocks = stream.blocks(stream.last_batch())
+    log_id = F.regexp_extract("log_id", r"([0-9]+)\.log#", 1).cast("long")
+    return blocks.select(log_id.alias("log_id"), "epoch", "block_text", "sig_key", "repeats")
+
+
+def stream_final_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of the logs that were silent for six hours when the last line of all came."""
+    base = fresh_folder(spark, "final")
+    log = dv.timed_log_lines(spark, folder)
+    last = log.agg(F.max("line_no").alias("n")).first()["n"]
+    stream = BlockStream(spark, f"{base}/store", DEPTH_3)
+    for low, high in ((-1, last // 2), (last // 2, last)):
+        arrived = log.filter((F.col("line_no") > low) & (F.col("line_no") <= high))
+        arrived.write.mode("append").parquet(f"{base}/lines")
+        lines = spark.readStream.schema(arrived.schema).parquet(f"{base}/lines")
+        stream.start(lines, f"{base}/checkpoint", availableNow=True).awaitTermination()
+    stream.start_closing(f"{base}/closing", SILENT_MS, availableNow=True).awaitTermination()
+    return stream.final().drop("last_time")
+
+
 def stream_pending(spark: SparkSession, folder: str) -> DataFrame:
     """Logs whose waiting blocks are too many, by a limit of one."""
     return _streamed(spark, folder).pending(2, limit=1)
@@ -293,6 +347,8 @@ QUERIES = {
     "path_audit": path_audit,
     "stream_unique_blocks": stream_unique_blocks,
     "stream_pending": stream_pending,
+    "stream_text_blocks": stream_text_blocks,
+    "stream_final_blocks": stream_final_blocks,
 }
 
 _TEXTS = f"WITH {dv.LOG_SQL}, texts AS (SELECT *, {_TEXT} AS text FROM log WHERE {_TOOL})"
@@ -355,6 +411,11 @@ ORACLE = {
           WHEN contains(path, '..') THEN 'traversal' ELSE 'ok' END AS verdict, count(*) AS n_paths
         FROM paths GROUP BY 1""",
     "stream_unique_blocks": _unique(3),
+    "stream_text_blocks": _unique(3, columns="log_id, epoch, block_text, sig_key, repeats"),
+    # A watermark counts whole milliseconds.
+    "stream_final_blocks": f"""WITH last AS (SELECT user_id AS log_id, max(ts) AS said_at FROM events GROUP BY user_id)
+        SELECT u.* FROM ({_unique(3)}) u JOIN last USING (log_id)
+        WHERE epoch_ms(said_at) + {SILENT_MS} < (SELECT epoch_ms(max(said_at)) FROM last)""",
     "stream_pending": f"""SELECT log_id, count(*) AS n_pending,
         CASE WHEN count(*) > 2 THEN 'too_many_pending' ELSE 'ok' END AS problem FROM ({_unique(3)}) u GROUP BY log_id""",
     "oversize_blocks": f"""WITH {_numbered()}, sizes AS (SELECT scope, block_no, sum(strlen(raw) + 1) AS size

@@ -58,6 +58,25 @@ def previous_tag(spark: SparkSession, folder: str) -> DataFrame:
     return tg.previous_tags(tg.matching(dv.tags(spark, folder), "v*"))
 
 
+_GLOBS = """
+SELECT DISTINCT concat('repo', CAST(o_custkey % 40 AS VARCHAR)) AS repo,
+  CASE o_custkey % 7
+    WHEN 0 THEN concat('v', CAST(o_custkey % 3 AS VARCHAR), '.', CAST(o_custkey % 23 AS VARCHAR), '.*')
+    WHEN 1 THEN concat('*-rc.', CAST(o_custkey % 15 AS VARCHAR))
+    WHEN 2 THEN concat('v?.', CAST(o_custkey % 10 AS VARCHAR), '.?')
+    WHEN 3 THEN concat('v[01].', CAST(o_custkey % 23 AS VARCHAR), '.3*')
+    WHEN 4 THEN 'v2.1.0'
+    WHEN 5 THEN concat('*.', CAST(o_custkey % 23 AS VARCHAR), '.6*')
+    ELSE 'old-*' END AS glob
+FROM """
+
+
+def prune_tags_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten newest tags of each repo stay, and those that a table of globs protects."""
+    globs = dv.run_sql(spark, _GLOBS, dv.table(spark, folder, "orders"))
+    return tg.prune(dv.tags(spark, folder), keep=10, protect_table=globs)
+
+
 def prune_tags(spark: SparkSession, folder: str) -> DataFrame:
     return tg.prune(dv.tags(spark, folder), keep=10, glob="v*", protect=("v0.*", "v1.2?.*"))
 
@@ -93,6 +112,7 @@ QUERIES = {
     "latest_tag": latest_tag,
     "previous_tag": previous_tag,
     "prune_tags": prune_tags,
+    "prune_tags_by_table": prune_tags_by_table,
     "tag_counts": tag_counts,
     "order_violations": order_violations,
     "next_version_rollover": next_version_rollover,
@@ -146,6 +166,10 @@ ORACLE = {
         ORDER BY name_rank DESC) AS place FROM tags WHERE starts_with(tag, 'v'))
       SELECT repo, tag FROM ranked WHERE place > 10 AND points_at_head IS NOT TRUE
       AND NOT regexp_matches(tag, '^v0\\..*$') AND NOT regexp_matches(tag, '^v1\\.2.\\..*$')""",
+    "prune_tags_by_table": f"""WITH {dv.TAGS_SQL}, globs AS ({_GLOBS} orders),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY tag[1] DESC, name_rank DESC) AS place FROM tags)
+      SELECT repo, tag FROM ranked r WHERE place > 10 AND points_at_head IS NOT TRUE
+      AND NOT EXISTS (SELECT 1 FROM globs g WHERE g.repo = r.repo AND r.tag GLOB g.glob)""",
     "tag_counts": f"""WITH {dv.TAGS_SQL} SELECT repo, count(*) AS total_tags FROM tags
       WHERE regexp_matches(tag, '^v[12]\\.') GROUP BY repo""",
     "order_violations": f"""WITH {dv.RELEASES_SQL}, last AS (SELECT *,
