@@ -122,7 +122,7 @@ rated AS (
   SELECT source, sum(bytes) OVER () * pow(bytes, {mixing.EXPONENT}) / sum(pow(bytes, {mixing.EXPONENT})) OVER () / bytes AS rate
   FROM held),
 terms AS (
-  SELECT source, rate, k FROM rated, range(0, 1000) AS r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
+  SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM rated),
 points AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto FROM terms),
 drawn AS (
