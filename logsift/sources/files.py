@@ -5,7 +5,8 @@ are split, grows along the file, and needs no counting pass. Bytes are handed on
 they are, also where they are no UTF-8. Lines end at newline only.
 
 A table (`read_lines`) has the lines of all files, cut into splits of `split_bytes`; a
-line belongs to the split it begins in. The log is the file.
+line belongs to the split it begins in, and splits of small files share a task. The log is
+the file.
 
 A stream (`stream_text`) polls the paths. Only whole lines are taken: what follows
 the last newline waits. A log is a file's path and a hash of its first line, joined by
@@ -24,8 +25,10 @@ Python stream source in a Python worker like those of any Python function.
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import posixpath
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "log_id string, line_no long, value string"
 NAME = "logsift_lines"
 SPLIT_BYTES = 64 << 20
+#: Bytes that could be read while a file is opened: files that are small share a partition by it.
+OPEN_BYTES = 256 << 10
+#: Files that the driver opens at a time to look for their ends.
+OPENED = 16
 #: Bytes read at a time; a longer line is read whole.
 BLOCK = 8 << 20
+#: Bytes read first where the end of a line is looked for.
+HEAD = 64 << 10
 _ARROW = pa.schema([("log_id", pa.string()), ("line_no", pa.int64()), ("value", pa.string())])
 _GLOB = "*?["
 
@@ -53,6 +62,16 @@ def _prefix(path: str, inner: str) -> str:
     return path[: len(path) - len(inner)] if path.endswith(inner) else ""
 
 
+def _copy_of(path: str, names: set[str]) -> str | None:
+    """The shortest of the names that the path continues with a dot and more."""
+    dot = path.find(".")
+    while dot >= 0:
+        if path[:dot] in names:
+            return path[:dot]
+        dot = path.find(".", dot + 1)
+    return None
+
+
 def list_files(paths: Sequence[str], copies: bool = False) -> list[tuple[str, str, int]]:
     """Path that was asked for, actual file, size: of files, files of folders, and globs in the last part.
 
@@ -73,13 +92,13 @@ def list_files(paths: Sequence[str], copies: bool = False) -> list[tuple[str, st
         for info in plain:
             found[before + info.path] = (before + info.path, info.size)
         if copies:
-            names = sorted(i.path for i in plain)
+            names = {i.path for i in plain}
             # A copy that the paths match as well belongs to the file it is a copy of.
             for folder in {posixpath.dirname(n) for n in names}:
                 for info in system.get_file_info(fs.FileSelector(folder)):
-                    owner = [n for n in names if info.path.startswith(n + ".")]
-                    if owner and info.type == fs.FileType.File:
-                        found[before + info.path] = (before + owner[0], info.size)
+                    owner = _copy_of(info.path, names)
+                    if owner is not None and info.type == fs.FileType.File:
+                        found[before + info.path] = (before + owner, info.size)
     return sorted((asked, file, size) for file, (asked, size) in found.items())
 
 
@@ -97,6 +116,31 @@ def ranges(log_id: str, file: str, begin: int, stop: int, split_bytes: int) -> l
     return [Range(log_id, file, a, b, stop) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+class Ranges(InputPartition):
+    """Ranges that one task reads after each other."""
+
+    def __init__(self, parts: list[Range]) -> None:
+        self.parts = parts
+
+    def read(self) -> Iterator[pa.RecordBatch]:
+        for part in self.parts:
+            yield from read_range(part)
+
+
+def packed(parts: list[Range], split_bytes: int) -> list[Ranges]:
+    """Neighbouring ranges in one partition, up to a split's bytes with what opening each file counts as."""
+    out: list[list[Range]] = []
+    room = 0
+    for part in parts:
+        cost = part.end - part.begin + OPEN_BYTES
+        if not out or cost > room:
+            out.append([])
+            room = split_bytes
+        out[-1].append(part)
+        room -= cost
+    return [Ranges(p) for p in out]
+
+
 def _rows(log_id: str, at: int, held: bytes) -> pa.RecordBatch:
     """Rows of whole lines; the last newline may be missing."""
     if not held.endswith(b"\n"):
@@ -140,33 +184,37 @@ def read_range(part: Range, block: int = BLOCK) -> Iterator[pa.RecordBatch]:
                 return
 
 
-def last_newline(file: str, size: int) -> int:
+def _last_newline(source: pa.NativeFile, size: int) -> int:
     """The offset behind the last newline of a file's first bytes, 0 if there is none."""
-    system, inner = _opened(file)
-    with system.open_input_file(inner) as source:
-        stop = min(size, source.size())
-        while stop > 0:
-            begin = max(0, stop - BLOCK)
-            source.seek(begin)
-            newline = source.read(stop - begin).rfind(b"\n")
-            if newline >= 0:
-                return begin + newline + 1
-            stop = begin
+    stop = min(size, source.size())
+    while stop > 0:
+        # A little first: the last line is seldom long.
+        begin = max(0, stop - (BLOCK if stop < size else HEAD))
+        source.seek(begin)
+        newline = source.read(stop - begin).rfind(b"\n")
+        if newline >= 0:
+            return begin + newline + 1
+        stop = begin
     return 0
 
 
-def _first_line_hash(file: str) -> str:
-    import hashlib
+def _first_line_hash(source: pa.NativeFile) -> str:
+    digest = hashlib.sha256()
+    source.seek(0)
+    while piece := source.read(HEAD):
+        line, newline, _ = piece.partition(b"\n")
+        digest.update(line)
+        if newline:
+            break
+    return digest.hexdigest()[:12]
 
+
+def whole_lines(file: str, size: int) -> tuple[int, str]:
+    """Where the whole lines of a file's first bytes end (0 if there are none), and a hash of the first."""
     system, inner = _opened(file)
-    digest = hashlib.sha256()
     with system.open_input_file(inner) as source:
-        while piece := source.read(1 << 16):
-            line, newline, _ = piece.partition(b"\n")
-            digest.update(line)
-            if newline:
-                break
-    return digest.hexdigest()[:12]
+        end = _last_newline(source, size)
+        return end, _first_line_hash(source) if end else ""
 
 
 class _Table(DataSourceReader):
@@ -175,11 +223,10 @@ class _Table(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         found = [r for _, file, size in list_files(self.paths) for r in ranges(file, file, 0, size, self.split_bytes)]
-        return found or [Range("", "", 0, 0, 0)]
+        return packed(found, self.split_bytes) or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.stop:
-            yield from read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from partition.read()
 
 
 class _Stream(DataSourceStreamReader):
@@ -193,26 +240,29 @@ class _Stream(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         logs: dict[str, dict] = {}
-        for asked, file, size in list_files(self.paths, copies=True):
-            end = last_newline(file, size)
+        listed = list_files(self.paths, copies=True)
+        with ThreadPoolExecutor(OPENED) as pool:
+            ends = pool.map(lambda found: whole_lines(found[1], found[2]), listed, chunksize=64)
+            looked = list(zip(listed, ends, strict=True))
+        for (asked, file, _), (end, first) in looked:
             if not end:
                 continue
-            log = f"{asked}#{_first_line_hash(file)}"
+            log = f"{asked}#{first}"
             if log in logs:
                 raise ValueError(f"{file} and {logs[log]['file']} begin with the same line")
             logs[log] = {"file": file, "end": end}
         return logs
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        out: list[InputPartition] = []
+        out: list[Range] = []
         for log, to in sorted(end.items()):
             begin = start.get(log, {}).get("end", 0)
             if begin < to["end"]:
                 out += ranges(log, to["file"], begin, to["end"], self.split_bytes)
-        return out
+        return packed(out, self.split_bytes)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        yield from partition.read()
 
 
 class LineSource(DataSource):

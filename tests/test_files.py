@@ -153,3 +153,24 @@ def test_two_files_with_one_first_line(spark, tmp_path):
     (tmp_path / "a.log.1").write_bytes(b"same\n2\n")
     with pytest.raises(ValueError, match="begin with the same line"):
         files._Stream([str(tmp_path / "a.log")], 100).latestOffset()
+
+
+def test_many_small_files(tmp_path):
+    """Small files share a task; copies are found by their names."""
+    for n in range(300):
+        (tmp_path / f"{n}.log").write_bytes(b"log %d\nline\nrest" % n)
+    (tmp_path / "7.log.1").write_bytes(b"log old\n")
+    (tmp_path / "7.logs").write_bytes(b"no copy\n")
+    stream = files._Stream([str(tmp_path / "*.log")], 64 << 20)
+    end = stream.latestOffset()
+    assert len(end) == 301
+    assert sorted(k.partition("#")[0] for k in end if "/7.log#" in k) == [str(tmp_path / "7.log")] * 2
+    parts = stream.partitions({}, end)
+    assert len(parts) == 2
+    rows = [(r["log_id"], r["line_no"]) for p in parts for b in stream.read(p) for r in b.to_pylist()]
+    assert len(rows) == len(set(rows)) == 601
+    assert {log for log, _ in rows} == set(end)
+    # One that is large is still cut.
+    assert len(files._Stream([], 5).partitions({}, {"a": {"file": "a", "end": 20}})) == 4
+    assert files._copy_of("/x/a.log.1.gz", {"/x/a.log", "/x/a.log.1"}) == "/x/a.log"
+    assert files._copy_of("/x/a.log", {"/x/a.log"}) is None
