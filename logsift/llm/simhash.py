@@ -344,20 +344,109 @@ def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     return both.select("u", "v", "a", "b").mapInArrow(_check_batches(similarity), "u long, v long")
 
 
+# --- what fingerprints leave out -------------------------------------------------
+
+#: One text of so many tells which shingles are common; only the work depends on it, no result.
+ONE_OF = 16
+#: Common shingles that are told apart at most.
+COMMON = 1 << 16
+
+
+def _shingle_batches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            sets = [_sorted_hashes(t.as_py(), words).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))], names=["token"])
+
+    return run
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a part of all have, sorted, and in how many."""
+    some = docs.select("text", _mark().alias("mark")).filter(F.pmod("mark", F.lit(ONE_OF)) == 0).dropDuplicates(["mark"])
+    counts = some.select("text").mapInArrow(_shingle_batches(words), "token long").groupBy("token").count()
+    most = counts.filter("count > 1").orderBy(F.desc("count")).limit(COMMON).toArrow()
+    tokens = most.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], most.column("count").to_numpy()[order].astype(np.int32)
+
+
+def _shared_least(size: Column, similarity: float) -> Column:
+    """How many shingles a set of the size shares with any that is similar, at least."""
+    return F.ceil(similarity * size - 1e-6)
+
+
+def _prefix_batches(similarity: float, words: int, tokens: np.ndarray, counts: np.ndarray):
+    """The shingles of a set, rarest first, up to the last that a similar set may have as its first shared one."""
+
+    def prefix(hashes: np.ndarray) -> np.ndarray:
+        length = min(len(hashes), len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1)
+        seen = np.zeros(len(hashes), np.int32)
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+            seen = np.where(tokens[at] == hashes, counts[at], 0)
+        # The hashes are sorted: equal counts stay in their order.
+        return hashes[np.argsort(seen, kind="stable")[:length]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 500):
+            sets = [prefix(_sorted_hashes(t.as_py(), words)) for t in batch.column("text")]
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            heads = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), heads], names=["key", "mark", "prefix"])
+
+    return run
+
+
+def _pairs_between(docs: DataFrame, rooted: DataFrame, similarity: float, words: int) -> DataFrame:
+    """All pairs u < v of different roots that may be similar; `rooted` has sid, key, mark, size and root.
+
+    Similar sets share a shingle of their prefixes: those in the one order of all shingles
+    that come before the least number any similar set must share, and one more. What two
+    sets share beyond the prefixes is no more than what one of them has there, so the
+    shared shingles inside must make up the rest.
+    """
+    tokens, counts = _common(docs, words)
+    rows = docs.select(_key(), _mark().alias("mark"), "text")
+    heads = rows.mapInArrow(_prefix_batches(similarity, words, tokens, counts), "key long, mark long, prefix array<long>")
+    # A set that is a root by itself carries no number twice.
+    own = rooted.select("key", "mark", "sid", F.when(F.col("root") != F.col("sid"), F.col("root")).alias("root"))
+    each = heads.join(own, ["key", "mark"]).select("sid", "root", F.explode("prefix").alias("token"))
+    at, root = Window.partitionBy("token"), F.coalesce("root", "sid")
+    several = each.withColumns({"low": F.min(root).over(at), "high": F.max(root).over(at)}).filter("low <> high")
+    met = several.select("token", "sid", root.alias("root")).distinct()
+    met = saved(met.join(rooted.select("sid", "size"), "sid"))
+    side = lambda name, n: met.select(
+        "token", F.col("sid").alias(name), F.col("root").alias(f"r{n}"), F.col("size").alias(f"n{n}")
+    )
+    sizes = F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6
+    both = side("u", 1).join(side("v", 2), "token").filter((F.col("u") < F.col("v")) & (F.col("r1") != F.col("r2")) & sizes)
+    shared = both.groupBy("u", "v", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
+    beyond = F.greatest(*[F.greatest(_shared_least(F.col(n), similarity) - 1, F.lit(0)) for n in ("n1", "n2")])
+    wanted = similarity / (1 + similarity) * (F.col("n1") + F.col("n2"))
+    return shared.filter(F.col("shared") + beyond >= wanted - 1e-6).select("u", "v")
+
+
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
     """One row of each group of similar texts, with all its columns: that of the smallest doc_id (null the largest).
 
     Texts are similar if the Jaccard similarity of their sets of shingles is at least the
-    given one; groups are what links join up. Every link is checked on the whole sets.
-    Candidates come from fingerprints: of two texts with Jaccard 0.8 a bit differs with
+    given one; groups are what links join up. Every link is checked on the whole sets, and
+    none is left out. Most candidates come from fingerprints: of two texts with Jaccard 0.8 a bit differs with
     probability 0.15 (the angle between the sets over pi), a block in at most 2 bits
     with 0.59, and they have the same sample of 3 shingles with 0.51, so they meet at
     an anchor of one of 10 blocks with 0.97; with Jaccard 0.85 it is 0.995. At an anchor
     each set is compared with the one before it in a random order of the block's own,
     so a group of any size costs a fixed number of comparisons for each member; two that
     are no neighbours there are joined up through others or at other anchors. Candidates
-    more than 50 of 192 bits apart are not checked: 4 standard deviations above what
-    Jaccard 0.8 gives. README has the recall that was measured.
+    more than 50 of 192 bits apart are not checked here: 4 standard deviations above what
+    Jaccard 0.8 gives.
+
+    Links that fingerprints do not find are then found by `_pairs_between`, which is exact,
+    among pairs that are in no group together: a group's members are compared with each
+    other no more. The shingles come rarest first, so few sets meet at one; sets that have
+    hardly any but common shingles and are still not similar are the case that costs the
+    square of their number.
 
     Equal sets are folded by a digest of 128 bits. Texts without words have the empty
     set and are equal to each other; null counts as empty. Rows repeated in full, id and
@@ -373,7 +462,13 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     ids = sets.select("sid", F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
     texts = docs.select(_key(), _mark().alias("mark"), "text").join(ids, ["key", "mark"]).select("sid", "text")
     near = saved(_near_pairs(meetings(sets), sets, similarity))
-    linked = _similar(near, texts, similarity, words)
-    roots = components(linked).withColumnRenamed("node", "sid")
-    rooted = sets.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return _kept(docs, rooted.groupBy("root").agg(F.min("first").alias("first")))
+    roots = components(_similar(near, texts, similarity, words)).withColumnRenamed("node", "sid")
+    rooted = ids.join(sets.select("sid", "size", "first"), "sid").join(roots, "sid", "left")
+    rooted = saved(rooted.withColumn("root", F.coalesce("root", "sid")))
+    # Links between groups, then groups of groups.
+    between = _similar(saved(_pairs_between(docs, rooted, similarity, words)), texts, similarity, words)
+    group = lambda name: rooted.select(F.col("sid").alias(name), F.col("root").alias(f"{name}_root"))
+    linked = between.join(group("u"), "u").join(group("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    joined = components(linked).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    grouped = rooted.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    return _kept(docs, grouped.groupBy("top").agg(F.min("first").alias("first")))

@@ -240,3 +240,36 @@ def test_block_anchors(spark):
         i = rng.randrange(1 << 15)
         j = i ^ (1 << rng.randrange(15)) ^ (1 << rng.randrange(15))
         assert near[i] & near[j]
+
+
+def test_no_similar_pair_is_left_out(docs_of):
+    """800 pairs of Jaccard 0.8 or hardly more, as many of hardly less, and a chain of such links."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    rows, gone = [], set()
+
+    def pair(at, same, left, right):
+        """Two texts whose sets share `same` shingles and have so many of their own."""
+        shared = [word() for _ in range(same + 4)]
+        rows.append((at, " ".join([word() for _ in range(left)] + shared)))
+        rows.append((at + 1, " ".join(shared + [word() for _ in range(right)])))
+
+    for n in range(800):
+        pair(2 * n, 80, 10, 10)
+        gone.add(2 * n + 1)
+    for n in range(800, 1000):
+        pair(2 * n, 79, 10, 10)
+    for n in range(1000, 1100):
+        pair(2 * n, 80, 0, 20)
+        gone.add(2 * n + 1)
+    base = [word() for _ in range(460)]
+    for n in range(20):
+        # Windows of 100 shingles, 11 further each: neighbours have Jaccard 89/111.
+        rows.append((5000 + n, " ".join(base[11 * n : 11 * n + 104])))
+    gone |= {5000 + n for n in range(1, 20)}
+    # Rows repeated in full, and a text without words.
+    rows += [rows[0]] * 30 + [(9000, None), (9001, " "), (9002, "one"), (9003, "one")]
+    gone |= {9001, 9003}
+    left = [r.doc_id for r in simhash.drop_similar(docs_of(rows)).collect()]
+    assert len(left) == len(set(left))
+    assert {r[0] for r in rows} - set(left) == gone
