@@ -43,21 +43,32 @@ from logsift.options import MAX_PENDING_BLOCKS, CleanOptions
 _BEFORE_ALL_LINES = -(2**63)
 
 
+#: Keys that the logs are dealt to while they are followed; what a call costs is paid by key, not by log.
+FOLLOWED = 1 << 12
+
+
 def _until_silent(timeout_ms: int):
-    """One log's state is its last time; when no more comes for the timeout, the log is handed on and forgotten."""
+    """A key's state has its logs' last times; a log that no more comes of for the timeout is handed on and forgotten."""
 
     def run(key: tuple, beats: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            [last] = state.get
+        now = state.getCurrentWatermarkMs()
+        held = {log: (last, due) for log, last, due in zip(*state.get, strict=True)} if state.exists else {}
+        if not state.hasTimedOut:
+            for b in beats:
+                for name, last in zip(b["log"].tolist(), b["last_us"].tolist(), strict=True):
+                    log = None if pd.isna(name) else name
+                    last = max(int(last), held[log][0]) if log in held else int(last)
+                    # A timeout must lie ahead of the watermark.
+                    held[log] = (last, max(last // 1000 + timeout_ms, now + 1))
+        silent = {log: last for log, (last, due) in held.items() if due < now}
+        waiting = [(log, *times) for log, times in held.items() if log not in silent]
+        if waiting:
+            state.update(tuple(list(column) for column in zip(*waiting, strict=True)))
+            state.setTimeoutTimestamp(max(min(due for _, _, due in waiting), now + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"log_id": [key[0]], "last_time": [pd.Timestamp(last, unit="us")]})
-            return
-        last = max(int(b["last_us"].max()) for b in beats)
-        if state.exists:
-            last = max(last, state.get[0])
-        state.update((last,))
-        # A timeout must lie ahead of the watermark.
-        state.setTimeoutTimestamp(max(last // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+        if silent:
+            yield pd.DataFrame({"log": list(silent), "last_time": [pd.Timestamp(t, unit="us") for t in silent.values()]})
 
     return run
 
@@ -251,19 +262,23 @@ class BlockStream:
         """Follow the beats and write the blocks of logs that have been silent for the timeout.
 
         `delay` is how far times may lie behind the latest one seen (the watermark's delay).
-        The log ids' type is taken from the store, so a batch must have been taken in before.
+        The log ids' type is taken from the store, so a batch must have been taken in before;
+        they are followed as text. The state is kept for a fixed number of keys, each with many logs.
         """
         beats_folder = f"{self.store}/beats"
         kind = dict(self.spark.read.parquet(beats_folder).dtypes)["log_id"]
         beats = self.spark.readStream.schema(f"log_id {kind}, last_us long, batch int").parquet(beats_folder)
         timed = beats.withColumn("at", F.timestamp_micros("last_us")).withWatermark("at", delay)
-        silent = timed.groupBy("log_id").applyInPandasWithState(
+        dealt = timed.select(
+            F.pmod(F.xxhash64("log_id"), F.lit(FOLLOWED)).alias("part"), F.col("log_id").cast("string").alias("log"), "last_us", "at"
+        )
+        silent = dealt.groupBy("part").applyInPandasWithState(
             _until_silent(timeout_ms),
-            f"log_id {kind}, last_time timestamp",
-            "last_us long",
+            "log string, last_time timestamp",
+            "logs array<string>, last_us array<long>, due_ms array<long>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
-        )
+        ).select(F.col("log").cast(kind).alias("log_id"), "last_time")
         writer = silent.writeStream.foreachBatch(self._close).option("checkpointLocation", checkpoint)
         return (writer.trigger(**trigger) if trigger else writer).start()
 

@@ -164,3 +164,50 @@ def test_silent_logs_are_closed(spark, tmp_path):
     follow()
     assert _rows(stream.final()) == sorted(want(old + more) + want(new))
     assert {r.last_time for r in stream.final().select("last_time").collect()} == {at(33), at(34)}
+
+
+def test_logs_are_followed_many_at_a_time(spark, tmp_path):
+    """Logs share keys of the state: each is closed by its own time, a null id too; calls do not grow with logs."""
+    import datetime as dt
+
+    from logsift.streaming import incremental as inc
+
+    class State:
+        """One key's state as Spark hands it to the function."""
+
+        hasTimedOut, exists, get, now, due = False, False, None, 0, None
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, due):
+            assert due > self.now
+            self.due = due
+
+    import pandas as pd
+
+    run, state = inc._until_silent(1000), State()
+    beat = lambda *rows: iter([pd.DataFrame(rows, columns=["log", "last_us"])])
+    out = lambda frames: sorted((str(r.log), r.last_time.value // 1000) for f in frames for r in f.itertuples())
+    assert out(run((0,), beat(("a", 5_000_000), ("b", 7_000_000), (None, 5_000_000)), state)) == []
+    assert state.due == 6000
+    state.now = 6500
+    assert out(run((0,), beat(("a", 6_400_000)), state)) == [("None", 5_000_000)]
+    state.now, state.hasTimedOut = 8200, True
+    assert out(run((0,), iter([]), state)) == [("a", 6_400_000), ("b", 7_000_000)]
+    assert not state.exists
+
+    stream = BlockStream(spark, str(tmp_path / "s"), CleanOptions(depth=1, trim=False))
+    at = lambda m: dt.datetime(2024, 1, 1, m // 60, m % 60)
+    rows = [(n, 0, f"==12== Invalid read of size {n}", at(n % 90)) for n in range(6000)]
+    stream.absorb(spark.createDataFrame(rows, "log_id long, line_no long, value string, time timestamp"), 0)
+    stream.start_closing(str(tmp_path / "c"), 10 * 60_000, availableNow=True).awaitTermination()
+    got = {(r.log_id, r.last_time) for r in stream.final().collect()}
+    assert got == {(n, at(n % 90)) for n in range(6000) if n % 90 < 79}
+    assert stream.final().count() > inc.FOLLOWED
