@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from logsift.llm.components import components
 from logsift.llm.tables import portions, without
+from logsift.operators.bitmap import bitmap, may_hold
 from logsift.sources.storage import saved
 
 WORDS = 3
@@ -158,12 +159,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def _kept(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The rows of the documents in `first`, a row repeated in full once."""
-    stays = firsts.select(F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
+def _kept(docs: DataFrame, marked: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of the documents in `first`, a row repeated in full once; `marked` has doc_id and mark of all rows.
+
+    Most rows stay and come once: only those that may be others are shuffled.
+    """
+    key = ["key", "mark"]
+    stays = firsts.select(F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"), F.lit(True).alias("stays"))
+    counts = marked.groupBy(_key(), "mark").agg(F.count(F.lit(1)).alias("n"))
+    others = saved(counts.join(stays, key, "left").filter(F.col("stays").isNull() | (F.col("n") > 1)))
     rows = docs.select(F.struct(*without(docs)).alias("doc"), _key(), _mark().alias("mark"))
+    other = may_hold(bitmap(others, *key).scalar(), *key)
+    left = rows.filter(other).join(others.filter(F.col("stays").isNull()), key, "left_anti")
     # Repeats are folded in every task first.
-    return rows.join(stays, ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"]).select("doc.*")
+    return rows.filter(~other).select("doc.*").union(left.dropDuplicates(key).select("doc.*"))
 
 
 def _first() -> Column:
@@ -175,7 +184,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     marked = saved(fingerprints(docs))
     roots = components(links(marked.select("fp").distinct())).withColumnRenamed("node", "fp")
     rooted = marked.join(roots, "fp", "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
-    return _kept(docs, rooted.groupBy("root").agg(_first()))
+    return _kept(docs, marked, rooted.groupBy("root").agg(_first()))
 
 
 # --- similar texts -------------------------------------------------------------
@@ -221,25 +230,33 @@ def _sample(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - 2**63 for row in first]
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """For each of two to four times as many places as shingles, if an odd number of them falls there, as bits."""
+    places = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
 def _sorted_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or "", words), np.uint64))
 
 
-_SETS = "doc_id long, mark long, digest binary, size long, fp array<long>, samples array<long>"
+_SETS = "doc_id long, mark long, digest binary, size long, fp array<long>, samples array<long>, parity binary"
 
 
 def _set_batches(words: int):
-    """The set of a text's shingles: a 128-bit digest, size, wide fingerprint, a sample for each block."""
+    """The set of a text's shingles: a 128-bit digest, size, wide fingerprint, a sample for each block, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 500):
-            digests, sizes, fps, samples = [], [], [], []
+            digests, sizes, fps, samples, parities = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = _sorted_hashes(text.as_py(), words)
                 digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sizes.append(len(hashes))
                 fps.append(_wide_fingerprint(hashes))
                 samples.append(_sample(hashes))
+                parities.append(_parity(hashes))
             longs = pa.list_(pa.int64())
             columns = [
                 batch.column("doc_id"),
@@ -248,8 +265,9 @@ def _set_batches(words: int):
                 pa.array(sizes, pa.int64()),
                 pa.array(fps, longs),
                 pa.array(samples, longs),
+                pa.array(parities, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "size", "fp", "samples"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "digest", "size", "fp", "samples", "parity"])
 
     return run
 
@@ -288,15 +306,22 @@ def meetings(sets: DataFrame) -> DataFrame:
     spread = sets.repartition(parts, F.xxhash64("sid"))
     each = spread.select("sid", F.posexplode(blocks).alias("block", "at"))
     placed = each.select("sid", "block", "at.sample", F.explode(block_anchors(F.col("at.bits"))).alias("word"))
-    anchor = F.xxhash64("block", "sample", "word")
+    # The last four bits name the block, so that no column of its own is shuffled.
+    anchor = F.xxhash64("block", "sample", "word").bitwiseAND(F.lit(~15)).bitwiseOR(F.col("block"))
+    dealt = placed.select(anchor.alias("anchor"), "sid").repartition(parts, "anchor")
     # One order for all anchors of a block, so that sets which meet at several are neighbours there again.
     order = Window.partitionBy("anchor").orderBy("turn", "sid")
-    placed = placed.select(anchor.alias("anchor"), "sid", F.xxhash64("block", "sid").alias("turn"))
-    before = placed.withColumn("before", F.lag("sid").over(order))
+    turned = dealt.withColumn("turn", F.xxhash64(F.col("anchor").bitwiseAND(F.lit(15)), "sid"))
+    before = turned.withColumn("before", F.lag("sid").over(order))
     pair = before.filter(F.col("before").isNotNull())
     return pair.select(F.least("sid", "before").alias("u"), F.greatest("sid", "before").alias("v"))
 
 
+def _ids(sets: DataFrame) -> DataFrame:
+    """sid, and key and mark of the set's first document."""
+    return sets.select("sid", F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs u < v that sizes and fingerprints leave possible."""
     side = lambda name, n: sets.select(
@@ -334,10 +359,42 @@ def _check_batches(similarity: float):
     return run
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+def _possible_batches(similarity: float):
+    """Pairs whose parities leave the similarity possible: what differs in them differs in the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b, total in zip(batch.column("a"), batch.column("b"), batch.column("total").to_pylist(), strict=True):
+                left, right = sorted((np.frombuffer(side.as_buffer(), np.uint8) for side in (a, b)), key=len)
+                # The places of the smaller are those of the larger without their high bits.
+                folded = np.bitwise_xor.reduce(right.reshape(-1, len(left)), axis=0)
+                shared = (total - int(np.bitwise_count(left ^ folded).sum())) / 2
+                good.append(shared >= similarity * (total - shared) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs u, v without those that parities rule out; none that has the similarity is."""
+    side = lambda name, n, parity: sets.select(
+        F.col("sid").alias(name), F.col("size").alias(f"n{n}"), F.col("parity").alias(parity)
+    )
+    both = pairs.join(side("v", 2, "b"), "v").join(side("u", 1, "a"), "u")
+    both = both.select("u", "v", "a", "b", (F.col("n1") + F.col("n2")).alias("total"))
+    return both.mapInArrow(_possible_batches(similarity), "u long, v long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs u, v whose shingle sets have the Jaccard similarity, counted in full."""
+    pairs = saved(_possible(pairs, sets, similarity))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    found = texts.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    # The text of a set is read where its first document is; other texts are not shuffled.
+    ids = saved(_ids(sets).join(wanted, "sid", "left_semi"))
+    rows = docs.select(_key(), _mark().alias("mark"), "text")
+    likely = rows.filter(may_hold(bitmap(ids, "key", "mark").scalar(), "key", "mark"))
+    found = likely.dropDuplicates(["key", "mark"]).join(ids, ["key", "mark"]).select("sid", "text")
     hashes = saved(found.mapInArrow(_hash_batches(words), "sid long, hashes array<long>"))
     both = pairs.join(hashes.select(F.col("sid").alias("v"), F.col("hashes").alias("b")), "v")
     both = both.join(hashes.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
@@ -455,20 +512,17 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
     marked = saved(rows.mapInArrow(_set_batches(words), _SETS))
-    facts = [F.min(n).alias(n) for n in ("size", "fp", "samples")]
+    facts = [F.min(n).alias(n) for n in ("size", "fp", "samples", "parity")]
     sets = marked.groupBy("digest").agg(_first(), *facts)
     sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()))
-    # The text of a set is read where its first document is.
-    ids = sets.select("sid", F.coalesce("first.doc_id", F.lit(-1)).alias("key"), F.col("first.mark").alias("mark"))
-    texts = docs.select(_key(), _mark().alias("mark"), "text").join(ids, ["key", "mark"]).select("sid", "text")
-    near = saved(_near_pairs(meetings(sets), sets, similarity))
-    roots = components(_similar(near, texts, similarity, words)).withColumnRenamed("node", "sid")
-    rooted = ids.join(sets.select("sid", "size", "first"), "sid").join(roots, "sid", "left")
+    near = _near_pairs(meetings(sets), sets, similarity)
+    roots = components(_similar(near, docs, sets, similarity, words)).withColumnRenamed("node", "sid")
+    rooted = _ids(sets).join(sets.select("sid", "size", "first"), "sid").join(roots, "sid", "left")
     rooted = saved(rooted.withColumn("root", F.coalesce("root", "sid")))
     # Links between groups, then groups of groups.
-    between = _similar(saved(_pairs_between(docs, rooted, similarity, words)), texts, similarity, words)
+    between = _similar(_pairs_between(docs, rooted, similarity, words), docs, sets, similarity, words)
     group = lambda name: rooted.select(F.col("sid").alias(name), F.col("root").alias(f"{name}_root"))
     linked = between.join(group("u"), "u").join(group("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
     joined = components(linked).select(F.col("node").alias("root"), F.col("root").alias("top"))
     grouped = rooted.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    return _kept(docs, grouped.groupBy("top").agg(F.min("first").alias("first")))
+    return _kept(docs, marked, grouped.groupBy("top").agg(F.min("first").alias("first")))

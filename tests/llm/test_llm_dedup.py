@@ -1,10 +1,15 @@
 """Exact and near duplicates against brute force."""
 
+import json
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,3 +278,60 @@ def test_no_similar_pair_is_left_out(docs_of):
     left = [r.doc_id for r in simhash.drop_similar(docs_of(rows)).collect()]
     assert len(left) == len(set(left))
     assert {r[0] for r in rows} - set(left) == gone
+
+
+def test_parities_rule_out_no_similar_pair():
+    """Sets of all sizes: pairs of Jaccard 0.8 or more stay, hardly any of much less do."""
+    rng = np.random.default_rng(3)
+    rows, jaccard = [], []
+    for n in [0, 1, 2, 5, 31, 32, 33, 63, 64, 65, 200, 1023, 1025, 5000]:
+        for kept in (1.0, 0.95, 0.9, 0.89, 0.88, 0.8, 0.5, 0.0):
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            same = base[: round(kept * n)]
+            other = np.unique(np.concatenate([same, rng.integers(0, 2**63, n - len(same), dtype=np.uint64)]))
+            sides = [simhash._parity(side) for side in ((base, other) if len(rows) % 2 else (other, base))]
+            rows.append((len(rows), len(rows), *sides, len(base) + len(other)))
+            jaccard.append(len(same) / max(1, 2 * n - len(same)) if n else 1.0)
+    columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()], strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["u", "v", "a", "b", "total"])
+    left = {u for out in simhash._possible_batches(0.8)(iter([batch])) for u in out.column("u").to_pylist()}
+    assert {i for i, j in enumerate(jaccard) if j >= 0.8} <= left
+    assert not left & {i for i, j in enumerate(jaccard) if j <= 0.5 and rows[i][4] > 100}
+
+
+_NEAR_RUN = """
+import sys
+from pyspark.sql import SparkSession
+from logsift.llm import simhash
+at, event_log = sys.argv[1], {"spark.eventLog.enabled": "true", "spark.eventLog.compress": "false"}
+places = {"spark.eventLog.dir": f"file://{at}/events", "spark.checkpoint.dir": f"file://{at}/shared", "spark.local.dir": f"{at}/local"}
+# As with tables of many rows, no side of a join is small.
+quiet = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+spark = SparkSession.builder.master("local[4]").config(map=event_log | places | quiet).getOrCreate()
+print("kept", simhash.drop_similar(spark.read.parquet(f"{at}/docs.parquet")).count())
+spark.stop()
+"""
+
+
+def test_texts_that_stay_are_not_shuffled(tmp_path):
+    """Unlike texts and a few near copies: what the near dedup shuffles is less than the texts, once."""
+    rng = random.Random(4)
+    word = lambda: f"{rng.getrandbits(40):x}"
+    texts = [[word() for _ in range(1500)] for _ in range(900)]
+    texts += [edited(rng, words, 3) for words in texts[:20]]
+    ids = list(range(len(texts)))
+    joined = [" ".join(words) for words in texts]
+    # Repeated rows come through once.
+    rows = pa.table({"doc_id": ids + ids[-30:], "text": joined + joined[-30:]})
+    pq.write_table(rows, tmp_path / "docs.parquet")
+    (tmp_path / "events").mkdir()
+    place = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run(
+        [sys.executable, "-c", _NEAR_RUN, str(tmp_path)],
+        cwd=place, env=os.environ | {"PYTHONPATH": place}, capture_output=True, text=True, timeout=300,
+    )
+    assert "kept 900" in done.stdout, done.stderr[-2000:]
+    logs = [p for p in (tmp_path / "events").rglob("*") if p.is_file() and not p.name.startswith((".", "appstatus"))]
+    events = [json.loads(line) for p in logs for line in p.read_text().splitlines()]
+    written = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in events if e["Event"] == "SparkListenerTaskEnd")
+    assert 0 < written < 0.8 * sum(map(len, joined)), written
