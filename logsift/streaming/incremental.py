@@ -230,7 +230,7 @@ class BlockStream:
         made = self._write(bl.compact_pieces(pieces, self.rules), "blocks", batch_id)
         large = bl.oversize_piece_lines(numbered)
         if made.filter(F.col("n_bytes") > bl.MAX_BLOCK_BYTES).isEmpty():
-            large = self.spark.createDataFrame([], large.schema)
+            large = large.filter(F.lit(False))
         self._write(large, "oversize", batch_id)
         self._write(flagged.filter("is_late").select("log_id", "line_no", "value"), "late", batch_id)
         if "time_us" in flagged.columns:

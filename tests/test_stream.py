@@ -1,10 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsift import CleanOptions, clean
 from logsift.streaming import BlockStream
 from test_blocks import LOGS, _random_logs
+from workload import derived as dv
+from workload import logs
 
 
 def _rows(blocks):
@@ -211,3 +214,21 @@ def test_logs_are_followed_many_at_a_time(spark, tmp_path):
     got = {(r.log_id, r.last_time) for r in stream.final().collect()}
     assert got == {(n, at(n % 90)) for n in range(6000) if n % 90 < 79}
     assert stream.final().count() > inc.FOLLOWED
+
+
+def test_runs_of_lines_are_dealt_evenly(spark, tmp_path):
+    """Events that lie in one file by number: the lines of each run are written by all tasks alike."""
+    rows = [(i, i % 40, "error" if i % 3 else "view") for i in range(-3, 3000)] + [(None, 1, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    log, last = dv.log_lines(spark, str(tmp_path)), 2999 * 8 + 4
+    store = logs._streamed(spark, str(tmp_path)).store
+    lines = spark.read.parquet(f"{store.removesuffix('/store')}/lines").withColumn("file", F.input_file_name())
+    run = F.least(F.lit(2), F.greatest(F.lit(0), F.floor((F.col("line_no") - 1) * 3 / last)))
+    held = lines.groupBy(run.alias("run"), "file").count().collect()
+    for part in range(3):
+        counts = [r["count"] for r in held if r["run"] == part]
+        assert len(counts) == 4 and max(counts) < 1.5 * sum(counts) / 4
+    # Together they are the log, each line once; a line without a number is in no run.
+    had = lines.drop("file")
+    wanted = log.filter("line_no IS NOT NULL")
+    assert had.exceptAll(wanted).isEmpty() and wanted.exceptAll(had).isEmpty()

@@ -55,10 +55,26 @@ FROM """
 LOG_SQL = f"log AS ({_LOG} (SELECT *, unnest(range(0, 5)) AS k FROM events) e)"
 
 
+def _lines_of(spark: SparkSession, events: DataFrame) -> DataFrame:
+    return run_sql(spark, _LOG, events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))))
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _lines_of(spark, table(spark, folder, "events").select("event_id", "user_id", "event_type"))
+
+
+def log_run(spark: SparkSession, folder: str, above: int | None, high: int) -> DataFrame:
+    """Lines of the log with numbers above `above`, if given, up to `high`, dealt evenly.
+
+    Events lie in their files by number as often as not: those of the run are dealt,
+    a fifth of the rows and without text, before they are made lines.
+    """
     events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
-    per_line = events.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return run_sql(spark, _LOG, per_line)
+    low = F.lit(True) if above is None else F.col("event_id") * 8 + 4 > above
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = events.filter(low & (F.col("event_id") * 8 <= high)).repartitionByRange(parts, "event_id")
+    lines = _lines_of(spark, dealt).filter(F.col("line_no") <= high)
+    return lines if above is None else lines.filter(F.col("line_no") > above)
 
 
 _TIMED_LOG = _LOG.replace("AS value\nFROM", "AS value, time\nFROM")

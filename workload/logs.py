@@ -248,7 +248,7 @@ def _streamed(spark: SparkSession, folder: str) -> BlockStream:
     stream = BlockStream(spark, f"{base}/store", DEPTH_3)
     for part in range(3):
         low, high = last * part // 3, last * (part + 1) // 3
-        arrived = log.filter((F.col("line_no") > low) | F.lit(part == 0)).filter(F.col("line_no") <= high)
+        arrived = dv.log_run(spark, folder, low if part else None, high)
         arrived.write.mode("append").parquet(f"{base}/lines")
         lines = spark.readStream.schema(log.schema).parquet(f"{base}/lines")
         stream.start(lines, f"{base}/checkpoint", availableNow=True).awaitTermination()
