@@ -344,21 +344,6 @@ def _hash_batches(words: int):
     return run
 
 
-def _check_batches(similarity: float):
-    """Pairs whose sets, both in the row, have the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 500):
-            good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                left, right = a.values.to_numpy(), b.values.to_numpy()
-                shared = len(np.intersect1d(left, right, assume_unique=True))
-                good.append(shared >= similarity * (len(left) + len(right) - shared) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _possible_batches(similarity: float):
     """Pairs whose parities leave the similarity possible: what differs in them differs in the sets."""
 
@@ -398,7 +383,9 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: flo
     hashes = saved(found.mapInArrow(_hash_batches(words), "sid long, hashes array<long>"))
     both = pairs.join(hashes.select(F.col("sid").alias("v"), F.col("hashes").alias("b")), "v")
     both = both.join(hashes.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(_check_batches(similarity), "u long, v long")
+    # Counted where the rows are: whole sets of many pairs would make large batches on their way to Python.
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
 # --- what fingerprints leave out -------------------------------------------------
