@@ -371,16 +371,21 @@ def _possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(_possible_batches(similarity), "u long, v long")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs u, v whose shingle sets have the Jaccard similarity, counted in full."""
-    pairs = saved(_possible(pairs, sets, similarity))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+def _hashes_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """sid, hashes of the sets in `wanted`, whose sid comes once each."""
     # The text of a set is read where its first document is; other texts are not shuffled.
     ids = saved(_ids(sets).join(wanted, "sid", "left_semi"))
     rows = docs.select(_key(), _mark().alias("mark"), "text")
     likely = rows.filter(may_hold(bitmap(ids, "key", "mark").scalar(), "key", "mark"))
     found = likely.dropDuplicates(["key", "mark"]).join(ids, ["key", "mark"]).select("sid", "text")
-    hashes = saved(found.mapInArrow(_hash_batches(words), "sid long, hashes array<long>"))
+    return saved(found.mapInArrow(_hash_batches(words), "sid long, hashes array<long>"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs u, v whose shingle sets have the Jaccard similarity, counted in full."""
+    pairs = saved(_possible(pairs, sets, similarity))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    hashes = _hashes_of(wanted, docs, sets, words)
     both = pairs.join(hashes.select(F.col("sid").alias("v"), F.col("hashes").alias("b")), "v")
     both = both.join(hashes.select(F.col("sid").alias("u"), F.col("hashes").alias("a")), "u")
     # Counted where the rows are: whole sets of many pairs would make large batches on their way to Python.
@@ -394,6 +399,10 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similarity: flo
 ONE_OF = 16
 #: Common shingles that are told apart at most.
 COMMON = 1 << 16
+#: Sets of a group that make a large one, and that its centre is made of; only the work depends on it, no result.
+FEW = 16
+#: Sets that are compared with one copy of their group's centre.
+PART = 1024
 
 
 def _shingle_batches(words: int):
@@ -442,13 +451,12 @@ def _prefix_batches(similarity: float, words: int, tokens: np.ndarray, counts: n
     return run
 
 
-def _pairs_between(docs: DataFrame, rooted: DataFrame, similarity: float, words: int) -> DataFrame:
-    """All pairs u < v of different roots that may be similar; `rooted` has sid, key, mark, size and root.
+def _places(docs: DataFrame, rooted: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Shingles of prefixes that sets of several roots have: token, sid, size, root, held, top, n.
 
-    Similar sets share a shingle of their prefixes: those in the one order of all shingles
-    that come before the least number any similar set must share, and one more. What two
-    sets share beyond the prefixes is no more than what one of them has there, so the
-    shared shingles inside must make up the rest.
+    `held` is how many of them the set has, `top` the root of most sets at the shingle and `n` the number of these. Similar sets share a shingle of their prefixes: those in the one order of all shingles
+    that come before the least number any similar set must share, and one more.
+    `rooted` has sid, key, mark, size and root.
     """
     tokens, counts = _common(docs, words)
     rows = docs.select(_key(), _mark().alias("mark"), "text")
@@ -458,17 +466,131 @@ def _pairs_between(docs: DataFrame, rooted: DataFrame, similarity: float, words:
     each = heads.join(own, ["key", "mark"]).select("sid", "root", F.explode("prefix").alias("token"))
     at, root = Window.partitionBy("token"), F.coalesce("root", "sid")
     several = each.withColumns({"low": F.min(root).over(at), "high": F.max(root).over(at)}).filter("low <> high")
-    met = several.select("token", "sid", root.alias("root")).distinct()
-    met = saved(met.join(rooted.select("sid", "size"), "sid"))
-    side = lambda name, n: met.select(
-        "token", F.col("sid").alias(name), F.col("root").alias(f"r{n}"), F.col("size").alias(f"n{n}")
+    met = saved(several.select("token", "sid").distinct())
+    held = met.groupBy("sid").agg(F.count(F.lit(1)).alias("held")).join(rooted.select("sid", "size", "root"), "sid")
+    counted = met.join(held, "sid").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token", "root")))
+    ranked = counted.withColumn("most", F.max(F.struct("n", "root")).over(at))
+    return saved(ranked.select("token", "sid", "size", "root", "held", F.col("most.root").alias("top"), F.col("most.n").alias("n")))
+
+
+def _may_be_similar(shared: Column, similarity: float, n2: Column | None = None) -> Column:
+    """Whether sets of n1 and n2 shingles that share so many of their prefixes, or fewer, can be similar.
+
+    What two sets share beyond the prefixes is no more than what one of them has there,
+    so the shared shingles inside must make up the rest.
+    """
+    n1, n2 = F.col("n1"), F.col("n2") if n2 is None else n2
+    sizes = F.least(n1, n2) >= similarity * F.greatest(n1, n2) - 1e-6
+    beyond = F.greatest(*[F.greatest(_shared_least(n, similarity) - 1, F.lit(0)) for n in (n1, n2)])
+    wanted = similarity / (1 + similarity) * (n1 + n2)
+    return sizes & (shared + beyond >= wanted - 1e-6)
+
+
+def _centres(members: DataFrame, hashes: DataFrame) -> DataFrame:
+    """root, centre: the shingles that over half of some members have. Any other centre would give the same links."""
+    place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("sid"), "sid"))
+    some = members.select("root", "sid", place.alias("place")).filter(F.col("place") <= FEW)
+    held = some.join(hashes, "sid").select("root", F.explode("hashes").alias("token")).groupBy("root", "token").count()
+    return held.filter(F.col("count") > FEW // 2).groupBy("root").agg(F.collect_list("token").alias("centre"))
+
+
+def _links_to_groups(places: DataFrame, rooted: DataFrame, docs: DataFrame, sets: DataFrame, similarity: float, words: int):
+    """(links, settled): u, v that join sets to groups of FEW sets or more, and the groups (root, settled) this was done for.
+
+    A set that has a shingle with a group is compared with all sets of that group by what each
+    has more and less than a centre that they share: what differs between two sets is what they differ
+    from the centre, but for what both differ in. So sets that were edited in other
+    places never meet, and how much two sets share comes out exactly. One link to a
+    group is enough. A group for which this would be more work than its shingles makes is left to `_pairs_between`.
+    """
+    top = places.filter(F.col("n") >= FEW)
+    work = top.groupBy(F.col("top").alias("root")).agg(F.sum(F.when(F.col("root") != F.col("top"), F.col("n"))).alias("work"))
+    counts = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("small"), F.max("size").alias("large"))
+    groups = saved(counts.join(work, "root"))
+    # What sets share beyond their prefixes leaves most for members as small, or as large, as can be; rounding makes 1.
+    met = top.filter(F.col("root") != F.col("top")).select("sid", F.col("top").alias("root"), F.col("size").alias("n1"), "held").distinct()
+    met = met.join(groups, "root")
+    lower, upper = F.greatest("small", similarity * F.col("n1")), F.least("large", F.col("n1") / similarity)
+    likely = [_may_be_similar(F.col("held") + more, similarity, n2=n2) for n2, more in ((lower, 0), (upper, 1))]
+    seekers = met.filter((lower <= upper + 1e-6) & (likely[0] | likely[1])).select("sid", "root", F.col("n1").alias("size"))
+    members = rooted.join(groups.select("root"), "root", "left_semi").select("sid", "root", "size")
+    sides = saved(seekers.withColumn("seeks", F.lit(1)).union(members.withColumn("seeks", F.lit(0))))
+    hashes = _hashes_of(sides.select("sid").distinct(), docs, sets, words)
+    # A centre goes to as many tasks as its group needs.
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    centres = _centres(sides.filter("seeks = 0"), hashes).join(groups, "root", "right")
+    centres = centres.select("root", F.coalesce("centre", F.array().cast("array<long>")).alias("centre"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = sides.join(groups.select("root", "n"), "root").withColumn("part", F.pmod(F.xxhash64("sid"), parts).cast("int"))
+    both = dealt.join(hashes, "sid").join(centres, ["root", "part"])
+    apart = F.concat(F.array_except("hashes", "centre"), F.array_except("centre", "hashes"))
+    near = saved(both.select("root", "sid", "size", "seeks", apart.alias("apart")).withColumn("d", F.size("apart")))
+
+    # Of a set and the member nearest to the centre, even if nothing were common to what they differ in.
+    shared = lambda common: (F.col("n1") + F.col("n2") - F.col("d1") - F.col("d2") + 2 * common) / 2
+    enough = lambda common: shared(common) >= similarity * (F.col("n1") + F.col("n2") - shared(common)) - 1e-9
+    side = lambda seeks, n, *more: near.filter(F.col("seeks") == seeks).select(
+        "root", F.col("sid").alias(f"s{n}"), F.col("size").alias(f"n{n}"), F.col("d").alias(f"d{n}"), *more
+    )
+    # Similar sets differ in no more than this part of their sizes, and in no less than their distances from the centre do.
+    part = (1 - similarity) / (1 + similarity)
+    first = F.min(F.struct((F.col("d2") - part * F.col("n2")).alias("spare"), "s2", "n2", "d2")).alias("first")
+    bounds = side(0, 2).groupBy("root").agg(first, F.max(F.col("d2") + part * F.col("n2")).alias("far"))
+    beside = F.col("d1") - part * F.col("n1")
+    asked = side(1, 1, "apart").join(bounds.select("root", "first.*", "far"), "root").filter(beside <= F.col("far") + 1e-6)
+    asked = saved(asked.select("root", "s1", "n1", "d1", "apart", F.when(enough(F.lit(0)), F.col("s2")).alias("s2")))
+
+    # All others share some of what they differ in with any member they are similar to.
+    others = asked.filter("s2 IS NULL")
+    left = others.select("root", "s1", "n1", "d1", F.explode("apart").alias("token"))
+    nearest = others.groupBy("root").agg(F.min(beside).alias("beside"))
+    right = side(0, 2, "apart").join(nearest, "root").filter(F.col("d2") + part * F.col("n2") >= F.col("beside") - 1e-6)
+    right = right.select("root", "s2", "n2", "d2", "beside", F.explode("apart").alias("token"))
+    # A member must share with a set half of what their distances have beyond what similar sets may differ in.
+    right = right.join(left.select("root", "token").distinct(), ["root", "token"])
+    usable = F.count(F.lit(1)).over(Window.partitionBy("root", "s2"))
+    right = right.withColumn("usable", usable).filter(2 * F.col("usable") >= F.col("d2") - part * F.col("n2") + F.col("beside") - 1e-6)
+    right = saved(right.select("root", "s2", "n2", "d2", "token"))
+    counted = left.groupBy("root", "token").agg(F.count(F.lit(1)).alias("a")).join(right.groupBy("root", "token").agg(F.count(F.lit(1)).alias("b")), ["root", "token"])
+    costs = counted.groupBy("root").agg(F.sum(F.col("a") * F.col("b")).alias("cost"))
+    settled = saved(groups.join(costs, "root", "left").filter(F.coalesce("cost", F.lit(0)) <= F.col("work")).select("root", F.lit(True).alias("settled")))
+    met = left.join(settled, "root", "left_semi").join(right, ["root", "token"])
+    met = met.filter(F.abs(F.col("d1") - F.col("d2")) <= part * (F.col("n1") + F.col("n2")) + 1e-6)
+    common = met.groupBy("root", "s1", "n1", "d1", "s2", "n2", "d2").agg(F.count(F.lit(1)).alias("common"))
+    found = common.filter(enough(F.col("common"))).groupBy("root", "s1").agg(F.min("s2").alias("s2"))
+    links = asked.filter("s2 IS NOT NULL").select("s1", "s2").union(found.select("s1", "s2"))
+    return saved(links.toDF("u", "v")), settled
+
+
+def _pairs_between(places: DataFrame, rooted: DataFrame, settled: DataFrame, similarity: float) -> DataFrame:
+    """All pairs u < v of different roots that may be similar and are not settled, by the shingles that their prefixes share."""
+    known = places.join(settled.withColumnRenamed("root", "top"), "top", "left")
+    done = F.coalesce("settled", F.lit(False)) & (F.col("n") >= FEW)
+    # At each shingle the sets outside its largest group meet all others; that group's own sets do not meet each other.
+    largest = F.col("root") == F.col("top")
+    flags = known.filter(~(largest & done)).select("token", "sid", "size", "held", largest.alias("largest"))
+    several = saved(flags.join(rooted.select("sid", "root"), "sid"))
+    side = lambda rows, n: rows.select(
+        "token", *[F.col(c).alias(f"{c}{n}") for c in ("sid", "root", "held", "largest")], F.col("size").alias(f"n{n}")
     )
-    sizes = F.least("n1", "n2") >= similarity * F.greatest("n1", "n2") - 1e-6
-    both = side("u", 1).join(side("v", 2), "token").filter((F.col("u") < F.col("v")) & (F.col("r1") != F.col("r2")) & sizes)
-    shared = both.groupBy("u", "v", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
-    beyond = F.greatest(*[F.greatest(_shared_least(F.col(n), similarity) - 1, F.lit(0)) for n in ("n1", "n2")])
-    wanted = similarity / (1 + similarity) * (F.col("n1") + F.col("n2"))
-    return shared.filter(F.col("shared") + beyond >= wanted - 1e-6).select("u", "v")
+    once = F.col("largest2") | (F.col("sid1") < F.col("sid2"))
+    possible = _may_be_similar(F.least("held1", "held2"), similarity)
+    both = side(several.filter(~F.col("largest")), 1).join(side(several, 2), "token")
+    both = both.filter((F.col("root1") != F.col("root2")) & once & possible)
+    # The sizes need not stay with their sets: all that is asked of them is the same both ways.
+    pair = both.select(
+        F.least("sid1", "sid2").alias("u"), F.greatest("sid1", "sid2").alias("v"), F.least("n1", "n2").alias("n1"), F.greatest("n1", "n2").alias("n2")
+    )
+    shared = pair.groupBy("u", "v", "n1", "n2").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter(_may_be_similar(F.col("shared"), similarity)).select("u", "v")
+
+
+def _regrouped(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """The sets with the roots that links between them give."""
+    group = lambda name: rooted.select(F.col("sid").alias(name), F.col("root").alias(f"{name}_root"))
+    linked = links.join(group("u"), "u").join(group("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+    joined = components(linked).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    grouped = rooted.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    return saved(grouped.select(*rooted.columns))
 
 
 def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS) -> DataFrame:
@@ -486,11 +608,13 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     more than 50 of 192 bits apart are not checked here: 4 standard deviations above what
     Jaccard 0.8 gives.
 
-    Links that fingerprints do not find are then found by `_pairs_between`, which is exact,
-    among pairs that are in no group together: a group's members are compared with each
-    other no more. The shingles come rarest first, so few sets meet at one; sets that have
-    hardly any but common shingles and are still not similar are the case that costs the
-    square of their number.
+    Links that fingerprints do not find are then found exactly among sets that are in no
+    group together, where a rare shingle brings them together; a group's members are
+    compared with each other no more. What a large group left out meets the group not in
+    full but where both differ from its centre (`_links_to_groups`), other sets each other
+    (`_pairs_between`). The shingles come rarest first, so few sets meet at one; sets in no
+    group that have hardly any but common shingles and are not similar, and sets that
+    differ from a centre in the same places, still cost the square of their number.
 
     Equal sets are folded by a digest of 128 bits. Texts without words have the empty
     set and are equal to each other; null counts as empty. Rows repeated in full, id and
@@ -506,10 +630,9 @@ def drop_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     roots = components(_similar(near, docs, sets, similarity, words)).withColumnRenamed("node", "sid")
     rooted = _ids(sets).join(sets.select("sid", "size", "first"), "sid").join(roots, "sid", "left")
     rooted = saved(rooted.withColumn("root", F.coalesce("root", "sid")))
-    # Links between groups, then groups of groups.
-    between = _similar(_pairs_between(docs, rooted, similarity, words), docs, sets, similarity, words)
-    group = lambda name: rooted.select(F.col("sid").alias(name), F.col("root").alias(f"{name}_root"))
-    linked = between.join(group("u"), "u").join(group("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
-    joined = components(linked).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    grouped = rooted.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
-    return _kept(docs, marked, grouped.groupBy("top").agg(F.min("first").alias("first")))
+    places = _places(docs, rooted, similarity, words)
+    # Links of single sets to groups, then between what is left, then groups of groups.
+    linked, settled = _links_to_groups(places, rooted, docs, sets, similarity, words)
+    rooted = _regrouped(rooted, linked)
+    between = _similar(_pairs_between(places, rooted, settled, similarity), docs, sets, similarity, words)
+    return _kept(docs, marked, _regrouped(rooted, between).groupBy("root").agg(F.min("first").alias("first")))

@@ -335,3 +335,47 @@ def test_texts_that_stay_are_not_shuffled(tmp_path):
     events = [json.loads(line) for p in logs for line in p.read_text().splitlines()]
     written = sum(e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"] for e in events if e["Event"] == "SparkListenerTaskEnd")
     assert 0 < written < 0.8 * sum(map(len, joined)), written
+
+
+def rows_of_joins(at, texts):
+    """doc_ids that the near dedup keeps, and rows that joins by a shingle or a set make on its way."""
+    (at / "events").mkdir(parents=True)
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), at / "docs.parquet")
+    place = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = _NEAR_RUN.replace('print("kept",', 'print("ids", [r[0] for r in').replace(".count())", '.select("doc_id").collect()])')
+    done = subprocess.run(
+        [sys.executable, "-c", run, str(at)],
+        cwd=place, env=os.environ | {"PYTHONPATH": place}, capture_output=True, text=True, timeout=300,
+    )
+    assert "ids [" in done.stdout, done.stderr[-2000:]
+    logs = [p for p in (at / "events").rglob("*") if p.is_file() and not p.name.startswith((".", "appstatus"))]
+    events = [json.loads(line) for p in logs for line in p.read_text().splitlines()]
+    counters = set()
+
+    def walk(plan):
+        if re.match(r"\w*Join \[(token|u|root, token)\b", re.sub(r"#\d+L?", "", plan["simpleString"])):
+            counters.update(m["accumulatorId"] for m in plan["metrics"] if m["name"] == "number of output rows")
+        for child in plan["children"]:
+            walk(child)
+
+    for event in events:
+        if "sparkPlanInfo" in event:
+            walk(event["sparkPlanInfo"])
+    parts = [a for e in events if e["Event"] == "SparkListenerTaskEnd" for a in e["Task Info"]["Accumulables"]]
+    made = sum(int(a["Update"]) for a in parts if a["ID"] in counters)
+    return json.loads(done.stdout.split("ids ")[1].splitlines()[0]), made
+
+
+def test_a_large_group_meets_no_set_in_full(tmp_path):
+    """Copies with up to 5 edits, of which those with 2 or more may be left to the shingles: rows follow the group's size."""
+    made = {}
+    for n in (600, 1800):
+        rng = random.Random(21)
+        base = [f"w{rng.randrange(10**7)}" for _ in range(150)]
+        copies = [" ".join(edited(rng, base, k % 6)) for k in range(n)]
+        texts = copies + [" ".join(f"o{rng.randrange(10**7)}" for _ in range(60)) for _ in range(200)]
+        kept, made[n] = rows_of_joins(tmp_path / str(n), texts)
+        if n == 600:
+            want = brute_components(dict(enumerate(shingle_set(t) for t in texts)), similar)
+            assert sorted(kept) == sorted(set(want.values()))
+    assert made[1800] < 5 * made[600], made
