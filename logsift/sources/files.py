@@ -17,6 +17,12 @@ line, as those with a process id or a time do; if two files of one path begin wi
 same line, that is an error. Offsets hold a position per log, so a restarted query goes
 on where it was.
 
+If a folder is named for them (`positions`), the positions are written there and an offset
+only says where, by a digest of what they are; what each task reads is written beside
+them. The driver then holds neither: files are listed, sorted, looked into and compared
+with the last positions as streams. Without it they are in the offsets themselves, of which
+Spark keeps several in memory, so that is for some thousand logs.
+
 Files are opened through Arrow's file systems, on the driver (listing, the ends of
 lines) and in tasks. Nothing listens on a port here; Spark runs the driver's part of a
 Python stream source in a Python worker like those of any Python function.
@@ -26,9 +32,16 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import heapq
+import json
+import os
+import pickle
 import posixpath
-from collections.abc import Iterator, Sequence
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import batched, islice
+from typing import IO
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +56,23 @@ SPLIT_BYTES = 64 << 20
 OPEN_BYTES = 256 << 10
 #: Files that the driver opens at a time to look for their ends.
 OPENED = 16
+#: Files that it looks into, or positions that it writes, one after the other.
+LOOKED = 1 << 11
+#: Names or positions that it sorts at a time, and temporary files of so many that it merges at a time.
+HELD = 1 << 15
+MERGED = 64
 #: Bytes read at a time; a longer line is read whole.
 BLOCK = 8 << 20
 #: Bytes read first where the end of a line is looked for.
 HEAD = 64 << 10
 _ARROW = pa.schema([("log_id", pa.string()), ("line_no", pa.int64()), ("value", pa.string())])
+_POSITIONS = pa.schema([("log", pa.string()), ("file", pa.string()), ("end", pa.int64())])
+_PLAN = pa.schema([(n, pa.string()) for n in ("log_id", "file")] + [(n, pa.int64()) for n in ("begin", "end", "stop")])
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+#: An offset with this key alone says where its positions are.
+_PLACE = "positions"
+#: What a file is called until it is whole; one at a time.
+_WRITING = "writing"
 _GLOB = "*?["
 
 
@@ -72,34 +97,99 @@ def _copy_of(path: str, names: set[str]) -> str | None:
     return None
 
 
-def list_files(paths: Sequence[str], copies: bool = False) -> list[tuple[str, str, int]]:
+def _spilled(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """The rows by way of a temporary file."""
+    file = tempfile.TemporaryFile()
+    for row in rows:
+        pickle.dump(row, file)
+    file.seek(0)
+
+    def read(file: IO[bytes]) -> Iterator[tuple]:
+        with file:
+            while file.peek(1):
+                yield pickle.load(file)
+
+    return read(file)
+
+
+def _sorted(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """The rows in order; if they are many, all but the last of them wait in files."""
+    rows, runs = iter(rows), []
+    while held := sorted(islice(rows, HELD)):
+        if len(held) < HELD:
+            return heapq.merge(*runs, held)
+        runs.append(_spilled(held))
+        if len(runs) == MERGED:
+            runs = [_spilled(heapq.merge(*runs))]
+    return heapq.merge(*runs)
+
+
+def _in_folder(system: fs.FileSystem, folder: str, may_miss: bool = False) -> Iterator[tuple[str, int]]:
+    """Path and size of the files in a folder; those of a local one are not held all at once."""
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=may_miss)):
+            if info.type == fs.FileType.File:
+                yield info.path, info.size
+        return
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:
+        if may_miss:
+            return
+        raise
+    with entries:
+        for entry in entries:
+            try:
+                if entry.is_file():
+                    yield f"{folder.rstrip('/')}/{entry.name}", entry.stat().st_size
+            except FileNotFoundError:
+                continue  # gone since the folder was read
+
+
+def _listed(path: str, copies: bool) -> Iterator[tuple[str, bool, int]]:
+    """File, if it is none that was asked for, size: of a path's files, and with `copies` of all files beside them."""
+    system, inner = _opened(path)
+    before = _prefix(path, inner)
+    folder, pattern = posixpath.split(inner.rstrip("/"))
+    if any(c in pattern for c in _GLOB):
+        listed = _in_folder(system, folder, may_miss=True)
+    else:
+        [info] = system.get_file_info([inner])
+        if info.type == fs.FileType.File:
+            yield before + info.path, info.base_name.startswith((".", "_")), info.size
+            pattern, listed = "", _in_folder(system, posixpath.dirname(inner)) if copies else ()
+        else:
+            pattern, listed = "*", _in_folder(system, inner) if info.type == fs.FileType.Directory else ()
+    for file, size in listed:
+        name = posixpath.basename(file)
+        other = name.startswith((".", "_")) or not fnmatch.fnmatchcase(name, pattern)
+        if copies or not other:
+            yield before + file, other, size
+
+
+def list_files(paths: Sequence[str], copies: bool = False) -> Iterator[tuple[str, str, int]]:
     """Path that was asked for, actual file, size: of files, files of folders, and globs in the last part.
 
     With `copies`, also the files named like a found one with a dot and more.
     """
-    found: dict[str, tuple[str, int]] = {}
-    for path in paths:
-        system, inner = _opened(path)
-        before = _prefix(path, inner)
-        folder, pattern = posixpath.split(inner.rstrip("/"))
-        if any(c in pattern for c in _GLOB):
-            infos = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-            infos = [i for i in infos if fnmatch.fnmatchcase(i.base_name, pattern)]
-        else:
-            [info] = system.get_file_info([inner])
-            infos = system.get_file_info(fs.FileSelector(inner)) if info.type == fs.FileType.Directory else [info]
-        plain = [i for i in infos if i.type == fs.FileType.File and not i.base_name.startswith((".", "_"))]
-        for info in plain:
-            found[before + info.path] = (before + info.path, info.size)
-        if copies:
-            names = {i.path for i in plain}
-            # A copy that the paths match as well belongs to the file it is a copy of.
-            for folder in {posixpath.dirname(n) for n in names}:
-                for info in system.get_file_info(fs.FileSelector(folder)):
-                    owner = _copy_of(info.path, names)
-                    if owner is not None and info.type == fs.FileType.File:
-                        found[before + info.path] = (before + owner, info.size)
-    return sorted((asked, file, size) for file, (asked, size) in found.items())
+    # With dots before all other letters, what continues a name with a dot comes right after it.
+    rows = ((f.replace(".", "\0"), n, other, size) for n, p in enumerate(paths) for f, other, size in _listed(p, copies))
+    owners: dict[int, str] = {}
+    last = None
+    for key, n, other, size in _sorted(rows):
+        file = key.replace("\0", ".")
+        # A copy that the paths match as well belongs to the file it is a copy of.
+        asked = _copy_of(file, {owners.get(n)}) if copies else None
+        if asked is None:
+            if other:
+                continue
+            owners[n] = asked = file
+        if last and last[1] != file:
+            yield last
+        # A file that several paths have belongs to the last of them.
+        last = asked, file, size
+    if last:
+        yield last
 
 
 class Range(InputPartition):
@@ -127,18 +217,34 @@ class Ranges(InputPartition):
             yield from read_range(part)
 
 
-def packed(parts: list[Range], split_bytes: int) -> list[Ranges]:
+def packed(parts: Iterable[Range], split_bytes: int) -> Iterator[Ranges]:
     """Neighbouring ranges in one partition, up to a split's bytes with what opening each file counts as."""
-    out: list[list[Range]] = []
+    held: list[Range] = []
     room = 0
     for part in parts:
         cost = part.end - part.begin + OPEN_BYTES
-        if not out or cost > room:
-            out.append([])
+        if held and cost > room:
+            yield Ranges(held)
+            held = []
+        if not held:
             room = split_bytes
-        out[-1].append(part)
+        held.append(part)
         room -= cost
-    return [Ranges(p) for p in out]
+    if held:
+        yield Ranges(held)
+
+
+class Planned(InputPartition):
+    """Ranges that are written as a record batch of a file."""
+
+    def __init__(self, plan: str, place: int) -> None:
+        self.plan, self.place = plan, place
+
+    def read(self) -> Iterator[pa.RecordBatch]:
+        system, inner = _opened(self.plan)
+        with system.open_input_file(inner) as source:
+            rows = pa.ipc.open_file(source).get_batch(self.place).to_pylist()
+        yield from Ranges([Range(**r) for r in rows]).read()
 
 
 def _rows(log_id: str, at: int, held: bytes) -> pa.RecordBatch:
@@ -222,51 +328,121 @@ class _Table(DataSourceReader):
         self.paths, self.split_bytes = paths, split_bytes
 
     def partitions(self) -> Sequence[InputPartition]:
-        found = [r for _, file, size in list_files(self.paths) for r in ranges(file, file, 0, size, self.split_bytes)]
-        return packed(found, self.split_bytes) or [Ranges([])]
+        found = [r for _, file, size in sorted(list_files(self.paths)) for r in ranges(file, file, 0, size, self.split_bytes)]
+        return list(packed(found, self.split_bytes)) or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         yield from partition.read()
 
 
+def _found_logs(paths: Sequence[str]) -> Iterator[tuple[str, str, int]]:
+    """Log, its file and the end of its whole lines, in the order of the logs."""
+
+    def looked() -> Iterator[tuple[str, str, int]]:
+        with ThreadPoolExecutor(OPENED) as pool:
+            for listed in batched(list_files(paths, copies=True), LOOKED):
+                ends = pool.map(lambda found: whole_lines(found[1], found[2]), listed, chunksize=64)
+                for (asked, file, _), (end, first) in zip(listed, ends, strict=True):
+                    if end:
+                        yield f"{asked}#{first}", file, end
+
+    before = None
+    for row in _sorted(looked()):
+        if before and before[0] == row[0]:
+            raise ValueError(f"{row[1]} and {before[1]} begin with the same line")
+        yield (before := row)
+
+
+def _where(offset: dict) -> str | None:
+    """Where the positions of an offset are written, if they are not in it."""
+    place = offset.get(_PLACE)
+    return place if isinstance(place, str) else None
+
+
+def _positions(offset: dict) -> Iterator[tuple[str, str, int]]:
+    """Log, file and end of an offset's logs, in the order of the logs."""
+    if (place := _where(offset)) is None:
+        for log, at in sorted(offset.items()):
+            yield log, at["file"], at["end"]
+        return
+    system, inner = _opened(place)
+    with system.open_input_stream(inner) as source:
+        for batch in pa.ipc.open_stream(source):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _new_ranges(start: dict, end: dict, split_bytes: int) -> Iterator[Range]:
+    """What an offset has beyond another one."""
+    before = _positions(start)
+    old = next(before, None)
+    for log, file, stop in _positions(end):
+        while old and old[0] < log:
+            old = next(before, None)
+        begin = old[2] if old and old[0] == log else 0
+        if begin < stop:
+            yield from ranges(log, file, begin, stop, split_bytes)
+
+
 class _Stream(DataSourceStreamReader):
-    """Offsets: log -> its file and the end of its whole lines."""
+    """Offsets: log -> its file and the end of its whole lines, or where that is written."""
 
-    def __init__(self, paths: list[str], split_bytes: int) -> None:
-        self.paths, self.split_bytes = paths, split_bytes
+    def __init__(self, paths: list[str], split_bytes: int, positions: str = "") -> None:
+        self.paths, self.split_bytes, self.positions = paths, split_bytes, positions.rstrip("/")
+        #: The offset handed out last.
+        self.latest: dict | None = None
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        logs: dict[str, dict] = {}
-        listed = list_files(self.paths, copies=True)
-        with ThreadPoolExecutor(OPENED) as pool:
-            ends = pool.map(lambda found: whole_lines(found[1], found[2]), listed, chunksize=64)
-            looked = list(zip(listed, ends, strict=True))
-        for (asked, file, _), (end, first) in looked:
-            if not end:
-                continue
-            log = f"{asked}#{first}"
-            if log in logs:
-                raise ValueError(f"{file} and {logs[log]['file']} begin with the same line")
-            logs[log] = {"file": file, "end": end}
-        return logs
+        found = _found_logs(self.paths)
+        if not self.positions:
+            return {log: {"file": file, "end": end} for log, file, end in found}
+        system, folder = _opened(self.positions)
+        system.create_dir(folder, recursive=True)
+        # The name is the digest of what is in it: nothing new, the same offset, also after a restart.
+        digest, count, writing = hashlib.sha256(), 0, f"{folder}/{_WRITING}"
+        with system.open_output_stream(writing) as sink, pa.ipc.new_stream(sink, _POSITIONS, options=_PACKED) as out:
+            for rows in batched(found, LOOKED):
+                digest.update("".join(f"{log}\0{file}\0{end}\0" for log, file, end in rows).encode())
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_POSITIONS))
+                count += len(rows)
+        name = f"{digest.hexdigest()}.positions"
+        system.move(writing, f"{folder}/{name}")
+        self.latest = {_PLACE: f"{self.positions}/{name}"} if count else {}
+        return self.latest
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        out: list[Range] = []
-        for log, to in sorted(end.items()):
-            begin = start.get(log, {}).get("end", 0)
-            if begin < to["end"]:
-                out += ranges(log, to["file"], begin, to["end"], self.split_bytes)
-        return packed(out, self.split_bytes)
-
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        parts = packed(_new_ranges(start, end, self.split_bytes), self.split_bytes)
+        if (place := _where(end)) is None:
+            return list(parts)
+        name = hashlib.sha256(json.dumps([start, end], sort_keys=True).encode()).hexdigest()
+        plan = f"{posixpath.dirname(place)}/{name}.plan"
+        system, inner = _opened(plan)
+        count, writing = 0, f"{posixpath.dirname(inner)}/{_WRITING}"
+        with system.open_output_stream(writing) as sink, pa.ipc.new_file(sink, _PLAN, options=_PACKED) as out:
+            for count, part in enumerate(parts, 1):
+                out.write_batch(pa.RecordBatch.from_pylist([vars(r) for r in part.parts], schema=_PLAN))
+        system.move(writing, inner)
+        return [Planned(plan, n) for n in range(count)]
+
+    def read(self, partition: Ranges | Planned) -> Iterator[pa.RecordBatch]:
         yield from partition.read()
 
+    def commit(self, end: dict) -> None:
+        """Forget positions from before an offset; a restart needs that one and the one after, the last handed out."""
+        if not self.positions or self.latest is None:
+            return
+        needed = {posixpath.basename(_where(offset) or "") for offset in (end, self.latest)}
+        system, folder = _opened(self.positions)
+        for file, _ in list(_in_folder(system, folder)):
+            name = posixpath.basename(file)
+            if name.endswith((".positions", ".plan")) and name not in needed:
+                system.delete_file(file)
+
 
 class LineSource(DataSource):
-    """Format `logsift_lines`; options: paths (one a line), split_bytes."""
+    """Format `logsift_lines`; options: paths (one a line), split_bytes, positions (a folder, for streams)."""
 
     @classmethod
     def name(cls) -> str:
@@ -283,7 +459,7 @@ class LineSource(DataSource):
         return _Table(*self._options())
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Stream(*self._options())
+        return _Stream(*self._options(), self.options.get("positions", ""))
 
 
 def _paths(paths: str | Sequence[str]) -> str:
@@ -296,7 +472,14 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], split_bytes: int
     return spark.read.format(NAME).option("paths", _paths(paths)).option("split_bytes", split_bytes).load()
 
 
-def stream_text(spark: SparkSession, paths: str | Sequence[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The same as a stream that follows the files as they grow and are rotated."""
+def stream_text(
+    spark: SparkSession, paths: str | Sequence[str], split_bytes: int = SPLIT_BYTES, positions: str | None = None
+) -> DataFrame:
+    """The same as a stream that follows the files as they grow and are rotated.
+
+    `positions` is a folder that driver and tasks share, for one query alone and to be kept like
+    its checkpoint; name one if the logs are more than some thousand.
+    """
     spark.dataSource.register(LineSource)
-    return spark.readStream.format(NAME).option("paths", _paths(paths)).option("split_bytes", split_bytes).load()
+    reader = spark.readStream.format(NAME).option("paths", _paths(paths)).option("split_bytes", split_bytes)
+    return (reader.option("positions", positions) if positions else reader).load()

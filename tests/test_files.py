@@ -1,6 +1,9 @@
 """The line source: split reading, exact bytes, streams of files that grow and rotate."""
 
+import json
 import os
+import pickle
+import random
 
 import pytest
 
@@ -12,6 +15,7 @@ from logsift.streaming import BlockStream
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_blocks import LOGS
+from workload import logs as log_queries
 
 BODIES = {
     "a": b"one\ntwo\r\n\n\xff\xfe bad\nlast",
@@ -174,3 +178,124 @@ def test_many_small_files(tmp_path):
     assert len(files._Stream([], 5).partitions({}, {"a": {"file": "a", "end": 20}})) == 4
     assert files._copy_of("/x/a.log.1.gz", {"/x/a.log", "/x/a.log.1"}) == "/x/a.log"
     assert files._copy_of("/x/a.log", {"/x/a.log"}) is None
+
+
+def _read(stream, start, end):
+    parts = stream.partitions(start, end)
+    assert all(len(pickle.dumps(p)) < 1000 for p in parts) or "positions" not in end
+    return sorted((r["log_id"], r["line_no"], r["value"]) for p in parts for b in stream.read(p) for r in b.to_pylist())
+
+
+def test_positions_are_written_beside_the_offsets(tmp_path):
+    """Offsets and partitions stay small however many logs there are, and say the same as with positions inside."""
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for n in range(3000):
+        (folder / f"{n}.log").write_bytes(b"log %d\nline\nhalf" % n)
+    paths = [str(folder / "*.log")]
+    inside = files._Stream(paths, 64 << 20)
+    new = lambda: files._Stream(paths, 64 << 20, str(tmp_path / "positions"))
+    assert files._Stream([str(folder / "none*")], 5, str(tmp_path / "positions")).latestOffset() == {}
+    first, known = new().latestOffset(), inside.latestOffset()
+    assert len(json.dumps(first)) < 1000 < len(json.dumps(known))
+    assert {log: {"file": file, "end": end} for log, file, end in files._positions(first)} == known
+    rows = _read(new(), {}, first)
+    assert rows == _read(inside, {}, known)
+    assert len(rows) == 6000
+    # Nothing new is the same offset, also of a new reader.
+    assert new().latestOffset() == first
+    assert _read(new(), first, first) == []
+    # Grown, rotated, gone and new.
+    with (folder / "7.log").open("ab") as f:
+        f.write(b" a line\n")
+    (folder / "8.log").rename(folder / "8.log.1")
+    (folder / "8.log").write_bytes(b"log 8 again\n")
+    (folder / "9.log").unlink()
+    (folder / "new.log").write_bytes(b"log new\n")
+    stream = new()
+    second = stream.latestOffset()
+    assert second != first
+    rows = _read(stream, first, second)
+    assert [(at, value) for _, at, value in rows] == [(11, "half a line"), (0, "log 8 again"), (0, "log new")]
+    # An offset of a checkpoint from before the folder was named.
+    assert _read(stream, known, second) == rows == _read(inside, known, inside.latestOffset())
+    # What no restart can ask for is removed.
+    (tmp_path / "positions" / "other").write_bytes(b"")
+    stream.commit(first)
+    left = {f.name for f in (tmp_path / "positions").iterdir()}
+    assert left == {"other", *(os.path.basename(o["positions"]) for o in (first, second))}
+    assert _read(stream, first, second) == rows
+    stream.commit(second)
+    assert {f.name for f in (tmp_path / "positions").iterdir()} == {"other", os.path.basename(second["positions"])}
+
+
+def test_stream_with_positions(spark, tmp_path):
+    """The checkpoint has no log in it; a restarted query goes on where it was."""
+    folder, got = tmp_path / "logs", []
+    folder.mkdir()
+
+    def poll():
+        got.clear()
+        lines = stream_text(spark, str(folder / "*.log"), positions=f"file://{tmp_path}/positions")
+        take = lambda batch, _: got.extend(batch.select("line_no", "value").collect())
+        query = lines.writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
+        query.start().awaitTermination()
+        return sorted(map(tuple, got))
+
+    for n in range(40):
+        (folder / f"{n}.log").write_bytes(b"log %02d\nhalf" % n)
+    assert poll() == [(0, f"log {n:02d}") for n in range(40)]
+    assert poll() == []
+    for n in range(0, 40, 2):
+        with (folder / f"{n}.log").open("ab") as f:
+            f.write(b" and half\n")
+    (folder / "3.log").rename(folder / "3.log.1")
+    (folder / "3.log").write_bytes(b"log 03 again\n")
+    assert poll() == [(0, "log 03 again"), *[(7, "half and half")] * 20]
+    assert poll() == []
+    offsets = [f.read_text() for f in (tmp_path / "check" / "offsets").glob("[0-9]*")]
+    assert len(offsets) == 2
+    assert not any(".log" in o for o in offsets)
+
+
+def test_query_keeps_logs_out_of_its_offsets(spark, tmp_path, monkeypatch):
+    rows = [(n * 10 + user, user, "click") for n in range(4) for user in range(10)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(log_queries, "fresh_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    # Without a marker no block is shown.
+    assert log_queries.stream_text_blocks(spark, str(tmp_path)).collect() == []
+    offsets = [f.read_text() for f in (tmp_path / "texts" / "checkpoint" / "offsets").glob("[0-9]*")]
+    assert len(offsets) == 2
+    assert not any(".log#" in o for o in offsets)
+
+
+def test_sorting_in_files(monkeypatch):
+    monkeypatch.setattr(files, "HELD", 4)
+    monkeypatch.setattr(files, "MERGED", 3)
+    draw = random.Random(1)
+    for count in (0, 1, 3, 4, 5, 8, 12, 13, 100):
+        rows = [(str(draw.randrange(50)), draw.randrange(3)) for _ in range(count)]
+        assert list(files._sorted(iter(rows))) == sorted(rows)
+
+
+def test_listing(tmp_path):
+    """Copies go to the shortest name they continue, files of several paths to the last of these."""
+    names = ("a.log", "a.log.1", "a.log.1.gz", "a.log-1", "a.logs", "a", "_a.log", ".a.log", "b.log.1", "sub/c.log")
+    (tmp_path / "sub").mkdir()
+    for n, name in enumerate(names):
+        (tmp_path / name).write_bytes(b"x" * n)
+    at = str(tmp_path)
+
+    def listed(*paths, copies=True):
+        return [(a.removeprefix(f"{at}/"), f.removeprefix(f"{at}/"), s) for a, f, s in files.list_files(paths, copies)]
+
+    logs = [("a.log", "a.log", 0), ("a.log", "a.log.1", 1), ("a.log", "a.log.1.gz", 2)]
+    assert listed(f"{at}/*.log") == listed(f"{at}/a.log") == logs
+    assert listed(f"{at}/*.log", copies=False) == logs[:1]
+    assert listed(f"{at}/a.log", f"{at}/a.log.1") == [logs[0], *(("a.log.1", f, s) for _, f, s in logs[1:])]
+    assert listed(f"{at}/a.log.1", f"{at}/a.log") == logs
+    assert sorted(listed(at)) == sorted([("a", "a", 5), *(("a", f, s) for _, f, s in logs), ("a", "a.log-1", 3), ("a", "a.logs", 4), ("b.log.1", "b.log.1", 8)])
+    assert listed(at, copies=False) == sorted(
+        [(f, f, s) for s, f in enumerate(names) if f[0] in "ab" and "/" not in f], key=lambda row: row[1].replace(".", "\0")
+    )
+    assert listed(f"{at}/none*") == listed(f"{at}/none") == []

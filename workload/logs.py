@@ -286,7 +286,7 @@ def stream_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
     for high in (last // 2, last):
         part = log.filter(F.col("line_no") <= high).groupBy("log_id").applyInArrow(_put_lines(f"{base}/logs"), "log_id string")
         part.write.format("noop").mode("overwrite").save()
-        lines = stream_text(spark, f"{base}/logs/*.log")
+        lines = stream_text(spark, f"{base}/logs/*.log", positions=f"{base}/positions")
         stream.start(lines, f"{base}/checkpoint", availableNow=True).awaitTermination()
     blocks = stream.blocks(stream.last_batch())
     log_id = F.regexp_extract("log_id", r"([0-9]+)\.log#", 1).cast("long")
